@@ -22,8 +22,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import graded, kept, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = score(docs, train(docs, graded(table(spark, sf_dir, "labels"))))
+    return found.select("doc_id", F.round("expected_grade", 9).alias("expected_grade"), F.round("tail", 9).alias("tail"), kept(F.col("tail")).alias("keep"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
 }
 ORACLES: dict[str, str] = {}
