@@ -30,9 +30,16 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("expected_grade", 9).alias("expected_grade"), F.round("tail", 9).alias("tail"), kept(F.col("tail")).alias("keep"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_ngram_join": op4_ngram_join,
 }
 ORACLES: dict[str, str] = {}
