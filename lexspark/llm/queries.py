@@ -36,10 +36,25 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign
+
+    found = assign(table(spark, sf_dir, "documents"), 40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filters import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_ngram_join": op4_ngram_join,
+    "op5_sharding": op5_sharding,
+    "op8_url_filters": op8_url_filters,
 }
 ORACLES: dict[str, str] = {}
