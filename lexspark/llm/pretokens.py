@@ -88,8 +88,10 @@ class Vocabulary:
         return [p for part in parts if part for p in ([part] if part in self.special else (part[a:b] for _, (a, b) in split(part)))]
 
     def count(self, piece: str) -> int:
-        """How many ids a pre-token has."""
-        return len(self.whole(piece)) if piece in self.special or not self.regular(piece) else len(self.piece(piece)) // 4
+        """How many ids a pre-token has; not memoised, for pieces that come once."""
+        if piece in self.special or not self.regular(piece):
+            return len(self.whole(piece))
+        return len(self.model.tokenize(piece.encode().decode("latin-1").translate(self.names)))
 
     def encode(self, text: str) -> bytes:
         """The ids of the text, each as four bytes, lowest first."""

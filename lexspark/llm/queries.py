@@ -43,6 +43,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filters import judge
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
+    "op6_token_counts": op6_token_counts,
     "op8_url_filters": op8_url_filters,
 }
 ORACLES: dict[str, str] = {}
