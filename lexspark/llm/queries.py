@@ -55,6 +55,12 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_tree import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -63,5 +69,6 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
     "op8_url_filters": op8_url_filters,
+    "op9_suffix_tree": op9_suffix_tree,
 }
 ORACLES: dict[str, str] = {}

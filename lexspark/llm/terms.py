@@ -59,44 +59,49 @@ def head_of(table: DataFrame, value: str, head: int = HEAD, head_bytes: int = HE
     return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
 
 
-def _summer(shared, make: Splitter, text: bool):
+def _summer(shared, make: Splitter, text: bool, extra):
     kind = pa.string() if text else pa.binary()
     long = pa.int64()
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, known = make(), shared.value
+        more = extra() if extra else None
         row = TaskContext.get().partitionId() << 33
         for batch in chunked(batches, "text", SHARD_BYTES):
-            rows, docs, sizes, lengths, terms, freqs, totals, knowns = ([] for _ in range(8))
-            for doc, x in zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True):
-                freq = Counter(split(x or b""))
+            rows, docs, sizes, lengths, terms, freqs, totals, knowns, extras = ([] for _ in range(9))
+            texts = [x or b"" for x in text_bytes(batch.column("text"))]
+            found = more(texts) if more else [None] * len(texts)
+            for doc, x, e in zip(batch.column("doc_id").to_pylist(), texts, found, strict=True):
+                freq = Counter(split(x))
                 rare = {t: n for t, n in freq.items() if t not in known}
                 n, n_rare, k = freq.total(), sum(rare.values()), len(rare)
                 rows += [row] * (k + 1)
                 docs += [doc, *[None] * k]
-                sizes += [len(x or b""), *[None] * k]
+                sizes += [len(x), *[None] * k]
                 lengths += [n, *[None] * k]
                 terms += [None, *rare]
                 freqs += [None, *rare.values()]
                 totals += [float(sum(m * known[t] for t, m in freq.items() if t not in rare)), *[None] * k]
                 knowns += [n - n_rare, *[None] * k]
+                extras += [e, *[None] * k]
                 row += 1
-            yield pa.record_batch([pa.array(rows, long), pa.array(docs, long), pa.array(sizes, long), pa.array(lengths, long), pa.array(terms, kind), pa.array(freqs, long), pa.array(totals, pa.float64()), pa.array(knowns, long)], names=["row", "doc_id", "n_bytes", "n_terms", "term", "freq", "total", "n_known"])
+            yield pa.record_batch([pa.array(rows, long), pa.array(docs, long), pa.array(sizes, long), pa.array(lengths, long), pa.array(terms, kind), pa.array(freqs, long), pa.array(totals, pa.float64()), pa.array(knowns, long), pa.array(extras, pa.float64())], names=["row", "doc_id", "n_bytes", "n_terms", "term", "freq", "total", "n_known", "extra"])
 
     return resolve
 
 
-def weighted_sums(docs: DataFrame, make: Splitter, table: DataFrame, value: str, absent: float, text: bool = False, head: int = HEAD) -> DataFrame:
+def weighted_sums(docs: DataFrame, make: Splitter, table: DataFrame, value: str, absent: float, text: bool = False, head: int = HEAD, extra: Callable[[], Callable[[list[bytes]], list[float]]] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_terms, total, n_known for each row (doc_id, text): total sums, over its terms, frequency times value.
 
     A term that the table lacks has the value ``absent``; n_known counts the others. Rows
-    are told apart by a number of their own, so ids may be null or repeated.
+    are told apart by a number of their own, so ids may be null or repeated. extra: makes,
+    in the worker, what gives one more number for each text; its column is ``extra``.
     """
     kind = "string" if text else "binary"
     shared = docs.sparkSession.sparkContext.broadcast(head_of(table, value, head))
-    parts = materialise(docs.select("doc_id", "text").mapInArrow(_summer(shared, make, text), f"row bigint, doc_id bigint, n_bytes bigint, n_terms bigint, term {kind}, freq bigint, total double, n_known bigint"), "frequencies")
+    parts = materialise(docs.select("doc_id", "text").mapInArrow(_summer(shared, make, text, extra), f"row bigint, doc_id bigint, n_bytes bigint, n_terms bigint, term {kind}, freq bigint, total double, n_known bigint, extra double"), "frequencies")
     met = parts.where("term is not null").select("row", "term", "freq").join(table.select("term", F.col(value).cast("double").alias("value")), "term", "left")
     none = F.lit(None).cast("bigint")
-    sums = met.select("row", none.alias("doc_id"), none.alias("n_bytes"), none.alias("n_terms"), (F.col("freq") * F.coalesce("value", F.lit(absent))).alias("total"), F.when(F.col("value").isNotNull(), F.col("freq")).otherwise(0).alias("n_known"))
-    sums = sums.unionByName(parts.where("term is null").select("row", "doc_id", "n_bytes", "n_terms", "total", "n_known"))
-    return sums.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_bytes", "n_terms")), F.sum("total").alias("total"), F.sum("n_known").cast("bigint").alias("n_known")).drop("row")
+    sums = met.select("row", none.alias("doc_id"), none.alias("n_bytes"), none.alias("n_terms"), (F.col("freq") * F.coalesce("value", F.lit(absent))).alias("total"), F.when(F.col("value").isNotNull(), F.col("freq")).otherwise(0).alias("n_known"), F.lit(None).cast("double").alias("extra"))
+    sums = sums.unionByName(parts.where("term is null").select("row", "doc_id", "n_bytes", "n_terms", "total", "n_known", "extra"))
+    return sums.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_bytes", "n_terms", "extra")), F.sum("total").alias("total"), F.sum("n_known").cast("bigint").alias("n_known")).drop("row")
