@@ -61,6 +61,12 @@ def op9_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_packing": op2_packing,
@@ -70,5 +76,6 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op8_url_filters": op8_url_filters,
     "op9_suffix_tree": op9_suffix_tree,
+    "op10_neighbours": op10_neighbours,
 }
 ORACLES: dict[str, str] = {}
