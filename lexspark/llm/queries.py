@@ -49,6 +49,14 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_templates import cleaned
+
+    found = cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.octet_length(text).cast("bigint").alias("n_bytes_kept"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filters import judge
 
@@ -74,6 +82,7 @@ QUERIES = {
     "op4_ngram_join": op4_ngram_join,
     "op5_sharding": op5_sharding,
     "op6_token_counts": op6_token_counts,
+    "op7_line_templates": op7_line_templates,
     "op8_url_filters": op8_url_filters,
     "op9_suffix_tree": op9_suffix_tree,
     "op10_neighbours": op10_neighbours,
