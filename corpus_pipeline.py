@@ -1,11 +1,38 @@
-"""The corpus pipeline: each stage takes all rows that the one before it kept."""
+"""The corpus pipeline: each stage takes all rows that the one before it kept.
+
+Every stage is written as Parquet and read again as the next one's documents. All but the
+last return the columns of ``documents``. Nulls, ties and empty tables have the results
+that the operators define.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexspark.llm.common import materialise, table
 from lexspark.llm.decontamination import decontaminated
+from lexspark.llm.line_templates import cleaned
+from lexspark.llm.ngram_join import deduplicated
+from lexspark.llm.packing import pack
+from lexspark.llm.quality import graded, selected, train
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go whose chance of the top grade (of quality and not toxic) is below one half."""
+    return selected(docs, train(docs, graded(table(spark, sf_dir, "labels"))))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go; n_chars follows the text; a document that loses all its lines goes."""
+    found = cleaned(docs).where("_dropped = 0 or _dropped < _lines")
+    n_chars = F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that hang together by n-gram similarity, the one with the smallest id stays."""
+    return deduplicated(docs).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +40,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of the documents that are left, with its place in a sequence."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram jaccard join", near_copies),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", packing),
+]
 
 #: No stage can be expressed in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
