@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -91,3 +92,39 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator
             held += int(n)
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+MARK_BITS = 26
+
+
+def marks(rows: DataFrame, key: str, bits: int = MARK_BITS) -> np.ndarray:
+    """A bit map of a column of 64-bit hashes: ``1 << bits`` bits in all, whatever the number of rows."""
+    place = F.shiftright(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    found = rows.groupBy(place.alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{key}` & 63L as int)))").alias("mark")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    out[found.column("word").to_numpy()] = found.column("mark").to_numpy().view(np.uint64)
+    return out
+
+
+def marked(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys may be among those that were marked; no marked one is missed."""
+    low = keys & (len(words) * 64 - 1)
+    return (words[low >> 6] >> (low & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def _sifter(shared, key: str, wanted: bool):
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pc.fill_null(batch.column(key), 0).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(marked(shared.value, keys) == wanted))
+
+    return sift
+
+
+def sifted(rows: DataFrame, words: np.ndarray, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash in ``key`` may be marked, and those whose hash surely isn't.
+
+    Only the former need a join with what was marked, so that only they are shuffled.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+    return rows.mapInArrow(_sifter(shared, key, True), rows.schema), rows.mapInArrow(_sifter(shared, key, False), rows.schema)
