@@ -77,8 +77,9 @@ def _grams(depth: int):
             gram = np.zeros(max(0, len(a) - depth), dtype=np.int64)
             for k in range(depth + 1):
                 gram = (gram << 8) | a[k : len(a) - depth + k]
-            gram = gram[(gram & 0xFFFF) != 0x0A0A]  # what stands before a text isn't learned, but for an empty one's end
-            held.append(np.unique(gram, return_counts=True))
+            gram = gram[(gram & 0xFFFF) != 0x0A0A]  # neither what stands before a text nor an empty text's end is learned
+            if len(gram):
+                held.append(np.unique(gram, return_counts=True))
             if sum(len(g) for g, _ in held) > 3_000_000:
                 held = [merged(held)]
                 if len(held[0][0]) > 1_500_000:
