@@ -27,7 +27,7 @@ def bytes_of(text: Column) -> Column:
 
 def codepoints(text: Column) -> Column:
     """Code points of a text (utf8 token mode)."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("int"))
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("int"))
 
 
 def vocabulary(texts: DataFrame, text: str = "text", unknown: str = UNK) -> DataFrame:

@@ -23,7 +23,7 @@ def test_training_recovers_a_substitution(spark):
     key = {"a": "x", "b": "y", "c": "z"}
     words = ["abc", "aab", "cba", "bca", "ccab", "ba"]
     pairs = spark.createDataFrame([(list(w), [key[c] for c in w]) for w in words], "x array<string>, y array<string>")
-    model, history = em.train(pairs, em.initial(spark, list("abc"), list("xyz"), 3), 12)
+    model, history = em.train(pairs, em.initial(spark, list("abc"), list("xyz"), 3, insertions=False, deletions=False), 12)
     assert all(b >= a - 1e-9 for a, b in zip(history, history[1:], strict=False))
     best = {}
     for r in model.collect():
