@@ -188,6 +188,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sh
     if (bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]) <= block_bytes:
         windows = Windows([(r["item"], r["text"]) for r in bench.collect()], width)
         return docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(windows), share, text_col), docs.schema)
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "decontamination")
-    bad = contamination(numbered.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("text")), benchmark, width, share, block_bytes).where("contaminated").select(F.col("doc_id").alias("_row"))
-    return numbered.join(bad, "_row", "left_anti").drop("_row")
+    numbered = materialise(docs.withColumn("__lx_row", F.monotonically_increasing_id()), "decontamination")
+    bad = contamination(numbered.select(F.col("__lx_row").alias("doc_id"), F.col(text_col).alias("text")), benchmark, width, share, block_bytes).where("contaminated").select(F.col("doc_id").alias("__lx_row"))
+    return numbered.join(bad, "__lx_row", "left_anti").drop("__lx_row")
