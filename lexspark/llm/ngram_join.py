@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, docs_view, materialise, text_bytes, words
+from .common import chunked, docs_view, marks, materialise, sifted, text_bytes, words
 from .components import connected_components
 
 N = 5
@@ -222,8 +222,10 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     cut = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     members = materialise(sized.join(totals.select("root", cut.alias("blocks")), "root").select(F.col("node").alias("key"), "root", "rep", "copies", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "members")
 
-    texts = view.withColumn("key2", F.unhex(F.md5(F.encode("text", "UTF-8"))))
-    whole = texts.join(members, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("key2") == F.col("key")))
+    # Only texts of members travel, in one way at every size: a bit map of fixed size sifts the others out.
+    texts = view.withColumn("key2", F.unhex(F.md5(F.encode("text", "UTF-8")))).withColumn("hash", F.xxhash64("key2"))
+    texts, _ = sifted(texts, marks(members.select(F.xxhash64("key").alias("hash")), "hash"), "hash")
+    whole = texts.join(members.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("key2") == F.col("key")))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units = whole.select("root", "key", "copies", "block", "text", other).select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "copies", "block", "text")
     units = units.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
@@ -241,5 +243,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, with all their columns, whose id names their class; rows without an id stay."""
-    gone = near_duplicates(docs, **options).where("doc_id != class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(options.get("id_col", "doc_id")) == F.col("_gone"), "left_anti")
+    own = F.col(options.get("id_col", "doc_id")).cast("long")
+    gone = materialise(near_duplicates(docs, **options).where("doc_id != class_id").select(F.col("doc_id").alias("__lx_gone")).distinct(), "gone")
+    maybe, kept = sifted(docs.withColumn("__lx_hash", F.xxhash64(own)), marks(gone.select(F.xxhash64("__lx_gone").alias("__lx_hash")), "__lx_hash"), "__lx_hash")
+    return maybe.join(gone.hint("merge"), own == F.col("__lx_gone"), "left_anti").unionByName(kept).drop("__lx_hash")
