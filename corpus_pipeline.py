@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Recurring lines go; n_chars follows the text; a document that loses all its lines goes."""
-    found = cleaned(docs).where("_dropped = 0 or _dropped < _lines")
-    n_chars = F.when(F.col("_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    found = cleaned(docs).where("__lx_dropped = 0 or __lx_dropped < __lx_lines")
+    n_chars = F.when(F.col("__lx_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
