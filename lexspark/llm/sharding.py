@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import docs_view, materialise
 
 VIRTUAL = 64
-LOT = 20_000
+LOT = 1_000
 #: Slots of the ring by the highest bits of the hash, for looking an arc up without a search over all points.
 SLOT_BITS = 12
 
