@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 _made: list[str] = []
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; a folder of our own only where none is set (tests)."""
@@ -29,9 +31,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Fewer rows in a batch than Spark's default: texts are long, and a batch is held several times over."""
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "1000")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
+    short_batches(spark)
     path = f"{shared_dir(spark)}/lexspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append(path)
@@ -47,6 +56,7 @@ def cleanup(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

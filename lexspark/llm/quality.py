@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, text_bytes, words
+from .common import chunked, short_batches, text_bytes, words
 
 BITS = 18
 MOST_ROWS = 20_000
@@ -62,7 +62,7 @@ def shape(token: bytes) -> bytes:
 class Features:
     """Hashed places of words and marks, memoised for each process."""
 
-    def __init__(self, bits: int, keep: int = 300_000):
+    def __init__(self, bits: int, keep: int = 120_000):
         self.mask, self.keep = (1 << bits) - 1, keep
         self.places: dict[bytes, int] = {}
         self.shapes: dict[bytes, int] = {}
@@ -160,6 +160,7 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def train(docs: DataFrame, ratings: DataFrame, top: int = 2, bits: int = BITS, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """Fits on the labelled documents with the smallest hashes of their ids, most_rows at most. top: the highest grade."""
+    short_batches(docs.sparkSession)
     picked = ratings.where("rated_id is not null").orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(most_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("rated_id"), F.col(text_col).cast("string").alias("text"))
 
