@@ -46,7 +46,7 @@ class Vocabulary:
     pre-token holds a space only as its first character, or in a run of blanks.
     """
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         """keep: entries of a memo after which it starts anew."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
