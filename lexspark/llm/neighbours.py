@@ -40,7 +40,7 @@ MOST_LISTS = 4096
 COPIES = 4
 BOUNDARY = 1.05
 RECALL = 0.985
-SHARD_ROWS = 65_536
+LEAST_ROWS, SHARD_ROWS = 8_192, 65_536
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -235,7 +235,7 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPL
 
     posted = materialise(classes.select("cid", "vec").mapInArrow(_poster(shared), "list int, cid bigint"), "postings")
     sized = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each centroid
-    room = min(SHARD_ROWS, max(1, -(-sum(sized.values()) // width(spark))))
+    room = min(SHARD_ROWS, max(LEAST_ROWS, -(-sum(sized.values()) // width(spark))))  # every shard that a query meets answers it
     index.shards, at, left = [], 0, room
     for x in range(len(index.centroids)):
         mine, n_left = [], sized.get(x, 0)
