@@ -23,6 +23,7 @@ HEAD_BYTES = 256
 #: Distinct terms that a task holds before it writes its counts.
 HELD = 400_000
 SHARD_BYTES = 8 << 20
+NAMES = ["row", "doc_id", "n_bytes", "n_terms", "term", "freq", "total", "n_known", "extra", "gram"]
 
 #: Makes the splitter in the worker: text bytes (never None) to a list of terms.
 Splitter = Callable[[], Callable[[bytes], list]]
@@ -70,7 +71,10 @@ def _summer(shared, make: Splitter, text: bool, extra):
         for batch in chunked(batches, "text", SHARD_BYTES):
             rows, docs, sizes, lengths, terms, freqs, totals, knowns, extras = ([] for _ in range(9))
             texts = [x or b"" for x in text_bytes(batch.column("text"))]
-            found = more(texts) if more else [None] * len(texts)
+            found, begun = [None] * len(texts), row
+            if more:
+                sums, of, grams, times = more(texts)
+                found = sums.tolist()
             for doc, x, e in zip(batch.column("doc_id").to_pylist(), texts, found, strict=True):
                 freq = Counter(split(x))
                 rare = {t: n for t, n in freq.items() if t not in known}
@@ -85,23 +89,31 @@ def _summer(shared, make: Splitter, text: bool, extra):
                 knowns += [n - n_rare, *[None] * k]
                 extras += [e, *[None] * k]
                 row += 1
-            yield pa.record_batch([pa.array(rows, long), pa.array(docs, long), pa.array(sizes, long), pa.array(lengths, long), pa.array(terms, kind), pa.array(freqs, long), pa.array(totals, pa.float64()), pa.array(knowns, long), pa.array(extras, pa.float64())], names=["row", "doc_id", "n_bytes", "n_terms", "term", "freq", "total", "n_known", "extra"])
+            yield pa.record_batch([pa.array(rows, long), pa.array(docs, long), pa.array(sizes, long), pa.array(lengths, long), pa.array(terms, kind), pa.array(freqs, long), pa.array(totals, pa.float64()), pa.array(knowns, long), pa.array(extras, pa.float64()), pa.nulls(len(rows), long)], names=NAMES)
+            if more and len(of):
+                own = {"row": pa.array(begun + of, long), "freq": pa.array(times, long), "gram": pa.array(grams, long)}
+                kinds = {"term": kind, "total": pa.float64(), "extra": pa.float64()}
+                yield pa.record_batch([own[c] if c in own else pa.nulls(len(of), kinds.get(c, long)) for c in NAMES], names=NAMES)
 
     return resolve
 
 
-def weighted_sums(docs: DataFrame, make: Splitter, table: DataFrame, value: str, absent: float, text: bool = False, head: int = HEAD, extra: Callable[[], Callable[[list[bytes]], list[float]]] | None = None) -> DataFrame:
+def weighted_sums(docs: DataFrame, make: Splitter, table: DataFrame, value: str, absent: float, text: bool = False, head: int = HEAD, extra: Callable[[], Callable[[list[bytes]], tuple]] | None = None, extra_table: DataFrame | None = None) -> DataFrame:
     """doc_id, n_bytes, n_terms, total, n_known for each row (doc_id, text): total sums, over its terms, frequency times value.
 
     A term that the table lacks has the value ``absent``; n_known counts the others. Rows
     are told apart by a number of their own, so ids may be null or repeated. extra: makes,
-    in the worker, what gives one more number for each text; its column is ``extra``.
+    in the worker, what gives one more sum for each text, and the grams that it lacks (text,
+    gram, times), which are looked up in extra_table (gram, value); its column is ``extra``.
     """
     kind = "string" if text else "binary"
     shared = docs.sparkSession.sparkContext.broadcast(head_of(table, value, head))
-    parts = materialise(docs.select("doc_id", "text").mapInArrow(_summer(shared, make, text, extra), f"row bigint, doc_id bigint, n_bytes bigint, n_terms bigint, term {kind}, freq bigint, total double, n_known bigint, extra double"), "frequencies")
+    parts = materialise(docs.select("doc_id", "text").mapInArrow(_summer(shared, make, text, extra), f"row bigint, doc_id bigint, n_bytes bigint, n_terms bigint, term {kind}, freq bigint, total double, n_known bigint, extra double, gram bigint"), "frequencies")
     met = parts.where("term is not null").select("row", "term", "freq").join(table.select("term", F.col(value).cast("double").alias("value")), "term", "left")
     none = F.lit(None).cast("bigint")
     sums = met.select("row", none.alias("doc_id"), none.alias("n_bytes"), none.alias("n_terms"), (F.col("freq") * F.coalesce("value", F.lit(absent))).alias("total"), F.when(F.col("value").isNotNull(), F.col("freq")).otherwise(0).alias("n_known"), F.lit(None).cast("double").alias("extra"))
-    sums = sums.unionByName(parts.where("term is null").select("row", "doc_id", "n_bytes", "n_terms", "total", "n_known", "extra"))
-    return sums.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_bytes", "n_terms", "extra")), F.sum("total").alias("total"), F.sum("n_known").cast("bigint").alias("n_known")).drop("row")
+    sums = sums.unionByName(parts.where("n_terms is not null").select("row", "doc_id", "n_bytes", "n_terms", "total", "n_known", "extra"))
+    if extra_table is not None:
+        met = parts.where("gram is not null").select("row", "gram", "freq").join(extra_table, "gram")
+        sums = sums.unionByName(met.select("row", (F.col("freq") * F.col("value")).alias("extra")), allowMissingColumns=True)
+    return sums.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "n_bytes", "n_terms")), F.sum("extra").alias("extra"), F.sum("total").alias("total"), F.sum("n_known").cast("bigint").alias("n_known")).drop("row")

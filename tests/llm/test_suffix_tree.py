@@ -4,8 +4,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from lexspark.llm.suffix_tree import Automaton, learn, normalised, score, tokens
+from lexspark.llm.suffix_tree import Automaton, grown, held_out, learn, normalised, score, tokens
 from lexspark.llm.terms import term_counts
+from pyspark.sql import functions as F
 
 
 def longest(tree, text):
@@ -66,3 +67,28 @@ def test_odd_rows(odd, empty):
     got = score(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r["score"]) for r in got)
     assert score(empty).count() == 0
+
+
+@pytest.mark.parametrize("head", [0, 40, 1 << 20])
+def test_no_context_is_lost(documents, head):
+    """The score by the tables is that of the whole tree, whatever part of the grams is sent out; rare contexts stay."""
+    rng = np.random.default_rng(3)
+    names = ["".join(rng.choice(list("abcdefghijkl"), size=7)) for _ in range(60)]
+    texts = [*(f"{names[i % 60]} {names[(i * 7 + 1) % 60]} {names[i % 60]}" for i in range(600)), None, "", "a"]
+    docs = documents(*enumerate(texts))
+    train = docs.where("doc_id is not null").where(~held_out(F.col("doc_id")))
+    tree = learn(train)
+    levels, kept, _ = grown(train.select("text", F.lit(False).alias("held_out")))
+    assert kept.count() == sum(len(c) for c in tree.contexts[1:]) and levels.where("k = 5").count() > 40
+    want = Automaton(tree).score([normalised((x or "").encode()) for x in texts])
+    got = {r["doc_id"]: r["score"] for r in score(docs, head=head).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], want, rtol=1e-5)
+
+
+def test_the_bar_does_not_rise_with_the_corpus(documents):
+    """A context met three times stays in 8 MB of other text, and no tree is cut to a size."""
+    common = "the cat sat on the mat and the dog " * 2400
+    docs = documents((1, "qz qz qz"), *((i + 2, common) for i in range(100)))
+    assert ord("q") in learn(docs, depth=1).contexts[1]
+    with pytest.raises(ValueError):
+        learn(docs, depth=1, most=3)
