@@ -8,8 +8,10 @@ different texts; its lines are then dropped, except from the first text that hol
 one with the smallest id), so that its content stays once. Copies of a text count as one
 text and are treated alike: whole copies are another operator's matter.
 
-Lines of fewer than ``shortest`` tokens, blank lines and lines with less than half of
-their tokens fixed are never dropped.
+Templates take no lines of fewer than ``shortest`` tokens, or with less than half of their
+tokens fixed. Besides, a line of ``long`` characters or more (blanks counted once) that is
+found alike, digits too, in two or more different texts is dropped in the same way,
+whatever its tokens are. Blank lines are never dropped.
 
 How it is dealt: small rows of hashes are counted first, texts and lines together as the
 key, so that a line in a third of all texts spreads over all tasks. Only lines of leaves
@@ -37,12 +39,17 @@ from .common import chunked, marks, materialise, sifted, text_bytes
 
 LEAD = 4
 ALIKE = 0.7
+#: Different texts that hold a template; an exact long line needs two.
 LEAST = 3
 SHORTEST = 3
+#: Characters of a line that is dropped from the second text on.
+LONG = 40
 OPEN = 8
 BITS = 26
 SHARD_BYTES = 4 << 20
 ANY = b"<*>"
+#: Bytes that begin a character.
+FIRST = bytes(c for c in range(256) if c & 0xC0 != 0x80)
 
 _digit = re.compile(rb"[0-9]")
 
@@ -65,11 +72,21 @@ def leaf_key(tokens: list[bytes], lead: int) -> int:
     return _hash(b"%d " % len(tokens) + b" ".join(tokens[:lead]))
 
 
+def exact_key(line: bytes, long: int) -> int | None:
+    """Of the line as it is but for its blanks; none for a short one."""
+    if len(line) < long:
+        return None
+    words = b" ".join(line.split())
+    if len(words) < long or len(words) - len(words.translate(None, FIRST)) < long:
+        return None
+    return _hash(b"= " + words)
+
+
 def worth(tokens: list[bytes], shortest: int) -> bool:
     return len(tokens) >= shortest and 2 * tokens.count(ANY) <= len(tokens)
 
 
-def _keys(lead: int, shortest: int):
+def _keys(lead: int, shortest: int, long: int):
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "text", SHARD_BYTES):
             row, leaf, key = [], [], []
@@ -82,6 +99,11 @@ def _keys(lead: int, shortest: int):
                         row.append(i)
                         leaf.append(leaf_key(tokens, lead))
                         key.append(k)
+                    if (k := exact_key(line, long)) is not None and k not in seen:
+                        seen.add(k)
+                        row.append(i)
+                        leaf.append(None)
+                        key.append(k)
             at = pa.array(row, pa.int64())
             yield pa.record_batch([batch.column("text_key").take(at), batch.column("doc_id").take(at), pa.array(leaf, pa.int64()), pa.array(key, pa.int64())], names=["text_key", "doc_id", "leaf", "line"])
 
@@ -171,7 +193,7 @@ def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(line, pa.int64()), pa.array(template, pa.int64())], names=["line", "template"])
 
 
-def _cleaner(text_col: str, shortest: int):
+def _cleaner(text_col: str, shortest: int, long: int):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, text_col, SHARD_BYTES):
             texts, lines, dropped = [], [], []
@@ -180,7 +202,7 @@ def _cleaner(text_col: str, shortest: int):
                 kept = parts
                 if gone.is_valid and len(gone):
                     keys = set(gone.as_py())
-                    kept = [p for p in parts if not (worth(t := parsed(p), shortest) and line_key(t) in keys)]
+                    kept = [p for p in parts if not (worth(t := parsed(p), shortest) and line_key(t) in keys or exact_key(p, long) in keys)]
                 texts.append(None if text is None else text if len(kept) == len(parts) else b"\n".join(kept))
                 lines.append(len(parts))
                 dropped.append(len(parts) - len(kept))
@@ -191,35 +213,37 @@ def _cleaner(text_col: str, shortest: int):
     return clean
 
 
-def recurring(docs: DataFrame, lead: int = LEAD, alike: float = ALIKE, least: int = LEAST, shortest: int = SHORTEST, open_most: int = OPEN, bits: int = BITS) -> DataFrame:
+def recurring(docs: DataFrame, lead: int = LEAD, alike: float = ALIKE, least: int = LEAST, shortest: int = SHORTEST, open_most: int = OPEN, bits: int = BITS, long: int = LONG) -> DataFrame:
     """(text_key, lines): for each text (doc_id, text, text_key), the keys of its lines to drop."""
     spark = docs.sparkSession
-    seen = docs.mapInArrow(_keys(lead, shortest), "text_key bigint, doc_id bigint, leaf bigint, line bigint")
+    seen = docs.mapInArrow(_keys(lead, shortest, long), "text_key bigint, doc_id bigint, leaf bigint, line bigint")
     seen = materialise(seen.groupBy("line", "leaf", "text_key").agg(F.min("doc_id").alias("doc_id")), "lines")
-    leaves = seen.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    leaves = seen.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     known = marks(leaves, "leaf", bits)
     lines = docs.select("text").mapInArrow(_texts(spark.sparkContext.broadcast(known), lead, shortest, bits), "line bigint, leaf bigint, words binary")
     lines = lines.groupBy("line").agg(F.min(F.struct("leaf", "words")).alias("x")).select("line", "x.leaf", "x.words")
     met = seen.groupBy("line").agg(F.count("*").alias("texts"))
     ordered = lines.join(met, "line").repartition("leaf").sortWithinPartitions("leaf", "words", "line")
-    templates = materialise(ordered.select("leaf", "words", "line", "texts").mapInArrow(_grower(alike, least, open_most), "line bigint, template bigint"), "templates")
+    templates = ordered.select("leaf", "words", "line", "texts").mapInArrow(_grower(alike, least, open_most), "line bigint, template bigint").withColumn("least", F.lit(least))
+    exact = seen.where("leaf is null").groupBy("line").agg(F.count("*").alias("n")).where("n >= 2").select("line", F.col("line").alias("template"), F.lit(2).alias("least"))
+    templates = materialise(templates.unionByName(exact), "templates")
 
-    held = materialise(seen.join(templates, "line").select("template", "line", "text_key", "doc_id"), "held")
-    texts = held.groupBy("template", "text_key").agg(F.min("doc_id").alias("doc_id"))
+    held = materialise(seen.join(templates, "line").select("template", "least", "line", "text_key", "doc_id"), "held")
+    texts = held.groupBy("template", "least", "text_key").agg(F.min("doc_id").alias("doc_id"))
     ids = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    often = texts.groupBy("template").agg(F.count("*").alias("n"), F.min(F.struct(ids.alias("doc_id"), F.col("text_key").alias("first"))).alias("x")).where(F.col("n") >= least)
+    often = texts.groupBy("template", "least").agg(F.count("*").alias("n"), F.min(F.struct(ids.alias("doc_id"), F.col("text_key").alias("first"))).alias("x")).where(F.col("n") >= F.col("least"))
     often = materialise(often.select("template", "x.first"), "often")  # two plain shuffles meet, so a hot template can be split
     gone = held.join(often.hint("merge"), "template").where(F.col("text_key") != F.col("first"))
     return gone.groupBy("text_key").agg(F.collect_set("line").alias("lines"))
 
 
-def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, **options) -> DataFrame:
+def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, long: int = LONG, **options) -> DataFrame:
     """All rows and columns of docs, the text without its recurring lines, and __lx_lines and __lx_dropped: how many it had and lost."""
     key = F.xxhash64(F.col(text_col))
     view = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("text_key"))
-    gone = materialise(recurring(view, shortest=shortest, **options), "recurring").select(F.col("text_key").alias("__lx_key"), F.col("lines").alias("__lx_gone"))
+    gone = materialise(recurring(view, shortest=shortest, long=long, **options), "recurring").select(F.col("text_key").alias("__lx_key"), F.col("lines").alias("__lx_gone"))
     maybe, rest = sifted(docs.withColumn("__lx_hash", key), marks(gone, "__lx_key"), "__lx_hash")
     joined = maybe.join(gone.hint("merge"), F.col("__lx_hash") == F.col("__lx_key"), "left").drop("__lx_key", "__lx_hash")
     joined = joined.unionByName(rest.drop("__lx_hash").withColumn("__lx_gone", F.lit(None).cast("array<bigint>")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(_cleaner(text_col, shortest), f"{fields}, `__lx_lines` bigint, `__lx_dropped` bigint")
+    return joined.mapInArrow(_cleaner(text_col, shortest, long), f"{fields}, `__lx_lines` bigint, `__lx_dropped` bigint")

@@ -44,3 +44,12 @@ def test_odd_rows(odd, empty):
     assert {r["text"] for r in got.where("doc_id = 1").collect()} == {None}
     assert got.where("__lx_dropped > 0").count() == 0
     assert cleaned(empty).count() == 0
+
+
+def test_long_lines_go_from_the_second_text_on(documents):
+    """In two texts only; also mostly digits, or without blanks. Lines that differ in a digit, and short ones, stay."""
+    same = ["a passage of plain words that two different texts hold alike", "10.1 20.2 30.3 40.4 50.5 60.6 70.7 80.8 90.9 11.1", "今日は天気がとても良いので公園へ散歩に行きましたそして友達に会って一緒に昼ご飯を食べました", "x" * 40]
+    other = ["short one", "日本語の行", "1.1 20.2 30.3 40.4 50.5 60.6 70.7 80.8 90.9 11.{}"]
+    docs = [(i, "\n".join([f"own {'abc'[i]}", *same, *(x.format(i) for x in other)])) for i in (2, 1)]
+    got = text_of(cleaned(documents(*docs)))
+    assert got == {1: docs[1][1], 2: "\n".join(["own c", *(x.format(2) for x in other)])}
