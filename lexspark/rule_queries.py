@@ -113,8 +113,8 @@ def em_mstep_normalize(spark, d):
 
 @query("em_train")
 def em_train(spark, d):
-    """Alignment of the letters of names' and types' first words: two iterations."""
-    rows = spark.read.parquet(f"{d}/part.parquet").select(F.split(F.lower(F.substring("p_name", 1, 6)), "").alias("x"), F.split(F.lower(F.substring("p_type", 1, 6)), "").alias("y"))
+    """Alignment of the letters of whole names and types: two iterations."""
+    rows = spark.read.parquet(f"{d}/part.parquet").select(F.split(F.lower("p_name"), "").alias("x"), F.split(F.lower("p_type"), "").alias("y"))
     pairs = rows.select(*(F.filter(c, lambda v: v != "").alias(c) for c in ("x", "y")))
     letters = sorted({r[0] for r in pairs.select(F.explode(F.array_union("x", "y"))).distinct().collect()})
     return em.train(pairs, em.initial(spark, letters, letters), 2)[0]
@@ -127,10 +127,10 @@ def random_sentences(spark, d):
 
 @query("lattice_counts", "WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part), g AS (SELECT unnest([t[1], t[2]]) AS word, 0.5 AS c FROM w) SELECT 1 AS ord, '' AS hist, word, sum(c)::DOUBLE AS c FROM g GROUP BY word UNION ALL SELECT 1, '', '</s>', count(*)::DOUBLE FROM w")
 def lattice_counts(spark, d):
-    """Each part is a lattice of its name's first two words as alternatives of equal weight."""
+    """Each part is a lattice of all words of its name as alternatives of equal weight."""
     t = F.split("p_name", " ")
-    arc = lambda k: F.struct(F.lit(0).alias("src"), t[k].alias("word"), F.lit(0.6931471805599453).alias("weight"), F.lit(-1).alias("dst"))
-    rows = _names(spark, d).select(F.array(arc(0), arc(1)).alias("lattice"))
+    arcs = F.transform(t, lambda w: F.struct(F.lit(0).alias("src"), w.alias("word"), F.log(F.size(t).cast("double")).alias("weight"), F.lit(-1).alias("dst")))
+    rows = _names(spark, d).select(arcs.alias("lattice"))
     return lattices.count_lattices(rows, 1).withColumn("c", F.round("c", 6))
 
 
@@ -217,5 +217,4 @@ def presmoothed_bigram(spark, d):
 def speech_rule_optional(spark, d):
     """All outputs of an optional rule."""
     rule = cdrewrite(cross("a", "4"), "", "", ANY, "ltr", "opt")
-    short = _names(spark, d).withColumn("p_name", F.substring("p_name", 1, 8))
-    return rules.apply(short, "p_name", rule, "outputs", "rewrites").select("p_partkey", F.explode("outputs").alias("output"))
+    return rules.apply(_names(spark, d), "p_name", rule, "outputs", "rewrites").select("p_partkey", F.explode("outputs").alias("output"))
