@@ -22,16 +22,16 @@ def _of_order(seq: Column, n: int) -> Column:
     return F.transform(at, lambda i: F.struct(F.lit(n).alias("ord"), F.array_join(F.slice(seq, i, F.lit(n - 1)), " ").alias("hist"), F.element_at(seq, i + n - 1).alias("word")))
 
 
-def grams(seq: Column, order: int) -> Column:
-    """All n-grams up to an order of a padded sequence, as structs."""
-    return F.concat(*(_of_order(seq, n) for n in range(1, order + 1)))
+def grams(seq: Column, order: int, only: list[int] | None = None) -> Column:
+    """All n-grams up to an order of a padded sequence, or those of some orders, as structs."""
+    return F.concat(*(_of_order(seq, n) for n in only or range(1, order + 1)))
 
 
-def count(rows: DataFrame, order: int = 3, text: str = "text", by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
-    """(by..., ord, hist, word, c). A weight of a row counts for each of its n-grams."""
+def count(rows: DataFrame, order: int = 3, text: str = "text", by: list[str] | None = None, weight: Column | None = None, only: list[int] | None = None) -> DataFrame:
+    """(by..., ord, hist, word, c). A weight of a row counts for each of its n-grams. only: the orders to count, in place of all."""
     keys = by or []
     made = rows.select(*keys, F.posexplode(F.array(padded(tokens(F.col(text))))).alias("_k", "seq"), *([weight.alias("_w")] if weight is not None else []))
-    made = made.select(*keys, *(["_w"] if weight is not None else []), F.explode(grams(F.col("seq"), order)).alias("g"))
+    made = made.select(*keys, *(["_w"] if weight is not None else []), F.explode(grams(F.col("seq"), order, only)).alias("g"))
     total = F.count("*") if weight is None else F.sum("_w")
     return made.groupBy(*keys, F.col("g.ord").alias("ord"), F.col("g.hist").alias("hist"), F.col("g.word").alias("word")).agg(total.alias("c"))
 
@@ -87,15 +87,35 @@ def count_of_counts(counts: DataFrame, bins: int = 32) -> DataFrame:
     return counts.select("ord", r.alias("r")).where((F.col("r") >= 1) & (F.col("r") <= bins + 1)).groupBy("ord", "r").agg(F.count("*").alias("n"))
 
 
-def histogram(rows: DataFrame, order: int = 3, text: str = "text", most: int = 5, id_col: str = "doc_id") -> DataFrame:
-    """(ord, hist, word, expected, p): p[k] is the chance that the n-gram occurs k times, for unweighted documents 0 or 1 by row.
+def histogram(rows: DataFrame, order: int = 3, text: str = "text", most: int = 5, weight: Column | None = None) -> DataFrame:
+    """(ord, hist, word, expected, p): p[k] is the chance that the n-gram occurs k times in all rows, k up to ``most``.
 
-    Documents without weights have certain counts; counts above ``most`` share no bin.
+    A row is there with the probability ``weight`` (always, if none is given), independently
+    of the others, and has then the n-gram as often as it is counted in it: the distributions
+    of all rows are convolved. Rows with the same count and weight are one factor whose power
+    has a closed form, so that what is folded for an n-gram is a few numbers whatever its
+    count. Mass of more than ``most`` is left off.
     """
-    per = count(rows, order, text, by=[id_col])
-    sums = per.groupBy(*GRAM).agg(F.sum("c").alias("expected"))
-    bin_ = lambda k: F.when(F.col("expected") == k, 1.0).otherwise(0.0)
-    return sums.select(*GRAM, F.col("expected").cast("double").alias("expected"), F.array(*(bin_(k) for k in range(most + 1))).alias("p"))
+    seq = padded(tokens(F.col(text)))
+    one = rows.select(F.monotonically_increasing_id().alias("_id"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("_w"), seq.alias("_seq"))
+    one = one.select("_id", "_w", F.explode(grams(F.col("_seq"), order)).alias("g"))
+    each = one.groupBy("_id", F.col("g.ord").alias("ord"), F.col("g.hist").alias("hist"), F.col("g.word").alias("word")).agg(F.first("_w").alias("w"), F.count("*").alias("c"))
+    # Rows that hold the n-gram more than ``most`` times are alike: none of it is left if one is there.
+    alike = each.groupBy(*GRAM, F.least("c", F.lit(most + 1)).alias("c"), "w").agg(F.count("*").alias("m"), F.sum(F.col("w") * F.col("c")).alias("e"))
+    j = F.sequence(F.lit(0), F.lit(most))
+    ways = F.transform(j, lambda i: F.aggregate(F.sequence(F.lit(1), F.greatest(i, F.lit(1))), F.lit(1.0), lambda s, x: F.when(i == 0, s).otherwise(s * (F.col("m") - x + 1) / x)))
+    power = lambda base, n: F.when(n == 0, 1.0).otherwise(F.pow(base, n))
+    chance = F.transform(j, lambda i: F.when(i > F.col("m"), 0.0).otherwise(F.element_at(ways, (i + 1).cast("int")) * power(F.col("w"), i) * power(1 - F.col("w"), F.col("m") - i)))
+    factor = F.transform(j, lambda k: F.when(k % F.col("c") == 0, F.element_at(chance, (F.floor(k / F.col("c")) + 1).cast("int"))).otherwise(0.0))
+    folded = alike.groupBy(*GRAM).agg(F.sum("e").alias("expected"), F.collect_list(F.struct("c", "w", factor.alias("f"))).alias("all"))
+    start = F.transform(j, lambda k: F.when(k == 0, 1.0).otherwise(0.0))
+    return folded.select(*GRAM, "expected", F.aggregate(F.transform(F.sort_array("all"), lambda x: x["f"]), start, lambda a, f: convolved(a, f, most + 1)).alias("p"))
+
+
+def count_of_histograms(histograms: DataFrame, bins: int = 32) -> DataFrame:
+    """(ord, r, n): the expected number of n-grams of an order that occur r times, r up to the length of p."""
+    rows = histograms.select("ord", F.posexplode("p").alias("r", "q")).where((F.col("r") >= 1) & (F.col("r") <= bins + 1) & (F.col("q") > 0))
+    return rows.groupBy("ord", F.col("r").cast("bigint").alias("r")).agg(F.sum("q").alias("n"))
 
 
 def convolved(a: Column, b: Column, bins: int = 6) -> Column:

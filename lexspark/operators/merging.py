@@ -106,10 +106,28 @@ def split(counts: DataFrame, bounds: list[list[str]]) -> DataFrame:
 
 
 def choose_contexts(counts: DataFrame, parts: int) -> list[list[str]]:
-    """Bounds that give each part about the same count of bigrams, by the last word of the history."""
-    sums = counts.where("ord = 2").groupBy(F.col("hist").alias("w")).agg(F.sum("c").alias("c"))
-    ranged = sums.repartitionByRange(parts, "w").groupBy(F.spark_partition_id().alias("k")).agg(F.min("w").alias("begin"))
-    return [[r["begin"]] for r in ranged.orderBy("k").collect()][1:]
+    """Bounds that give each part about the same mass of counts of bigrams, by the last word of the history.
+
+    Words are dealt to many more ranges than parts; the driver sees the first word and the
+    mass of each range, and cuts where the mass passes the next share.
+    """
+    sums = counts.where("ord = 2").groupBy(F.col("hist").alias("w")).agg(F.sum("c").cast("double").alias("c"))
+    ranged = sums.repartitionByRange(64 * parts, "w").groupBy(F.spark_partition_id().alias("k")).agg(F.min("w").alias("begin"), F.sum("c").alias("mass")).collect()
+    ranges = sorted((r["begin"], r["mass"]) for r in ranged)
+    total, upto, out = sum(m for _, m in ranges), 0.0, []
+    for begin, mass in ranges:
+        if upto >= (len(out) + 1) * total / parts and len(out) < parts - 1:
+            out.append([begin])
+        upto += mass
+    return out
+
+
+def in_extended(hist: Column, begin: list[str], end: list[str]) -> Column:
+    """Whether a history is in a context, or is a suffix of one that is: it may be needed there."""
+    h = reversed_history(hist)
+    bound = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    starts = lambda x: (F.size(h) <= len(x)) & (h == F.slice(bound(x), F.lit(1), F.size(h))) if x else F.lit(False)
+    return in_context(hist, begin, end) | starts(begin) | (F.size(h) == 0)
 
 
 def merge_context(a: DataFrame, b: DataFrame, inside: Column, value: str = "p") -> DataFrame:

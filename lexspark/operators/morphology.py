@@ -163,12 +163,19 @@ def _vector(category: Category, *settings: str) -> FeatureVector:
     return FeatureVector.of(category, *settings)
 
 
+def _unsupported(name: str):
+    def fail(*_):
+        raise NotImplementedError(f"{name} of the rule language isn't supported: Paradigm inflects, analyses and lemmatises columns")
+
+    return fail
+
+
 #: What the rule language calls.
 GRAMMAR = {
     "Feature": lambda name, *values: Feature(name if isinstance(name, str) else name.string(), tuple(v if isinstance(v, str) else v.string() for v in values)),
     "Category": lambda *features: Category.of(*features),
     "FeatureVector": lambda category, *settings: _vector(category, *(s if isinstance(s, str) else s.string() for s in settings)),
-    "Analyzer": lambda category, forms, *rest: cross(forms, forms),
-    "Tagger": lambda category, forms, *rest: concat(forms, FeatureVector(category).acceptor),
-    "ParadigmReplace": lambda slots, stems, *rest: concat(stems, slots),
+    "Analyzer": _unsupported("Analyzer"),
+    "Tagger": _unsupported("Tagger"),
+    "ParadigmReplace": _unsupported("ParadigmReplace"),
 }

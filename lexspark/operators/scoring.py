@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import EOS, padded, tokens
-from .smoothing import NEVER, Model
+from ..tables import kept
+from .smoothing import NEVER, Model, backoffs
 
 OOV_SIZE = 10_000
 
@@ -29,37 +30,54 @@ def _cut(hist: Column, n: int) -> Column:
     return F.substring_index(hist, " ", -n) if n else F.lit("")
 
 
-def score(events: DataFrame, model: Model, oov: float = 0.0, oov_size: int = OOV_SIZE) -> DataFrame:
+def with_unknown(model: Model, oov: float) -> Model:
+    """Unigrams less the mass of unknown words, and backoffs anew, so that the model stays normalised."""
+    scaled = model.grams.withColumn("p", F.when(F.col("ord") == 1, F.col("p") * (1 - oov)).otherwise(F.col("p")))
+    return Model(scaled, backoffs(scaled, model.order), model.order)
+
+
+def score(events: DataFrame, model: Model, oov: float = 0.0, oov_size: int = OOV_SIZE, oov_symbol: str | None = None) -> DataFrame:
     """events (..., hist, word) with p, used (the order that was found, 0 for an unknown word) and oov.
 
     One left join for each order on (history, word) and one for each backoff. With ``oov``
-    an unknown word has that mass over ``oov_size``, and known unigrams the rest.
+    an unknown word has that mass over ``oov_size`` below its history's backoffs, and known
+    unigrams the rest. ``oov_symbol``: a word of the model that stands for ``oov_size``
+    unknown ones; it and each of them have its probability over that number.
     """
+    if not 0 <= oov < 1:
+        raise ValueError("the probability of unknown words must be at least 0 and less than 1")
+    if oov and oov_symbol:
+        raise ValueError("a named symbol has its own probability")
+    if oov:
+        model = with_unknown(model, oov)
     order = model.order
+    alphas = kept(model.backoffs, "backoffs") if order > 2 else model.backoffs
     out = events.withColumn("_len", F.when(F.col("hist") == "", 0).otherwise(F.size(F.split("hist", " "))))
     for n in range(1, order + 1):
         table = model.grams.where(F.col("ord") == n).select(F.col("hist").alias(f"_h{n}"), F.col("word").alias(f"_w{n}"), F.col("p").alias(f"_p{n}"))
         out = out.join(table, (F.when(F.col("_len") >= n - 1, _cut(F.col("hist"), n - 1)) == F.col(f"_h{n}")) & (F.col("word") == F.col(f"_w{n}")), "left").drop(f"_h{n}", f"_w{n}")
         if n > 1:
-            table = model.backoffs.select(F.col("hist").alias(f"_h{n}"), F.col("alpha").alias(f"_a{n}"))
+            table = alphas.select(F.col("hist").alias(f"_h{n}"), F.col("alpha").alias(f"_a{n}"))
             out = out.join(table, F.when(F.col("_len") >= n - 1, _cut(F.col("hist"), n - 1)) == F.col(f"_h{n}"), "left").drop(f"_h{n}")
-    p, used = F.lit(None).cast("double"), F.lit(0)
-    p = F.col("_p1") * (1 - oov) if oov else F.col("_p1")
-    used = F.when(F.col("_p1").isNotNull(), 1).otherwise(0)
+    unit = F.lit(oov / oov_size) if oov else F.lit(None).cast("double")
+    named = F.lit(False)
+    if oov_symbol:
+        share = model.grams.where((F.col("ord") == 1) & (F.col("word") == oov_symbol)).agg(F.max("p").alias("_named"))  # one row
+        out = out.crossJoin(F.broadcast(share))
+        unit, named = F.col("_named") / oov_size, F.col("word") == oov_symbol
+    unknown = F.col("_p1").isNull()
+    p = F.coalesce("_p1", unit)
+    used = F.when(unknown, 0).otherwise(1)
     for n in range(2, order + 1):
         p = F.coalesce(F.col(f"_p{n}"), F.coalesce(F.col(f"_a{n}"), F.lit(1.0)) * p)
         used = F.when(F.col(f"_p{n}").isNotNull(), n).otherwise(used)
-    unknown = F.col("_p1").isNull()
-    p = F.when(unknown, F.lit(oov / oov_size) if oov else F.lit(None)).otherwise(p)
-    drop = ["_len", *(f"_p{n}" for n in range(1, order + 1)), *(f"_a{n}" for n in range(2, order + 1))]
-    return out.withColumn("p", p).withColumn("used", used).withColumn("oov", unknown).drop(*drop)
+    drop = ["_len", *(f"_p{n}" for n in range(1, order + 1)), *(f"_a{n}" for n in range(2, order + 1)), *(["_named"] if oov_symbol else [])]
+    return out.withColumn("p", F.when(named, p / oov_size).otherwise(p)).withColumn("used", used).withColumn("oov", unknown | named).drop(*drop)
 
 
 def reset_after_unknown(events: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """Histories that begin after the last unknown word before each event (no OOV mass: skipped words leave no context)."""
+    """Histories that begin after the last unknown word before each event: unknown words leave no context."""
     known = model.grams.where("ord = 1").select("word").withColumn("_known", F.lit(True))
-    from pyspark.sql import Window
-
     flagged = events.join(known, "word", "left")
     before = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     last = F.coalesce(F.max(F.when(F.col("_known").isNull(), F.col("pos"))).over(before), F.lit(0))
@@ -68,20 +86,23 @@ def reset_after_unknown(events: DataFrame, model: Model, keys: list[str]) -> Dat
     return flagged.withColumn("hist", cut).drop("_known")
 
 
-def perplexity(rows: DataFrame, model: Model, text: str = "text", by: list[str] | None = None, oov: float = 0.0, id_col: str = "doc_id") -> DataFrame:
-    """(by..., sentences, words, oovs, skipped, logprob10, perplexity)."""
+def perplexity(rows: DataFrame, model: Model, text: str = "text", by: list[str] | None = None, oov: float = 0.0, id_col: str = "doc_id", oov_size: int = OOV_SIZE, oov_symbol: str | None = None, inside: Column | None = None) -> DataFrame:
+    """(by..., sentences, words, oovs, skipped, logprob10, perplexity).
+
+    inside: a condition on the column hist; the logarithms of words whose history is outside
+    are left off, while all words count.
+    """
     keys = [*(by or []), id_col]
-    events = predictions(rows, model.order, text, keys)
-    if not oov:
-        events = reset_after_unknown(events, model, keys)
-    scored = score(events, model, oov)
+    events = reset_after_unknown(predictions(rows, model.order, text, keys), model, keys)
+    scored = score(events, model, oov, oov_size, oov_symbol)
+    summed = F.log10("p") if inside is None else F.when(inside, F.log10("p"))
     end = F.col("word") == EOS
     sums = scored.groupBy(*(by or [])).agg(
         F.sum(F.when(end, 1).otherwise(0)).alias("sentences"),
         F.sum(F.when(end, 0).otherwise(1)).alias("words"),
         F.sum(F.when(F.col("oov"), 1).otherwise(0)).alias("oovs"),
         F.sum(F.when(F.col("p").isNull(), 1).otherwise(0)).alias("skipped"),
-        F.sum(F.log10("p")).alias("logprob10"),
+        F.coalesce(F.sum(summed), F.lit(0.0)).alias("logprob10"),
     )
     n = F.col("words") - F.col("skipped") + F.col("sentences")
     return sums.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("logprob10") / n))

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import BOS
+from ..tables import kept
 from .counting import head, ngram, suffix, tail
 from .scoring import history_probability
 from .smoothing import Model, backoffs
@@ -23,9 +24,9 @@ def _scored(model: Model) -> DataFrame:
     g = model.grams
     low = g.select((F.col("ord") + 1).alias("ord"), F.col("hist").alias("low"), "word", F.col("p").alias("q"))
     high = g.where("ord > 1").withColumn("low", suffix("hist")).join(low, ["ord", "low", "word"])
-    h = Window.partitionBy("ord", "hist")
-    high = high.withColumn("num", 1 - F.sum("p").over(h)).withColumn("den", 1 - F.sum("q").over(h))
-    high = high.join(model.backoffs, "hist").join(history_probability(model), "hist", "left")
+    high = kept(high, "pairs")
+    sums = kept(high.groupBy("hist").agg((1 - F.sum("p")).alias("num"), (1 - F.sum("q")).alias("den")), "sums")
+    high = high.join(sums, "hist").join(model.backoffs, "hist").join(history_probability(model), "hist", "left")
     return high.withColumn("alpha2", (F.col("num") + F.col("p")) / (F.col("den") + F.col("q"))).withColumn("ph", F.coalesce("ph", F.lit(0.0)))
 
 
@@ -35,8 +36,15 @@ def relative_entropy_scores(model: Model) -> DataFrame:
     return _scored(model).select("ord", "hist", "word", (-F.col("ph") * lost).alias("score"))
 
 
-def seymore_scores(model: Model, total: float) -> DataFrame:
-    """(ord, hist, word, score): total p(h, w) (log p(w|h) - log of its backed-off probability)."""
+def estimated_total(model: Model) -> float:
+    """How many unigrams were counted, from the two smallest probabilities: they differ by one count."""
+    low = [r["p"] for r in model.grams.where("ord = 1").select("p").distinct().orderBy("p").limit(2).collect()]
+    return 1 / (low[1] - low[0]) if len(low) > 1 else 1 / low[0]
+
+
+def seymore_scores(model: Model, total: float | None = None) -> DataFrame:
+    """(ord, hist, word, score): total p(h, w) (log p(w|h) - log of its backed-off probability). Without a total, the estimated one."""
+    total = estimated_total(model) if total is None else total
     kept = F.col("ph") * F.col("p") * (F.log("p") - F.log(F.col("alpha2") * F.col("q")))
     return _scored(model).select("ord", "hist", "word", (total * kept).alias("score"))
 
@@ -53,34 +61,53 @@ def propagated(scores: DataFrame, order: int) -> DataFrame:
     return out
 
 
-def shrink(model: Model, scores: DataFrame, theta: float, strict: bool = True) -> Model:
-    """Without the n-grams whose effective score is below theta; backoffs anew."""
+def shrink(model: Model, scores: DataFrame, theta: float, strict: bool = True, least_order: int = 2, inside: Column | None = None) -> Model:
+    """Without the n-grams whose effective score is below theta; backoffs anew.
+
+    least_order: n-grams of fewer words stay. inside: a condition on the column hist; only
+    n-grams in that context stay besides, with the shorter ones that they need.
+    """
+    from .merging import context_prune
+
     effective = propagated(scores, model.order)
-    gone = effective.where(F.col("score") < theta if strict else F.col("score") <= theta).select("ord", "hist", "word")
-    kept = model.grams.join(gone, ["ord", "hist", "word"], "left_anti")
-    return Model(kept, backoffs(kept, model.order), model.order)
+    gone = effective.where((F.col("score") < theta if strict else F.col("score") <= theta) & (F.col("ord") >= least_order)).select("ord", "hist", "word")
+    left = model.grams.join(gone, ["ord", "hist", "word"], "left_anti")
+    if inside is not None:
+        left = context_prune(left, inside | (F.col("ord") < least_order), model.order)
+    left = kept(left, "shrunk")
+    return Model(left, backoffs(left, model.order), model.order)
 
 
-def relative_entropy(model: Model, theta: float) -> Model:
+def relative_entropy(model: Model, theta: float, **options) -> Model:
     from math import log1p
 
-    return shrink(model, relative_entropy_scores(model), log1p(theta))
+    return shrink(model, relative_entropy_scores(model), log1p(theta), **options)
 
 
-def seymore(model: Model, theta: float, total: float) -> Model:
-    return shrink(model, seymore_scores(model, total), theta)
+def seymore(model: Model, theta: float, total: float | None = None, **options) -> Model:
+    return shrink(model, seymore_scores(model, total), theta, **options)
 
 
 def theta_for_size(model: Model, scores: DataFrame, target: int) -> float:
-    """Between the score of the last n-gram kept and of the first that goes, for a number of n-grams; ties go together."""
+    """Between the score of the last n-gram kept and of the first that goes, for a number of n-grams; ties go together.
+
+    Distinct scores are dealt to ranges; the driver sees one count for each range, and only
+    the range that holds the border is summed along.
+    """
     effective = propagated(scores, model.order)
     room = target - model.grams.where("ord = 1").count()
-    ends = effective.groupBy("score").agg(F.count("*").alias("n"))  # distinct scores, largest first
-    ranked = ends.withColumn("upto", F.sum("n").over(Window.orderBy(F.desc("score"))))
-    r = ranked.agg(F.min(F.when(F.col("upto") <= room, F.col("score"))).alias("last"), F.max(F.when(F.col("upto") > room, F.col("score"))).alias("next")).first()
-    if r["next"] is None:
-        return float("-inf")
-    return (r["last"] + r["next"]) / 2 if r["last"] is not None else float("inf")
+    ends = effective.groupBy("score").agg(F.count("*").alias("n"))
+    ranged = kept(ends.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()), "scores")
+    sizes = ranged.groupBy("part").agg(F.sum("n").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).orderBy(F.desc("high")).collect()
+    upto, last = 0, None
+    for r in sizes:
+        if upto + r["n"] > room:
+            own = ranged.where(F.col("part") == r["part"]).withColumn("upto", F.sum("n").over(Window.partitionBy("part").orderBy(F.desc("score"))) + upto)
+            found = own.agg(F.min(F.when(F.col("upto") <= room, F.col("score"))).alias("last"), F.max(F.when(F.col("upto") > room, F.col("score"))).alias("next")).first()
+            last = found["last"] if found["last"] is not None else last
+            return (last + found["next"]) / 2 if last is not None else float("inf")
+        upto, last = upto + r["n"], r["low"]
+    return float("-inf")
 
 
 def count_prune(counts: DataFrame, pattern: str, order: int) -> DataFrame:
@@ -107,11 +134,27 @@ def count_prune(counts: DataFrame, pattern: str, order: int) -> DataFrame:
     return out
 
 
-def list_prune(grams: DataFrame, listed: DataFrame, order: int) -> DataFrame:
-    """Without each listed n-gram (column ngram) and all that contain one; unigrams stay."""
+def list_prune(grams: DataFrame, listed: DataFrame, order: int, retry_lower: bool = False) -> DataFrame:
+    """Without each listed n-gram (column ngram) and all that contain one; unigrams stay.
+
+    retry_lower: a listed n-gram with a word that isn't in the table is taken in lower case.
+    """
+    wanted = listed.select("ngram").distinct()
+    if retry_lower:
+        words = wanted.select("ngram", F.explode(F.split("ngram", " ")).alias("word")).join(grams.where("ord = 1").select("word", F.lit(1).alias("known")), "word", "left")
+        wanted = words.groupBy("ngram").agg(F.count("*").alias("n"), F.count("known").alias("k")).select(F.when(F.col("n") == F.col("k"), F.col("ngram")).otherwise(F.lower("ngram")).alias("ngram")).distinct()
+    wanted = kept(wanted, "listed")
+    lengths = sorted(r[0] for r in wanted.select(F.size(F.split("ngram", " "))).distinct().collect() if r[0] <= order)  # the order at most
     words = F.split(ngram(), " ")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda k: F.array_join(F.slice(words, i, k), " "))))
-    hit = grams.where("ord > 1").select("ord", "hist", "word", F.explode(parts).alias("part")).join(listed.select(F.col("ngram").alias("part")).distinct(), "part", "left_semi").select("ord", "hist", "word").distinct()
+    if not lengths:
+        return grams
+
+    def runs(k: int) -> Column:
+        at = F.when(F.size(words) >= k, F.sequence(F.lit(1), F.size(words) - k + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
+
+    parts = F.flatten(F.array(*map(runs, lengths)))
+    hit = grams.where("ord > 1").select("ord", "hist", "word", F.explode(parts).alias("part")).join(wanted.select(F.col("ngram").alias("part")), "part", "left_semi").select("ord", "hist", "word").distinct()
     return grams.join(hit, ["ord", "hist", "word"], "left_anti")
 
 
@@ -123,37 +166,69 @@ def complete(grams: DataFrame, order: int) -> DataFrame:
     return out.where(~((F.col("ord") == 1) & (F.col("word") == BOS)))
 
 
-def greedy(model: Model, scores: DataFrame, theta: float) -> Model:
-    """One n-gram at a time within each history, the lowest score first, with its backoff sums kept up to date."""
-    import pyarrow as pa
+def greedy(model: Model, theta: float) -> Model:
+    """One n-gram at a time within each history, the lowest score first, with its backoff sums kept up to date.
+
+    Each removal changes the scores of all n-grams of the history, so one history is one
+    sequence of steps in one task, on arrays of numbers.
+    """
+    import numpy as np
+    import pandas as pd
 
     raw = _scored(model).select("ord", "hist", "word", "p", "q", "num", "den", "ph")
     longer = model.grams.where("ord > 2").select((F.col("ord") - 1).alias("ord"), head(F.col("hist")).alias("hist"), tail(F.col("hist")).alias("word")).distinct().withColumn("needed", F.lit(True))
     rows = raw.join(longer, ["ord", "hist", "word"], "left").withColumn("needed", F.coalesce("needed", F.lit(False)))
 
-    def prune(table: pa.Table) -> pa.Table:
-        from math import log
-
-        live = table.to_pylist()
-        gone = []
-        num, den = live[0]["num"], live[0]["den"]
-        while True:
-            best = None
-            for r in live:
-                if r["needed"] or den <= 0 or num <= 0:
-                    continue
-                a2 = (num + r["p"]) / (den + r["q"])
-                s = -r["ph"] * (r["p"] * (log(r["q"]) + log(a2) - log(r["p"])) + num * (log(a2) - log(num / den)))
-                if s <= theta and (best is None or s <= best[0]):
-                    best = (s, r)
-            if best is None:
+    def prune(table: pd.DataFrame) -> pd.DataFrame:
+        p, q, ph = (table[c].to_numpy(dtype=float) for c in ("p", "q", "ph"))
+        live = ~table["needed"].to_numpy(dtype=bool)
+        num, den = float(table["num"].iloc[0]), float(table["den"].iloc[0])
+        gone = np.zeros(len(p), dtype=bool)
+        while live.any() and num > 0 and den > 0:
+            at = np.flatnonzero(live)
+            a2 = (num + p[at]) / (den + q[at])
+            s = -ph[at] * (p[at] * (np.log(q[at]) + np.log(a2) - np.log(p[at])) + num * (np.log(a2) - np.log(num / den)))
+            k = len(s) - 1 - int(np.argmin(s[::-1]))  # of equal ones the later
+            if s[k] > theta:
                 break
-            r = best[1]
-            num, den = num + r["p"], den + r["q"]
-            live.remove(r)
-            gone.append({k: r[k] for k in ("ord", "hist", "word")})
-        return pa.Table.from_pylist(gone, schema=pa.schema([("ord", pa.int32()), ("hist", pa.string()), ("word", pa.string())]))
-
-    gone = rows.groupBy("ord", "hist").applyInArrow(prune, "ord int, hist string, word string")
-    kept = model.grams.join(gone, ["ord", "hist", "word"], "left_anti")
-    return Model(kept, backoffs(kept, model.order), model.order)
+            k = at[k]
+            live[k], gone[k] = False, True
+            num, den = num + p[k], den + q[k]
+        return table.loc[gone, ["ord", "hist", "word"]]
+
+    gone = rows.groupBy("ord", "hist").applyInPandas(lambda t: prune(t.sort_values("word")), "ord int, hist string, word string")
+    left = kept(model.grams.join(gone, ["ord", "hist", "word"], "left_anti"), "shrunk")
+    return Model(left, backoffs(left, model.order), model.order)
+
+
+def shrunk(model: Model, method: str, theta: float = 0.0, target: int | None = None, total: float | None = None, least_order: int = 2, inside: Column | None = None, one_by_one: bool = False, listed: DataFrame | None = None, retry_lower: bool = False) -> Model:
+    """Shrinking by the name of a method: relative_entropy, seymore, list_prune or context_prune.
+
+    Counts are pruned by ``count_prune`` and, in a context, ``merging.context_prune``.
+    """
+    from .merging import context_prune
+
+    if least_order < 2:
+        raise ValueError("unigrams are never removed: the least order is 2")
+    if inside is not None and (one_by_one or target is not None):
+        raise ValueError("a context excludes a target size and removal one by one")
+    if method in ("list_prune", "context_prune"):
+        if (listed if method == "list_prune" else inside) is None:
+            raise ValueError(f"{method} needs its list or context")
+        left = list_prune(model.grams, listed, model.order, retry_lower) if method == "list_prune" else context_prune(model.grams, inside, model.order)
+        left = kept(left, "shrunk")
+        return Model(left, backoffs(left, model.order), model.order)
+    if method not in ("relative_entropy", "seymore"):
+        raise ValueError(f"unknown method: {method}")
+    if one_by_one:
+        if method != "relative_entropy":
+            raise ValueError("only relative entropy goes one by one")
+        return greedy(model, theta)
+    scores = kept(relative_entropy_scores(model) if method == "relative_entropy" else seymore_scores(model, total), "scores")
+    if target is not None:
+        theta = theta_for_size(model, scores.where(F.col("ord") >= least_order), target)
+    elif method == "relative_entropy":
+        from math import log1p
+
+        theta = log1p(theta)
+    return shrink(model, scores, theta, least_order=least_order, inside=inside)

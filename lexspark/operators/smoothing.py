@@ -2,7 +2,9 @@
 
 A model is two tables: grams (ord, hist, word, p) and backoffs (hist, alpha). Each order
 needs one join to the one below on (suffix of the history, word); no loop is longer than
-the order.
+the order. Totals of histories are summed before the shuffle and joined back: the one
+total of the unigrams is sent to all, and the others are a table of their own, so that a
+frequent history can be split. Each order is written once, and read by the next one.
 """
 
 from __future__ import annotations
@@ -10,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semiring import FLOAT_EPS, INF_BACKOFF
-from .counting import count_of_counts, history_totals, suffix
+from ..tables import kept
+from .counting import count_of_counts, suffix
 
 NEVER = 2.718281828459045**-INF_BACKOFF
 
@@ -40,21 +43,21 @@ def backoffs(grams: DataFrame, order: int) -> DataFrame:
 def _mixed(counts: DataFrame, discounted: Column, mass: Callable[[Column, Column], Column], order: int, interpolate: bool, eps: float = 1.0) -> DataFrame:
     """The general scheme: discounted counts over the total mass of their history, with or without the order below."""
     made = counts.withColumn("d", F.greatest(discounted, F.lit(0.0)))
-    h = Window.partitionBy("ord", "hist")
-    made = made.withColumn("n", F.sum("c").over(h)).withColumn("h", F.sum("d").over(h)).withColumn("types", F.count("*").over(h))
-    made = made.withColumn("t0", mass(F.col("n"), F.col("types")))
-    near = F.abs(F.log(F.col("t0")) - F.log(F.col("h"))) < FLOAT_EPS
-    made = made.withColumn("t", F.when(near, F.col("h") + eps).otherwise(F.col("t0")))
-    done = made.where("ord = 1").select("ord", "hist", "word", (F.col("c") / F.col("n")).alias("p"))
-    below = done
+    sums = made.groupBy("ord", "hist").agg(F.sum("c").alias("n"), F.sum("d").alias("h"), F.count("*").alias("types"))
+    t0 = mass(F.col("n"), F.col("types"))
+    near = F.abs(F.log(t0) - F.log(F.col("h"))) < FLOAT_EPS
+    totals = kept(sums.select("ord", "hist", "n", "h", F.when(near, F.col("h") + eps).otherwise(t0).alias("t")), "totals")
+    one = totals.where("ord = 1").select("n")
+    below = kept(made.where("ord = 1").crossJoin(F.broadcast(one)).select("ord", "hist", "word", (F.col("c") / F.col("n")).alias("p")), "order")
+    done = below
     for n in range(2, order + 1):
-        own = made.where(F.col("ord") == n).withColumn("low", suffix("hist"))
+        own = made.where(F.col("ord") == n).join(totals.where(F.col("ord") == n).drop("ord"), "hist").withColumn("low", suffix("hist"))
         share = F.col("d") / F.col("t")
         if interpolate:
             lower = below.select(F.col("hist").alias("low"), "word", F.col("p").alias("q"))
             own = own.join(lower, ["low", "word"], "left")
             share = share + (F.col("t") - F.col("h")) / F.col("t") * F.coalesce("q", F.lit(0.0))
-        below = own.select("ord", "hist", "word", share.alias("p"))
+        below = kept(own.select("ord", "hist", "word", share.alias("p")), "order")
         done = done.unionByName(below)
     return done
 
@@ -69,8 +72,11 @@ def witten_bell(counts: DataFrame, order: int, k: float = 1.0, interpolate: bool
 
 def unsmoothed(counts: DataFrame, order: int) -> Model:
     """Relative frequencies; no mass is left for backoff."""
-    h = Window.partitionBy("ord", "hist")
-    return _model(counts.select("ord", "hist", "word", (F.col("c") / F.sum("c").over(h)).alias("p")), order)
+    totals = kept(counts.groupBy("ord", "hist").agg(F.sum("c").alias("n")), "totals")
+    one = counts.where("ord = 1").crossJoin(F.broadcast(totals.where("ord = 1").select("n")))
+    high = counts.where("ord > 1").join(totals.where("ord > 1"), ["ord", "hist"])
+    share = (F.col("c") / F.col("n")).alias("p")
+    return _model(kept(one.select("ord", "hist", "word", share).unionByName(high.select("ord", "hist", "word", share)), "order"), order)
 
 
 def presmoothed(counts: DataFrame, order: int) -> Model:
@@ -79,8 +85,9 @@ def presmoothed(counts: DataFrame, order: int) -> Model:
     total = counts.select((F.col("ord") + 1).alias("ord"), F.when(F.col("hist") == "", F.col("word")).otherwise(F.concat_ws(" ", "hist", "word")).alias("hist"), F.col("c").alias("n"))
     begun = counts.where("ord > 1").groupBy("ord", "hist").agg(F.sum("c").alias("sum"))
     high = own.join(total, ["ord", "hist"], "left").join(begun, ["ord", "hist"]).select("ord", "hist", "word", (F.col("c") / F.greatest(F.coalesce("n", "sum"), F.col("sum"))).alias("p"))
-    one = counts.where("ord = 1").select("ord", "hist", "word", (F.col("c") / F.sum("c").over(Window.partitionBy("hist"))).alias("p"))
-    return _model(one.unionByName(high), order)
+    sum_of = counts.where("ord = 1").agg(F.sum("c").alias("n"))
+    one = counts.where("ord = 1").crossJoin(F.broadcast(sum_of)).select("ord", "hist", "word", (F.col("c") / F.col("n")).alias("p"))
+    return _model(kept(one.unionByName(high), "order"), order)
 
 
 def absolute_discounts(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1) -> dict[int, list[float]]:
@@ -132,7 +139,7 @@ def continuation_counts(counts: DataFrame, order: int) -> DataFrame:
 
 
 def kneser_ney(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1, interpolate: bool = True) -> Model:
-    return absolute(continuation_counts(counts, order), order, discount, bins, interpolate)
+    return absolute(kept(continuation_counts(counts, order), "continuations"), order, discount, bins, interpolate)
 
 
 def katz_discounts(counts: DataFrame, order: int, k: int = 5) -> dict[int, list[float]]:
@@ -205,7 +212,3 @@ def topology_faults(grams: DataFrame) -> DataFrame:
     whole = grams.select((F.col("ord") + 1).alias("ord"), F.when(F.col("hist") == "", F.col("word")).otherwise(F.concat_ws(" ", "hist", "word")).alias("hist"))
     begun = own.where("hist != '<s>'").join(whole, ["ord", "hist"], "left_anti").select("ord", "hist", "word", F.lit("history").alias("fault"))
     return lost.unionByName(begun)
-
-
-def history_mass(counts: DataFrame) -> DataFrame:
-    return history_totals(counts)

@@ -12,10 +12,12 @@ import random
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semiring import NORM_EPS
+from ..functions.semiring import FLOAT_EPS, NORM_EPS
+from ..tables import kept
+from .counting import suffix
 from .smoothing import Model, backoffs
 
 REENTRY = 0.999999
@@ -428,37 +430,63 @@ def info(f: Sfst) -> dict[str, object]:
 # n-gram models as tables.
 
 
-def marginalised(model: Model, rounds: int = 10, delta: float = 1e-6) -> Model:
-    """Lower-order probabilities such that the model's marginals are its own unigram and lower counts allow.
+def marginalised(model: Model, rounds: int = 10, delta: float = NORM_EPS) -> Model:
+    """Lower-order probabilities under which the model has its own marginals, from the highest order down.
 
-    For each n-gram below the highest order: what the histories before it give its word by
-    their own n-grams is taken off, and the rest is spread over their failures; repeated
-    while backoffs change.
+    For a state (a history) and a word: the mass that the states above it give the word by
+    their own n-grams is taken off, and the rest is spread over the mass of those that back
+    off for it. New probabilities change the backoffs of the states above, and those the
+    spread: this is repeated until no backoff changes by ``delta`` (in its logarithm), at
+    most ``rounds`` times for each order. Every round is written.
     """
-    from .counting import suffix
     from .scoring import history_probability
 
-    grams = model.grams
-    for n in range(model.order - 1, 0, -1):
-        ph = history_probability(Model(grams, model.backoffs, model.order)).withColumnRenamed("hist", "h2")
-        above = grams.where(F.col("ord") == n + 1).select(F.col("hist").alias("h2"), suffix("hist").alias("low"), "word", F.col("p").alias("p2"))
-        taken = above.join(ph, "h2").groupBy("low", "word").agg(F.sum(F.col("p2") * F.col("ph")).alias("taken"), F.sum("ph").alias("seen"))
-        mass = model.backoffs.join(ph, model.backoffs.hist == ph.h2).select(suffix("hist").alias("low"), (F.col("alpha") * F.col("ph")).alias("m"), F.col("ph").alias("w")).groupBy("low").agg(F.sum("m").alias("m"), F.sum("w").alias("w"))
-        lost = model.backoffs.select(F.col("hist").alias("h2"), "alpha").join(above.join(ph, "h2"), "h2").groupBy("low", "word").agg(F.sum(F.col("alpha") * F.col("ph")).alias("lost"))
-        own = grams.where(F.col("ord") == n).withColumn("low", F.col("hist")).join(taken, ["low", "word"], "left").join(mass, "low", "left").join(lost, ["low", "word"], "left")
-        room = F.col("m") - F.coalesce("lost", F.lit(0.0))
-        fresh = F.when(room > delta, F.greatest((F.col("p") * F.col("w") - F.coalesce("taken", F.lit(0.0))) / room, F.col("p") * delta)).otherwise(F.col("p"))
-        total = Window.partitionBy("hist")
-        kept = F.sum("p").over(total)
-        made = own.withColumn("f", F.coalesce(fresh, F.col("p"))).select("ord", "hist", "word", (F.col("f") / F.sum("f").over(total) * kept).alias("p"))
-        grams = grams.where(F.col("ord") != n).unionByName(made)
-    return Model(grams, backoffs(grams, model.order), model.order)
-
-
-def modified_discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float, float]:
-    """The three published discounts of modified Kneser-Ney."""
-    y = n1 / (n1 + 2 * n2)
-    return 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
+    order = model.order
+    if order < 2:
+        return model
+    raw = kept(history_probability(model).where("ph > 0"), "histories")
+    above = raw.where("hist != ''").groupBy(suffix("hist").alias("hist")).agg(F.sum("ph").alias("more"))
+    own = raw.join(above, "hist", "left").select("hist", F.greatest(F.col("ph") - F.coalesce("more", F.lit(0.0)), F.lit(1e-20)).alias("d"))
+    total = own.agg(F.sum("d").alias("s"))
+    states = kept(own.crossJoin(F.broadcast(total)).select("hist", (F.col("d") / F.col("s")).alias("d")), "states")
+    length = F.when(F.col("hist") == "", 0).otherwise(F.size(F.split("hist", " ")))
+
+    grams = {n: model.grams.where(F.col("ord") == n) for n in range(1, order + 1)}
+    # Of the states of one length: d, the mass that ends there; all, with the states above; back, as far as it backs off to there.
+    level = states.where(length == order - 1).select("hist", "d", F.col("d").alias("all"), F.col("d").alias("back"))
+    arcs = grams[order].join(level.select("hist", "d"), "hist").select("hist", "word", "p", F.lit(0.0).alias("found"), F.col("d").alias("spread"))
+    for n in range(order - 1, 0, -1):
+        level, arcs = kept(level, "level"), kept(arcs, "arcs")
+        alphas = model.backoffs.join(level.select("hist"), "hist", "left_semi")
+        found = arcs.groupBy(suffix("hist").alias("hist"), "word").agg(F.sum(F.col("found") + F.col("p") * F.col("spread")).alias("found"))
+        sums = level.groupBy(suffix("hist").alias("hist")).agg(F.sum("all").alias("higher"))
+        base = states.where(length == n - 1).join(sums, "hist", "left").select("hist", "d", (F.col("d") + F.coalesce("higher", F.lit(0.0))).alias("all"))
+        fixed = grams[n].select("hist", "word", "p").join(base, "hist").join(found, ["hist", "word"], "left")
+        rest = F.col("p") * F.col("all") - F.coalesce("found", F.lit(0.0))
+        fixed = kept(fixed.select("hist", "word", "p", "d", "all", F.coalesce("found", F.lit(0.0)).alias("found"), F.when(rest > 0, rest).otherwise(FLOAT_EPS).alias("rest")), "fixed")
+        mass = kept(fixed.groupBy("hist").agg(F.sum("p").alias("mass")), "mass")
+        for _ in range(max(1, rounds)):
+            led = level.join(alphas, "hist").select("hist", (F.col("alpha") * F.col("back")).alias("m"))
+            back = led.groupBy(suffix("hist").alias("hist")).agg(F.sum("m").alias("m"))
+            barred = arcs.select("hist", "word").join(led, "hist").groupBy(suffix("hist").alias("hist"), "word").agg(F.sum("m").alias("barred"))
+            spread = F.greatest(F.col("d") + F.coalesce("m", F.lit(0.0)) - F.coalesce("barred", F.lit(0.0)), F.lit(1e-20))
+            made = fixed.join(back, "hist", "left").join(barred, ["hist", "word"], "left").select("hist", "word", "d", "all", "found", F.coalesce("m", F.lit(0.0)).alias("m"), spread.alias("spread"), (F.col("rest") / spread).alias("w"))
+            made = kept(made, "weights")
+            norm = made.groupBy("hist").agg(F.sum("w").alias("s")).join(mass, "hist").select("hist", (F.col("mass") / F.col("s")).alias("scale"))
+            new = kept(made.join(norm, "hist").select("hist", "word", (F.col("w") * F.col("scale")).alias("p"), "d", "all", "found", "m", "spread"), "marginals")
+            low = new.select(F.lit(n).alias("ord"), "hist", "word", "p")
+            fresh = kept(backoffs(grams[n + 1].unionByName(low) if n == 1 else grams[n + 1].unionByName(low).unionByName(grams[1]), n + 1).join(level.select("hist"), "hist", "left_semi"), "backoffs")
+            change = fresh.withColumnRenamed("alpha", "a2").join(alphas, "hist").agg(F.max(F.abs(F.log("a2") - F.log("alpha"))).alias("x")).first()["x"]
+            alphas = fresh
+            if change is None or change < delta:
+                break
+        grams[n] = low
+        level = new.groupBy("hist").agg(F.first("d").alias("d"), F.first("all").alias("all"), (F.first("d") + F.first("m")).alias("back"))
+        arcs = new.select("hist", "word", "p", "found", "spread")
+    out = grams[1]
+    for n in range(2, order + 1):
+        out = out.unionByName(grams[n])
+    return Model(out, backoffs(out, order), order)
 
 
 def thresholded(model: Model, scores: DataFrame, theta: float, strict: bool = False) -> Model:

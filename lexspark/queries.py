@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.tokens import vocabulary
 from .operators import counting, merging, scoring, shrinking, smoothing
 from .sources import arpa
+from .tables import kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,17 +27,18 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """The scan as it is; dealt to a number of partitions if the session asks for it by ``spark.lexspark.inputPartitions``."""
+    n = df.sparkSession.conf.get("spark.lexspark.inputPartitions", None)
+    return df.repartition(int(n)) if n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one that comes as a single split is dealt to all cores before texts are exploded."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
+    return _dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def docs(spark: SparkSession, sf_dir: str, name: str = "documents", *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*(columns or ("text",)))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores / 2 else df
+    return _dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*(columns or ("text",))))
 
 
 def counted(order: int, source: str = "documents", where: str = "TRUE", name: str = "", keep: str = "") -> str:
@@ -48,6 +51,11 @@ grams{name} AS (SELECT o::INTEGER AS ord, array_to_string(t[i:i+o-2], ' ') AS hi
 c{name} AS (SELECT ord, hist, word, low{more}, count(*)::BIGINT AS c FROM grams{name} GROUP BY ALL)"""
 
 
+def written(ctes: str) -> str:
+    """The same CTEs, each worked out once."""
+    return re.sub(r"(^|\n|, )(\w+) AS \(", r"\1\2 AS MATERIALIZED (", ctes)
+
+
 #: Witten-Bell of order 2 from c: u (unigrams), m (bigrams), a (backoffs).
 def wb(name: str = "") -> str:
     return f"""u{name} AS (SELECT word, c / sum(c) OVER () AS p FROM c{name} WHERE ord = 1),
@@ -68,19 +76,19 @@ ma{name} AS (SELECT hist, word, greatest(c - d, 0) / n + (n - hh) / n * u.p AS p
 for _n in (1, 2, 3):
 
     def _count(spark: SparkSession, d: str, n: int = _n) -> DataFrame:
-        return counting.count(docs(spark, d), n).where(F.col("ord") == n)
+        return counting.count(docs(spark, d), n, only=[n])
 
     query(f"ngram_count_o{_n}", f"WITH {counted(_n)} SELECT ord, hist, word, c FROM c WHERE ord = {_n}")(_count)
 
 
 def counts(spark: SparkSession, d: str, order: int = 2, source: str = "documents", where: str = "true") -> DataFrame:
     rows = docs(spark, d, source, "text", *(["lang"] if source == "documents" else ["role"] if source == "conversations" else []))
-    return counting.count(rows.where(where), order).persist()
+    return kept(counting.count(rows.where(where), order), "counts")
 
 
 @query("ngram_count_by_lang", f"WITH {counted(2, keep='lang')} SELECT lang, ord, hist, word, c FROM c WHERE ord = 2")
 def ngram_count_by_lang(spark, d):
-    return counting.count(docs(spark, d, "documents", "text", "lang"), 2, by=["lang"]).where("ord = 2")
+    return counting.count(docs(spark, d, "documents", "text", "lang"), 2, by=["lang"], only=[2])
 
 
 @query("weighted_counts", f"WITH {counted(2, keep='quality', source='(SELECT text, quality FROM documents JOIN labels USING (doc_id))')} SELECT ord, hist, word, sum(c * (quality + 0.5))::DOUBLE AS c FROM c GROUP BY ALL")
@@ -132,7 +140,7 @@ def list_prune(spark, d):
 
 @query("suffix_complete", f"WITH {counted(3)}, k AS (SELECT * FROM c WHERE ord = 3 AND c >= 2) SELECT DISTINCT ord, hist, word FROM k UNION SELECT 2, low, word FROM k UNION SELECT 1, '', word FROM k")
 def suffix_complete(spark, d):
-    return shrinking.complete(counting.count(docs(spark, d), 3).where("ord = 3 and c >= 2"), 3)
+    return shrinking.complete(counting.count(docs(spark, d), 3, only=[3]).where("c >= 2"), 3)
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
@@ -283,11 +291,136 @@ def model_info(spark, d):
     return scoring.info(smoothing.unsmoothed(counts(spark, d, 3), 3))
 
 
-@query("arpa_lines", f"WITH {counted(2)}, {wb()} SELECT 0 AS section, ord::VARCHAR AS key, 'ngram ' || ord || '=' || (count(*) + CASE WHEN ord = 1 THEN 1 ELSE 0 END) AS line FROM c GROUP BY ord UNION ALL SELECT 1, word, printf('%.6f', log10(p)) || chr(9) || word || coalesce(chr(9) || printf('%.6f', log10(alpha)), '') FROM u LEFT JOIN a ON a.hist = u.word UNION ALL SELECT 1, '<s>', '-99' || chr(9) || '<s>' || chr(9) || printf('%.6f', log10(alpha)) FROM a WHERE hist = '<s>' UNION ALL SELECT 2, hist || ' ' || word, printf('%.6f', log10(p)) || chr(9) || hist || ' ' || word FROM m")
+@query("arpa_lines", f"WITH {written(counted(2))}, {written(wb())} SELECT 0 AS section, ord::VARCHAR AS key, 'ngram ' || ord || '=' || (count(*) + CASE WHEN ord = 1 THEN 1 ELSE 0 END) AS line FROM c GROUP BY ord UNION ALL SELECT 1, word, printf('%.6f', log10(p)) || chr(9) || word || coalesce(chr(9) || printf('%.6f', log10(alpha)), '') FROM u LEFT JOIN a ON a.hist = u.word UNION ALL SELECT 1, '<s>', '-99' || chr(9) || '<s>' || chr(9) || printf('%.6f', log10(alpha)) FROM a WHERE hist = '<s>' UNION ALL SELECT 2, hist || ' ' || word, printf('%.6f', log10(p)) || chr(9) || hist || ' ' || word FROM m")
 def arpa_lines(spark, d):
     return arpa.lines(smoothing.witten_bell(counts(spark, d), 2))
 
 
+def discounts(source: str, order: int, bins: int, name: str) -> str:
+    """CTE name(ord, r, d): the discount of each order for counts 1 to bins."""
+    return f"""{name}c AS (SELECT ord, floor(c + 0.5)::BIGINT AS r, count(*)::DOUBLE AS n FROM {source} WHERE floor(c + 0.5) BETWEEN 1 AND 33 GROUP BY ALL),
+{name}y AS (SELECT a.ord, min(a.r) AS k FROM {name}c a JOIN {name}c b ON a.ord = b.ord AND b.r = a.r + 1 WHERE a.r <= 31 GROUP BY a.ord),
+{name}z AS (SELECT y.ord, y.k * a.n / (y.k * a.n + (y.k + 1) * b.n) AS y FROM {name}y y JOIN {name}c a ON a.ord = y.ord AND a.r = y.k JOIN {name}c b ON b.ord = y.ord AND b.r = y.k + 1),
+{name}d AS (SELECT o.o AS ord, t.r, CASE WHEN z.y IS NULL OR a.n IS NULL OR b.n IS NULL THEN 0.6 ELSE t.r - (t.r + 1) * z.y * b.n / a.n END AS d FROM (SELECT unnest(range(1, {order + 1})) AS o) o, (SELECT unnest(range(1, {bins + 1})) AS r) t LEFT JOIN {name}z z ON z.ord = o.o LEFT JOIN {name}c a ON a.ord = o.o AND a.r = t.r LEFT JOIN {name}c b ON b.ord = o.o AND b.r = t.r + 1),
+{name} AS (SELECT ord, r, CASE WHEN d > 0 THEN d ELSE 0.001 END AS d FROM {name}d)"""
+
+
+def discounted(source: str, order: int, bins: int, name: str = "p") -> str:
+    """CTEs name1, name2, ... (hist, word, p): absolute discounting of an order, interpolated."""
+    parts = [discounts(source, order, bins, f"{name}d"), f"""{name}x AS (SELECT s.ord, hist, word, low, c, greatest(c - d, 0) AS d FROM {source} s JOIN {name}d k ON k.ord = s.ord AND k.r = least(greatest(floor(c + 0.5), 1), {bins})),
+{name}t AS (SELECT ord, hist, sum(c)::DOUBLE AS n, sum(d) AS h FROM {name}x GROUP BY ord, hist),
+{name}u AS (SELECT ord, hist, n, h, CASE WHEN h > 0 AND abs(ln(n) - ln(h)) < 1e-6 THEN h + 1 ELSE n END AS t FROM {name}t),
+{name}1 AS (SELECT x.hist, x.word, x.c / u.n AS p FROM {name}x x JOIN {name}u u USING (ord, hist) WHERE ord = 1)"""]
+    for n in range(2, order + 1):
+        parts.append(f"{name}{n} AS (SELECT x.hist, x.word, x.d / u.t + (u.t - u.h) / u.t * coalesce(q.p, 0) AS p FROM {name}x x JOIN {name}u u USING (ord, hist) LEFT JOIN {name}{n - 1} q ON q.hist = x.low AND q.word = x.word WHERE x.ord = {n})")
+    return ",\n".join(parts)
+
+
+def continued(order: int) -> str:
+    """CTE kn (ord, hist, word, low, c): continuation counts below the highest order."""
+    return f"""lf AS (SELECT ord - 1 AS ord, low AS hist, word, sum(c) AS more, count(*) AS before FROM c WHERE ord > 1 GROUP BY ALL),
+kn AS (SELECT ord, hist, word, low, c::DOUBLE AS c FROM c WHERE ord = {order} UNION ALL SELECT c.ord, c.hist, c.word, c.low, CASE WHEN c - coalesce(more, 0) < 0.001 THEN 0 ELSE c - coalesce(more, 0) END + coalesce(before, 0) FROM c LEFT JOIN lf ON lf.ord = c.ord AND lf.hist = c.hist AND lf.word = c.word WHERE c.ord < {order})"""
+
+
+@query("abs_trigram", f"WITH {written(counted(3))}, {written(discounted('c', 3, 2))} SELECT 3 AS ord, hist, word, round(p, 9) AS p FROM p3")
+def abs_trigram(spark, d):
+    return rounded(smoothing.absolute(counts(spark, d, 3), 3, bins=2).grams.where("ord = 3"), "p")
+
+
+@query("kn_trigram", f"WITH {written(counted(3))}, {written(continued(3))}, {written(discounted('kn', 3, 1))} SELECT 3 AS ord, hist, word, round(p, 9) AS p FROM p3")
+def kn_trigram(spark, d):
+    return rounded(smoothing.kneser_ney(counts(spark, d, 3), 3).grams.where("ord = 3"), "p")
+
+
+@query("modified_kn_bigram", f"WITH {written(counted(2))}, {written(continued(2))}, {written(discounted('kn', 2, 3))} SELECT ord, hist, word, round(p, 9) AS p FROM (SELECT 1 AS ord, * FROM p1 UNION ALL SELECT 2, * FROM p2)")
+def modified_kn_bigram(spark, d):
+    return rounded(smoothing.modified_kneser_ney(counts(spark, d), 2).grams, "p")
+
+
+#: A Witten-Bell trigram model g, its backoffs a, histories' chances ph, both criteria (own) and the scores raised by extensions (up).
+SHRINK3 = f"""{written(counted(3))}, {written(wb())}, h3 AS MATERIALIZED (SELECT hist, sum(c) AS n, count(*) AS k FROM c WHERE ord = 3 GROUP BY hist),
+g AS MATERIALIZED (SELECT 1 AS ord, '' AS hist, word, '' AS low, p, NULL::DOUBLE AS q FROM u UNION ALL SELECT 2, hist, word, '', p, q FROM m UNION ALL SELECT 3, c.hist, c.word, c.low, c.c / (n + k) + k / (n + k) * m.p, m.p FROM c JOIN h3 USING (hist) JOIN m ON m.hist = c.low AND m.word = c.word WHERE ord = 3),
+hs AS MATERIALIZED (SELECT hist, 1 - sum(p) AS num, 1 - sum(q) AS den, count(*) AS n FROM g WHERE ord > 1 GROUP BY hist),
+al AS MATERIALIZED (SELECT hist, num, den, CASE WHEN n >= (SELECT count(*) FROM u) OR den <= 0 OR num <= 0 THEN exp(-99) ELSE num / den END AS alpha FROM hs),
+one AS (SELECT CASE WHEN word = '</s>' THEN '<s>' ELSE word END AS hist, p AS ph FROM u),
+ph AS MATERIALIZED (SELECT * FROM one UNION ALL SELECT m.hist || ' ' || word, one.ph * m.p FROM m JOIN one ON one.hist = m.hist),
+own AS MATERIALIZED (SELECT g.ord, g.hist, word, g.low, p, q, num, den, alpha, (num + p) / (den + q) AS a2, coalesce(ph, 0) AS ph FROM g JOIN al USING (hist) LEFT JOIN ph USING (hist) WHERE g.ord > 1)"""
+
+
+def raised(score: str) -> str:
+    return f"""s3 AS MATERIALIZED (SELECT ord, hist, word, low, {score} AS score FROM own WHERE ord = 3), s2 AS MATERIALIZED (SELECT ord, hist, word, {score} AS score FROM own WHERE ord = 2),
+bs AS MATERIALIZED (SELECT low AS hist, word, max(score) AS a FROM s3 GROUP BY ALL), bp AS MATERIALIZED (SELECT string_split(hist, ' ')[1] AS hist, string_split(hist, ' ')[2] AS word, max(score) AS b FROM s3 GROUP BY ALL),
+up AS MATERIALIZED (SELECT ord, hist, word, score FROM s3 UNION ALL SELECT ord, hist, word, greatest(score, a, b) FROM s2 LEFT JOIN bs USING (hist, word) LEFT JOIN bp USING (hist, word))"""
+
+
+STOLCKE = "-ph * (p * (ln(q) + ln(a2) - ln(p)) + num * (ln(a2) - ln(alpha)))"
+
+
+@query("stolcke_trigram", f"WITH {SHRINK3}, {raised(STOLCKE)} SELECT g.ord, g.hist, g.word, round(g.p, 9) AS p FROM g LEFT JOIN up ON up.ord = g.ord AND up.hist = g.hist AND up.word = g.word WHERE g.ord = 1 OR NOT up.score < ln(1 + 1e-7)")
+def stolcke_trigram(spark, d):
+    return rounded(shrinking.shrunk(smoothing.witten_bell(counts(spark, d, 3), 3), "relative_entropy", 1e-7).grams, "p")
+
+
+@query("seymore_trigram", f"WITH {SHRINK3}, {raised('5000 * ph * p * (ln(p) - ln(a2 * q))')} SELECT g.ord, g.hist, g.word, round(g.p, 9) AS p FROM g LEFT JOIN up ON up.ord = g.ord AND up.hist = g.hist AND up.word = g.word WHERE g.ord < 3 OR NOT up.score < 0.001")
+def seymore_trigram(spark, d):
+    """Bigrams and unigrams stay: the least order is 3."""
+    return rounded(shrinking.shrunk(smoothing.witten_bell(counts(spark, d, 3), 3), "seymore", 0.001, total=5000.0, least_order=3).grams, "p")
+
+
+@query("context_shrink", f"WITH {SHRINK}, k AS (SELECT hist, word, p FROM s WHERE NOT 1000 * ph * p * (ln(p) - ln((num + p) / (den + q) * q)) < 0.01 AND encode(hist) >= encode('d') AND encode(hist) < encode('p')) SELECT 2 AS ord, hist, word, round(p, 9) AS p FROM k UNION ALL SELECT 1, '', word, round(p, 9) FROM u")
+def context_shrink(spark, d):
+    """A context and Seymore's criterion together."""
+    model = smoothing.witten_bell(counts(spark, d), 2)
+    return rounded(shrinking.shrunk(model, "seymore", 0.01, total=1000.0, inside=merging.in_context(F.col("hist"), ["d"], ["p"])).grams, "p")
+
+
+@query("list_prune_lower", f"WITH {counted(2)} SELECT ord, hist, word, c FROM c WHERE ord = 1 OR NOT (hist = 'of' OR word = 'of')")
+def list_prune_lower(spark, d):
+    listed = spark.createDataFrame([("OF",), ("no such words",)], "ngram string")
+    return shrinking.list_prune(counting.count(docs(spark, d), 2), listed, 2, retry_lower=True)
+
+
+UNKNOWN = f"""{written(counted(2))}, {written(wb())}, v AS MATERIALIZED (SELECT word, p * 0.99 AS p FROM u), b AS MATERIALIZED (SELECT m.hist, CASE WHEN count(*) >= (SELECT count(*) FROM u) OR 1 - sum(v.p) <= 0 OR 1 - sum(m.p) <= 0 THEN exp(-99) ELSE (1 - sum(m.p)) / (1 - sum(v.p)) END AS alpha FROM m JOIN v USING (word) GROUP BY m.hist),
+{written(counted(2, 'conversations', name='t', keep='conv_id, turn, role'))},
+ev AS MATERIALIZED (SELECT role, g.word, g.hist, CASE WHEN g.hist = '<s>' OR h.word IS NOT NULL THEN g.hist ELSE '' END AS used FROM gramst g LEFT JOIN u h ON h.word = g.hist WHERE g.ord = 2),
+sc AS MATERIALIZED (SELECT role, ev.word, ev.used, v.word IS NULL AS oov, coalesce(m.p, coalesce(b.alpha, 1) * coalesce(v.p, 0.01 / 10000)) AS p FROM ev LEFT JOIN m ON m.hist = ev.used AND m.word = ev.word LEFT JOIN b ON b.hist = ev.used LEFT JOIN v ON v.word = ev.word)"""
+
+
+@query("perplexity_oov", f"WITH {UNKNOWN}, s AS (SELECT role, count(*) FILTER (word = '</s>') AS sentences, count(*) FILTER (word <> '</s>') AS words, count(*) FILTER (oov) AS oovs, sum(log10(p)) AS lp FROM sc GROUP BY role) SELECT role, sentences::BIGINT AS sentences, words::BIGINT AS words, oovs::BIGINT AS oovs, round(pow(10, -lp / (words + sentences)), 4) AS perplexity FROM s")
+def perplexity_oov(spark, d):
+    """Unknown words have a mass of 0.01, spread over 10 000."""
+    turns = docs(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    found = scoring.perplexity(turns.withColumn("id", F.struct("conv_id", "turn")), smoothing.witten_bell(counts(spark, d), 2), by=["role"], oov=0.01, id_col="id")
+    return found.select("role", *(F.col(c).cast("bigint") for c in ("sentences", "words", "oovs")), F.round("perplexity", 4).alias("perplexity"))
+
+
+@query("perplexity_in_context", f"WITH {UNKNOWN} SELECT role, count(*)::BIGINT AS events, round(sum(log10(p)) FILTER (encode(used) >= encode('d') AND encode(used) < encode('p')), 6) AS logprob FROM sc GROUP BY role")
+def perplexity_in_context(spark, d):
+    turns = docs(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    found = scoring.perplexity(turns.withColumn("id", F.struct("conv_id", "turn")), smoothing.witten_bell(counts(spark, d), 2), by=["role"], oov=0.01, id_col="id", inside=merging.in_context(F.col("hist"), ["d"], ["p"]))
+    return found.select("role", (F.col("words") + F.col("sentences")).cast("bigint").alias("events"), F.round("logprob10", 6).alias("logprob"))
+
+
+@query("recipe", f"WITH {written(counted(2))}, {written(wb())} SELECT ord, hist, word, round(p, 9) AS p FROM (SELECT 1 AS ord, '' AS hist, word, p FROM u UNION ALL SELECT 2, hist, word, p FROM m) WHERE ord = 1 OR p >= 0.001")
+def recipe(spark, d):
+    """The steps of distributed training over the languages as shards: count, split by context, merge, complete, make, shrink and merge the contexts."""
+    langs = ["en", "de", "fr", "es"]
+    shards = [counts(spark, d, 2, where=f"lang = '{x}'") for x in langs] + [counts(spark, d, 2, where="lang is null or lang not in ('en', 'de', 'fr', 'es')")]
+    merged = shards[0]
+    for shard in shards[1:]:
+        merged = merging.merge_counts(merged, shard, 1.0, 1.0)
+    merged = kept(merged, "merged")
+    whole = kept(shrinking.complete(merged, 2).join(merged, counting.GRAM), "complete")
+    model = smoothing.witten_bell(whole, 2)
+    bounds = merging.choose_contexts(whole, 3)
+    parts = merging.split(model.grams, bounds).where((F.col("ord") == 1) | (F.col("p") >= 0.001))
+    out = parts.where("context = 0").drop("context")
+    for k in range(1, len(bounds) + 1):
+        begin, end = bounds[k - 1], bounds[k] if k < len(bounds) else []
+        out = merging.merge_context(out, parts.where(F.col("context") == k).drop("context"), merging.in_context(F.col("hist"), begin, end))
+    return rounded(out, "p")
+
+
 @query("token_totals", f"WITH {counted(3)} SELECT ord, count(*)::BIGINT AS types, sum(c)::BIGINT AS n_tokens FROM c GROUP BY ord")
 def token_totals(spark, d):
     return counting.count(docs(spark, d), 3).groupBy("ord").agg(F.count("*").alias("types"), F.sum("c").alias("n_tokens"))
@@ -295,11 +428,18 @@ def token_totals(spark, d):
 
 @query("event_bigrams", "WITH s AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS e FROM events GROUP BY user_id), p AS (SELECT list_concat(['<s>'], e, ['</s>']) AS t FROM s), g AS (SELECT t[i] AS hist, t[i + 1] AS word FROM (SELECT t, unnest(range(1, len(t))) AS i FROM p)) SELECT hist, word, count(*)::BIGINT AS c FROM g GROUP BY ALL")
 def event_bigrams(spark, d):
-    seq = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e"))
-    return counting.count(seq.select(F.array_join(F.transform("e", lambda x: x["event_type"]), " ").alias("text")), 2).where("ord = 2").select("hist", "word", "c")
+    return event_pairs(spark.read.parquet(f"{d}/events.parquet")).groupBy("hist", "word").agg(F.count("*").alias("c"))
+
+
+def event_pairs(events: DataFrame) -> DataFrame:
+    """(hist, word): each event's type after the one before it, with begin and end marks; no user's events are gathered into a row."""
+    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    near = events.select("event_type", F.lag("event_type").over(by).alias("before"), F.lead("event_type").over(by).alias("after"))
+    pairs = near.select(F.coalesce("before", F.lit("<s>")).alias("hist"), F.col("event_type").alias("word"))
+    return pairs.unionByName(near.where("after is null").select(F.col("event_type").alias("hist"), F.lit("</s>").alias("word")))
 
 
 def top_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    return counting.count(docs(spark, d), 3).where("ord = 3").orderBy(F.desc("c"), "hist", "word").limit(20)
+    return counting.count(docs(spark, d), 3, only=[3]).orderBy(F.desc("c"), "hist", "word").limit(20)
 
 

@@ -139,7 +139,7 @@ ORACLES["lattice_counts"] = ORACLES["lattice_counts"].replace("sum(c)::DOUBLE",
 
 @query("histogram_merge", f"WITH {counted(1, where='lang = ' + repr('en'), name='1')}, {counted(1, where='lang = ' + repr('de'), name='2')} SELECT 1 AS ord, '' AS hist, word, (coalesce(c1.c, 0) + coalesce(c2.c, 0))::DOUBLE AS expected, CASE WHEN coalesce(c1.c, 0) + coalesce(c2.c, 0) <= 5 THEN (coalesce(c1.c, 0) + coalesce(c2.c, 0))::INTEGER ELSE -1 END AS bin FROM c1 FULL JOIN c2 USING (word)")
 def histogram_merge(spark, d):
-    a, b = (counting.histogram(docs(spark, d, "documents", "doc_id", "lang", "text").where(f"lang = '{x}'"), 1) for x in ("en", "de"))
+    a, b = (counting.histogram(docs(spark, d, "documents", "lang", "text").where(f"lang = '{x}'"), 1) for x in ("en", "de"))
     merged = merging.merge_histograms(a, b)
     return merged.select("ord", "hist", "word", "expected", (F.array_position("p", 1.0).cast("int") - 1).alias("bin"))
 
@@ -200,12 +200,7 @@ def stationary_distribution(spark, d):
 
 @query("kn_marginalised")
 def kn_marginalised(spark, d):
-    return stochastic.marginalised(smoothing.witten_bell(counts(spark, d, source="benchmark"), 2)).grams
-
-
-@query("modified_kn_bigram")
-def modified_kn_bigram(spark, d):
-    return smoothing.modified_kneser_ney(counts(spark, d), 2).grams
+    return stochastic.marginalised(smoothing.witten_bell(counts(spark, d), 2)).grams
 
 
 @query("presmoothed_bigram", f"WITH {counted(2)}, one AS (SELECT word AS hist, c AS n FROM c WHERE ord = 1), t AS (SELECT hist, sum(c) AS s FROM c WHERE ord = 2 GROUP BY hist) SELECT 2 AS ord, c.hist, c.word, round(c.c / greatest(coalesce(n, s), s), 9) AS p FROM c JOIN t USING (hist) LEFT JOIN one USING (hist) WHERE ord = 2")

@@ -22,10 +22,14 @@ def string_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def column_file(spark: SparkSession, path: str) -> DataFrame:
-    """(istring, ostring, weight) from lines of one to three tab columns; more are an error."""
+    """(istring, ostring, weight) from lines of one to three tab columns. More columns, or a weight that is no number, are an error."""
     cells = F.split("line", "\t")
-    rows = _lines(spark, path).select(F.when(F.size(cells) <= 3, cells).otherwise(F.raise_error(F.concat(F.lit("more than three columns: "), F.col("line")))).alias("x"))
-    return rows.select(F.get("x", F.lit(0)).alias("istring"), F.coalesce(F.get("x", F.lit(1)), F.get("x", F.lit(0))).alias("ostring"), F.coalesce(F.try_to_number(F.get("x", F.lit(2)), F.lit("999999.999999")).cast("double"), F.lit(0.0)).alias("weight"))
+    wrong = lambda what: F.raise_error(F.concat(F.lit(what + ": "), F.col("line")))
+    rows = _lines(spark, path).select("line", F.when(F.size(cells) <= 3, cells).otherwise(wrong("more than three columns")).alias("x"))
+    raw = F.trim(F.get("x", F.lit(2)))
+    number = raw.try_cast("double")
+    weight = F.when(raw.isNull() | (raw == ""), F.lit(0.0)).when(raw.rlike("(?i)^[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[-+]?[0-9]+)?$|^[-+]?inf(inity)?$"), number).otherwise(wrong("not a weight").cast("double"))
+    return rows.select(F.get("x", F.lit(0)).alias("istring"), F.coalesce(F.get("x", F.lit(1)), F.get("x", F.lit(0))).alias("ostring"), weight.alias("weight"))
 
 
 def ngram_lines(counts: DataFrame, value: str = "c", negative_logs: bool = False, integers: bool = False) -> DataFrame:
