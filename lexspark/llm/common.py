@@ -7,8 +7,6 @@ from the first input.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,42 +15,35 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_made: list[str] = []
-
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+from .. import tables
+from ..tables import cleanup, discard, shared_dir
 
+__all__ = ["cleanup", "discard", "shared_dir"]  # from the core, for the operators here
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session; a folder of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lexspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch where the session leaves Spark's default.
+SHORT = "1000"
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Fewer rows in a batch than Spark's default: texts are long, and a batch is held several times over."""
+    """Fewer rows in a batch than Spark's default: texts are long, and a batch is held several times over.
+
+    A plan takes the setting when it runs, which may be after the operator has returned, so
+    it is left in place. A session that sets its own number keeps it.
+    """
     if spark.conf.get(BATCH_ROWS) == "10000":
-        spark.conf.set(BATCH_ROWS, "1000")
+        spark.conf.set(BATCH_ROWS, SHORT)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage."""
-    spark = df.sparkSession
-    short_batches(spark)
-    path = f"{shared_dir(spark)}/lexspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return stored(df, name)[0]
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Deletes every table that this driver's operators wrote; results that still read them end."""
-    jvm = spark.sparkContext._jvm
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``materialise``, with the path, so that the table can be dropped once later ones have taken its place."""
+    short_batches(df.sparkSession)
+    return tables.stored(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,15 +95,22 @@ def chunked(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator
             yield batch.slice(start)
 
 
-MARK_BITS = 26
+LEAST_BITS, MOST_BITS = 18, 26
 
 
-def marks(rows: DataFrame, key: str, bits: int = MARK_BITS) -> np.ndarray:
-    """A bit map of a column of 64-bit hashes: ``1 << bits`` bits in all, whatever the number of rows."""
+def marks_table(rows: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """A bit map of a column of 64-bit hashes as a table (word, mark), and its bits: 2**MOST_BITS at most, whatever the number of rows."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * rows.count()).bit_length()))
     place = F.shiftright(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)), 6)
-    found = rows.groupBy(place.alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{key}` & 63L as int)))").alias("mark")).toArrow()
+    return rows.groupBy(place.alias("__lx_word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{key}` & 63L as int)))").alias("__lx_mark")), bits
+
+
+def marks(rows: DataFrame, key: str) -> np.ndarray:
+    """The same bit map as words of 64 bits, for Python tasks."""
+    table, bits = marks_table(rows, key)
+    found = table.toArrow()
     out = np.zeros(1 << (bits - 6), dtype=np.uint64)
-    out[found.column("word").to_numpy()] = found.column("mark").to_numpy().view(np.uint64)
+    out[found.column("__lx_word").to_numpy()] = found.column("__lx_mark").to_numpy().view(np.uint64)
     return out
 
 
@@ -122,19 +120,14 @@ def marked(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (words[low >> 6] >> (low & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
 
-def _sifter(shared, key: str, wanted: bool):
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = pc.fill_null(batch.column(key), 0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(marked(shared.value, keys) == wanted))
-
-    return sift
-
-
-def sifted(rows: DataFrame, words: np.ndarray, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows whose hash in ``key`` may be marked, and those whose hash surely isn't.
+def sifted(rows: DataFrame, marked_rows: DataFrame, marked_key: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose hash in ``key`` may be among marked_rows, and those whose hash surely isn't.
 
-    Only the former need a join with what was marked, so that only they are shuffled.
+    Only the former need a join with what was marked, so that only they are shuffled. What
+    is broadcast is the bit map, 2**20 rows of two numbers at most.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(words)
-    return rows.mapInArrow(_sifter(shared, key, True), rows.schema), rows.mapInArrow(_sifter(shared, key, False), rows.schema)
+    table, bits = marks_table(marked_rows, marked_key)
+    word = F.shiftright(F.col(key).bitwiseAND(F.lit((1 << bits) - 1)), 6)
+    with_mark = rows.join(F.broadcast(table), word == F.col("__lx_word"), "left")
+    hit = F.coalesce(F.expr(f"shiftright(__lx_mark, cast(`{key}` & 63L as int)) & 1L") == 1, F.lit(False))
+    return with_mark.where(hit).drop("__lx_word", "__lx_mark"), with_mark.where(~hit).drop("__lx_word", "__lx_mark")
