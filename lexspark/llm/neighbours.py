@@ -9,10 +9,16 @@
    lists of further centroids, ``copies`` at most, within a ratio of the least distance.
 4. A query walks a graph over the centroids, held in memory, and takes the lists whose
    centroid is within a ratio of the least distance. That ratio is calibrated on the
-   sample for the target recall.
-5. Lists are dealt to shards of bounded size (a long list to several); a query is sent
-   once to each shard that holds one of its lists. Shards give their best candidates by
-   double-precision products of the original vectors.
+   sample for the target recall. A query that stands alone goes on, in the order of
+   distance, until its lists surely hold ``k`` + 1 classes or it has taken all.
+5. A list is searched by itself, a long one in chunks of ``CHUNK`` classes, so the work is
+   dealt to as many tasks as there are lists. A task keeps a running top k of each query
+   over the lists it searches, and those of all tasks are merged. Products are of the
+   original vectors in double precision.
+
+Bounds. Centroids are fitted on ``sample`` classes and number sqrt(n), ``MOST_LISTS`` at
+most (from 16.7 million vectors on): lists are longer then and a query reads more chunks,
+in more tasks; no vector is left out.
 
 Defined results. Vectors that are null, zero, of another than the most frequent length, or
 that hold null or non-finite components take no part. Null ids take no part. Repeated ids:
@@ -31,16 +37,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, width
+from .common import materialise
 
 K = 20
 EVERY = 20
-SAMPLE = 20_000
+SAMPLE = 32_768
 MOST_LISTS = 4096
 COPIES = 4
 BOUNDARY = 1.05
 RECALL = 0.985
-LEAST_ROWS, SHARD_ROWS = 8_192, 65_536
+CHUNK = 4_096
+#: Queries whose best candidates a task holds.
+HELD = 50_000
 
 
 def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,15 +56,23 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
+def _slices(n: int, size: int = 2_048) -> Iterator[slice]:
+    return (slice(at, min(n, at + size)) for at in range(0, n, size))
+
+
 def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray:
     """k-means whose assignment charges for full clusters."""
     rng = np.random.default_rng(7)
     c = x[rng.choice(len(x), size=min(lists, len(x)), replace=False)].copy()
     load = np.zeros(len(c))
     for _ in range(rounds):
-        d = _near(x, c) ** 2
-        d += 0.1 * np.median(d) * (load / max(1.0, len(x) / len(c)) - 1).clip(0, 10)[None, :]
-        owner = d.argmin(1)
+        owner = np.empty(len(x), dtype=np.int64)
+        charge = None
+        for part in _slices(len(x)):
+            d = _near(x[part], c) ** 2
+            if charge is None:
+                charge = 0.1 * np.median(d) * (load / max(1.0, len(x) / len(c)) - 1).clip(0, 10)[None, :]
+            owner[part] = (d + charge).argmin(1)
         load = np.bincount(owner, minlength=len(c)).astype(float)
         total = np.zeros_like(c)
         np.add.at(total, owner, x)
@@ -66,59 +82,81 @@ def balanced_centroids(x: np.ndarray, lists: int, rounds: int = 8) -> np.ndarray
 
 @dataclass
 class Index:
-    """Centroids (with the extra component), their graph, and the ratios."""
+    """Centroids (with the extra component), their graph, the ratio, and how many classes each list has."""
 
     centroids: np.ndarray
     edges: list[np.ndarray]
     top: float
     ratio: float
-    shards: list[list[int]]
+    sizes: np.ndarray
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(self.top**2 - (x**2).sum(1), 0))[:, None]], axis=1)
 
     def lists_of(self, x: np.ndarray) -> list[np.ndarray]:
         """Where each vector is posted."""
-        d = _near(self.lifted(x), self.centroids)
-        order = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
-        ahead = np.take_along_axis(d, order, axis=1)
-        return [o[a <= BOUNDARY * a[0]] for o, a in zip(order, ahead, strict=True)]
-
-    def walk(self, q: np.ndarray) -> np.ndarray:
-        """Lists within the ratio of the nearest centroid, met on a best-first walk of the graph."""
+        out: list[np.ndarray] = []
+        for part in _slices(len(x)):
+            d = _near(self.lifted(x[part]), self.centroids)
+            order = np.argsort(d, axis=1, kind="stable")[:, :COPIES]
+            ahead = np.take_along_axis(d, order, axis=1)
+            out += [o[a <= BOUNDARY * a[0]] for o, a in zip(order, ahead, strict=True)]
+        return out
+
+    def chunks(self) -> np.ndarray:
+        """How many chunks a list is searched in."""
+        return np.maximum(1, -(-self.sizes // CHUNK))
+
+    def walk(self, q: np.ndarray, need: int) -> list[int]:
+        """Lists within the ratio of the nearest centroid, met on a best-first walk of the graph.
+
+        The walk goes on until those lists hold ``need`` different classes (a class is in
+        COPIES lists at most), or it has seen all.
+        """
         q = np.concatenate([q, [0.0]])
         start = 0
         dist = {start: float(np.linalg.norm(self.centroids[start] - q))}
         queue, best = [(dist[start], start)], dist[start]
+        seen: list[tuple[float, int]] = []
         while queue:
             d, at = heapq.heappop(queue)
-            if d > max(self.ratio, 1.1) * best * 1.02:  # once the best is near, nothing beyond the ratio is worth a step
+            # Nothing beyond the ratio is worth a step, once enough is known to be no further than this.
+            if d > max(self.ratio, 1.1) * best * 1.02 and sum(n for x, n in seen if x <= d) >= need * COPIES:
                 break
+            seen.append((d, int(self.sizes[at])))
             new = np.array([e for e in self.edges[at] if e not in dist], dtype=np.int64)
             if len(new):
                 for e, x in zip(new.tolist(), np.sqrt(((self.centroids[new] - q) ** 2).sum(1)).tolist(), strict=True):
                     dist[e] = x
                     best = min(best, x)
                     heapq.heappush(queue, (x, e))
-        return np.array(sorted(e for e, d in dist.items() if d <= self.ratio * best), dtype=np.int32)
+        near = sorted(dist, key=lambda e: (dist[e], e))
+        chosen, held = [], 0
+        for e in near:
+            if dist[e] > self.ratio * best and held >= need * COPIES:
+                break
+            chosen.append(e)
+            held += int(self.sizes[e])
+        return sorted(e for e in chosen if self.sizes[e])
 
 
 def graph(c: np.ndarray, degree: int = 16) -> list[np.ndarray]:
     """Nearest centroids of each, in both directions, and a ring so that all can be reached."""
-    order = np.argsort(_near(c, c), axis=1, kind="stable")[:, 1 : degree + 1]
-    edges: list[set[int]] = [set(o.tolist()) for o in order]
-    for i, o in enumerate(order.tolist()):
-        for j in o:
-            edges[j].add(i)
-        edges[i].add((i + 1) % len(c))
+    edges: list[set[int]] = [set() for _ in c]
+    for part in _slices(len(c)):
+        order = np.argsort(_near(c[part], c), axis=1, kind="stable")[:, 1 : degree + 1]
+        for i, o in enumerate(order.tolist(), part.start):
+            for j in o:
+                edges[i].add(j)
+                edges[j].add(i)
+            edges[i].add((i + 1) % len(c))
     return [np.array(sorted(e - {i}), dtype=np.int64) for i, e in enumerate(edges)]
 
 
 def fit(x: np.ndarray, top: float, lists: int, k: int, recall: float) -> Index:
     """Centroids, graph and the ratio that the sample needs for the recall."""
-    index = Index(np.zeros((1, x.shape[1] + 1)), [np.zeros(0, np.int64)], top, np.inf, [])
-    lifted = index.lifted(x)
-    index.centroids = balanced_centroids(lifted, lists)
+    index = Index(np.zeros((1, x.shape[1] + 1)), [np.zeros(0, np.int64)], top, np.inf, np.zeros(1, np.int64))
+    index.centroids = balanced_centroids(index.lifted(x), lists)
     index.edges = graph(index.centroids)
     posted = index.lists_of(x)
     queries = x[:: max(1, len(x) // 400)]
@@ -146,69 +184,82 @@ def _poster(shared):
     return post
 
 
-def _router(shared):
+def _router(shared, need: int):
+    """A row for each query and chunk that it searches."""
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
+        chunks = index.chunks()
         for batch in batches:
-            rows, shards, lists = [], [], []
-            if batch.num_rows:
-                for i, q in enumerate(batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)):
-                    mine: dict[int, list[int]] = {}
-                    for x in index.walk(q).tolist():
-                        for s in index.shards[x]:
-                            mine.setdefault(s, []).append(x)
-                    rows += [i] * len(mine)
-                    shards += list(mine)
-                    lists += list(mine.values())
-            yield pa.record_batch([pa.array(shards, pa.int32()), batch.column("cid").take(pa.array(rows, pa.int64())), batch.column("vec").take(pa.array(rows, pa.int64())), pa.array(lists, pa.list_(pa.int32()))], names=["shard", "cid", "vec", "lists"])
+            for at in range(0, batch.num_rows, 64):  # a query has many rows, so few queries at a time
+                part = batch.slice(at, 64)
+                rows, lists, parts = [], [], []
+                for i, q in enumerate(part.column("vec").flatten().to_numpy().reshape(part.num_rows, -1)):
+                    for x in index.walk(q, need):
+                        n = int(chunks[x])
+                        rows += [i] * n
+                        lists += [x] * n
+                        parts += range(n)
+                of = pa.array(rows, pa.int64())
+                yield pa.record_batch([pa.array(lists, pa.int32()), pa.array(parts, pa.int32()), part.column("cid").take(of), part.column("vec").take(of)], names=["list", "chunk", "cid", "vec"])
 
     return route
 
 
-def best(q: np.ndarray, probes: list[list[int]], x: np.ndarray, cid: np.ndarray, of: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
-    """(query row, class, product): the k best distinct classes of a shard for each query. of: the list of each posting."""
-    n_lists = int(of.max()) + 1
-    allowed = np.zeros((len(q), n_lists), dtype=bool)
-    for i, p in enumerate(probes):
-        allowed[i, [y for y in p if y < n_lists]] = True
-    score = np.where(allowed[:, of], q @ x.T, -np.inf)
-    most = min(len(cid), (k + 8) * COPIES)
-    top = np.argpartition(-score, most - 1, axis=1)[:, :most]
-    for i, at in enumerate(top):
-        at = at[np.isfinite(score[i, at])]
-        _, first = np.unique(cid[at], return_index=True)
-        at = at[first]
+def best(q: np.ndarray, x: np.ndarray, cid: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(classes, products) of the k best rows of x for each query, ties to the smaller class."""
+    score = q @ x.T
+    most = min(len(cid), k)
+    last = np.partition(score, len(cid) - most, axis=1)[:, len(cid) - most]
+    slack = 1e-12 * (1 + np.abs(score).max(axis=1))  # fast products may differ from exact ones in the last places
+    for i in range(len(q)):
+        at = np.flatnonzero(score[i] >= last[i] - slack[i])
         exact = (x[at] * q[i]).sum(axis=1)  # one order of summation for every pair
-        for j in np.lexsort([cid[at], -exact])[:k]:
-            yield i, int(cid[at[j]]), float(exact[j])
+        first = np.lexsort([cid[at], -exact])[:k]
+        yield cid[at[first]], exact[first]
 
 
 def _searcher(k: int, dims: int):
+    def rows(held: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        n = [len(c) for c, _ in held.values()]
+        cids, scores = (np.concatenate(x) if held else np.zeros(0) for x in zip(*held.values(), strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0))
+        return pa.record_batch([pa.array(np.repeat(np.array(list(held), dtype=np.int64), n)), pa.array(cids.astype(np.int64)), pa.array(scores, pa.float64())], names=["qcid", "cid", "score"])
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, held_of, held_x = None, [], [], []
-        ready = None
+        unit, stored_cid, stored_x, ready = None, [], [], None
+        top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            shards, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            if not batch.num_rows:
+                continue
+            heads = np.stack([batch.column(c).to_numpy() for c in ("list", "chunk", "kind")], axis=1)
             cids = batch.column("cid").to_numpy()
-            vecs = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, dims) if batch.num_rows else None
-            cut = np.flatnonzero(np.concatenate([[True], (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])])) if batch.num_rows else []
+            vecs = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, dims)
+            cut = np.flatnonzero(np.concatenate([[True], (heads[1:] != heads[:-1]).any(axis=1)])).tolist()
             for a, b in zip(cut, [*cut[1:], batch.num_rows], strict=True):
-                if shards[a] != shard:
-                    shard, held, held_of, held_x, ready = shards[a], [], [], [], None
-                lists = batch.column("lists").slice(a, b - a).to_pylist()
-                if kinds[a] == 0:
-                    held.append(cids[a:b])
-                    held_of.append(np.array([y[0] for y in lists]))
-                    held_x.append(vecs[a:b])
-                elif held:
+                now = tuple(heads[a, :2].tolist())
+                if now != unit:
+                    unit, stored_cid, stored_x, ready = now, [], [], None
+                if heads[a, 2] == 0:
+                    stored_cid.append(cids[a:b])
+                    stored_x.append(vecs[a:b])
+                elif stored_cid:
                     if ready is None:
-                        ready = np.concatenate(held_x), np.concatenate(held), np.concatenate(held_of)
+                        ready = np.concatenate(stored_x), np.concatenate(stored_cid)
                     for at in range(a, b, 64):
                         end = min(b, at + 64)
-                        found = list(best(vecs[at:end], lists[at - a : end - a], *ready, k))
-                        if found:
-                            i, c, s = zip(*found, strict=True)
-                            yield pa.record_batch([pa.array(cids[at:end][list(i)]), pa.array(c, pa.int64()), pa.array(s, pa.float64())], names=["qcid", "cid", "score"])
+                        for q, (c, s) in zip(cids[at:end].tolist(), best(vecs[at:end], *ready, k), strict=True):
+                            if q in top:
+                                old_c, old_s = top[q]
+                                fresh = ~np.isin(c, old_c)
+                                c, s = np.concatenate([old_c, c[fresh]]), np.concatenate([old_s, s[fresh]])
+                                first = np.lexsort([c, -s])[:k]
+                                c, s = c[first], s[first]
+                            top[q] = c, s
+                    if len(top) > HELD:
+                        yield rows(top)
+                        top = {}
+        if top:
+            yield rows(top)
 
     return search
 
@@ -230,38 +281,29 @@ def search(table: DataFrame, k: int = K, every: int = EVERY, sample: int = SAMPL
     n, top = classes.agg(F.count("*"), F.coalesce(F.max(norm), F.lit(1.0))).first()
     picked = classes.orderBy(F.xxhash64("cid"), "cid").limit(sample).select("vec").toArrow().column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dims)
     lists = int(min(MOST_LISTS, max(1, round(n**0.5)), max(1, len(picked) // 8)))
-    index = fit(picked, top, lists, k, recall) if n else Index(np.zeros((1, dims + 1)), [np.zeros(0, np.int64)], 1.0, 1.0, [])
+    index = fit(picked, top, lists, k, recall) if n else Index(np.zeros((1, dims + 1)), [np.zeros(0, np.int64)], 1.0, 1.0, np.zeros(1, np.int64))
     shared = spark.sparkContext.broadcast(index)
 
     posted = materialise(classes.select("cid", "vec").mapInArrow(_poster(shared), "list int, cid bigint"), "postings")
     sized = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each centroid
-    room = min(SHARD_ROWS, max(LEAST_ROWS, -(-sum(sized.values()) // width(spark))))  # every shard that a query meets answers it
-    index.shards, at, left = [], 0, room
-    for x in range(len(index.centroids)):
-        mine, n_left = [], sized.get(x, 0)
-        while n_left > 0:
-            if left <= 0:
-                at, left = at + 1, room
-            mine.append(at)
-            n_left, left = n_left - min(room, n_left), left - min(room, n_left)
-        index.shards.append(mine)
+    index.sizes = np.array([sized.get(x, 0) for x in range(len(index.centroids))], dtype=np.int64)
     shared = spark.sparkContext.broadcast(index)
-    homes = spark.createDataFrame([(x, s) for x, s in enumerate(index.shards)], "list int, shards array<int>")
-    shard = F.element_at("shards", (F.pmod(F.xxhash64("cid"), F.size("shards")) + 1).cast("int"))
-    stored = posted.join(F.broadcast(homes), "list").select(shard.alias("shard"), "cid", F.array("list").alias("lists")).join(classes.select("cid", "vec"), "cid")
+    homes = spark.createDataFrame(list(enumerate(index.chunks().tolist())), "list int, chunks int")
+    chunk = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
+    stored = posted.join(F.broadcast(homes), "list").select("list", chunk.alias("chunk"), "cid").join(classes.select("cid", "vec"), "cid")
 
     asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("qvec"))
-    owned = materialise(asked.join(classes, F.col("qvec") == F.col("vec")).select("query_id", F.col("cid").alias("qcid")), "queries")
+    owned = materialise(asked.join(classes.hint("merge"), F.col("qvec") == F.col("vec")).select("query_id", F.col("cid").alias("qcid")), "queries")
     asking = classes.join(owned.select(F.col("qcid").alias("cid")).distinct(), "cid", "left_semi").select("cid", "vec")
-    routed = asking.mapInArrow(_router(shared), "shard int, cid bigint, vec array<double>, lists array<int>")
-    mixed = stored.select("shard", F.lit(0).alias("kind"), "cid", "vec", "lists").unionByName(routed.select("shard", F.lit(1).alias("kind"), "cid", "vec", "lists"))
-    mixed = mixed.repartition("shard").sortWithinPartitions("shard", "kind")
+    routed = asking.mapInArrow(_router(shared, k + 1), "list int, chunk int, cid bigint, vec array<double>")
+    mixed = stored.select("list", "chunk", F.lit(0).alias("kind"), "cid", "vec").unionByName(routed.select("list", "chunk", F.lit(1).alias("kind"), "cid", "vec"))
+    mixed = mixed.repartition("list", "chunk").sortWithinPartitions("list", "chunk", "kind")
     found = materialise(mixed.mapInArrow(_searcher(k + 1, dims), "qcid bigint, cid bigint, score double"), "candidates").distinct()
 
     ahead = Window.partitionBy("qcid").orderBy(F.desc("score"), "cid")
     nearest = found.withColumn("r", F.row_number().over(ahead)).where(F.col("r") <= k + 1).join(classes.select("cid", "ids"), "cid").select("qcid", "score", F.explode("ids").alias("id"))
     ahead = Window.partitionBy("qcid").orderBy(F.desc("score"), "id")
     nearest = nearest.withColumn("r", F.row_number().over(ahead)).where(F.col("r") <= k + 1)
-    answers = nearest.groupBy("qcid").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("found"))
-    others = owned.join(answers, "qcid").select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))
+    answers = materialise(nearest.groupBy("qcid").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("found")), "answers")
+    others = owned.join(answers.hint("merge"), "qcid").select("query_id", F.slice(F.filter("found", lambda x: x["id"] != F.col("query_id")), 1, k).alias("found"))
     return others.select("query_id", F.posexplode("found").alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"))

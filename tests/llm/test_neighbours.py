@@ -39,6 +39,24 @@ def test_recall_and_scores(spark):
     assert all([x[1] for x in got[q]] == [j for j, _ in want[q]] for q in copies)
 
 
+def test_a_query_that_stands_alone(spark):
+    """Outliers, each alone at its centroid, still get k neighbours; so do ties that no list ends."""
+    rng = np.random.default_rng(5)
+    near = [(i, (np.eye(8)[0] + 0.02 * rng.normal(size=8)).tolist()) for i in range(1, 400)]
+    far = [(20 * i, (5 * np.eye(8)[i % 7 + 1] * (-1 if i % 2 else 1) + 0.01 * rng.normal(size=8)).tolist()) for i in range(30, 40)]
+    rows = [r for r in near if r[0] % 20] + far
+    got = {}
+    for r in search(table(spark, rows), k=20, every=20).collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == {i for i, _ in far} and all(len(x) == 20 == len(set(x)) for x in got.values())
+
+
+def test_ties_at_the_last_place(spark):
+    rows = [(i, [float(i % 2), float(i % 3), 1.0, 0.0, 0.0, 0.0, 0.0, float(i)]) for i in range(1, 60)] + [(0, [0.0] * 2 + [1.0] + [0.0] * 5)]
+    got = [(r["rank"], r["vec_id"]) for r in search(table(spark, rows), k=20, every=100).orderBy("rank").collect()]
+    assert got == [(i, i) for i in range(1, 21)]
+
+
 def test_few_candidates_and_empty(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.0, -1.0])]
     got = sorted((r["rank"], r["vec_id"], r["score"]) for r in search(table(spark, rows), k=5, every=20).collect())
