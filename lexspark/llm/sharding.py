@@ -8,12 +8,16 @@ is guaranteed, and a change of the shards moves only rows near the changed arcs.
 
 The driver sees one count for each arc, never a row: it walks the ring once and cuts each
 arc's rows, by their number in the arc, into segments for shards. Rows are numbered
-without a sort of a whole arc: an arc is dealt by the hash of the id into lots of about
-``lot`` rows, lots are counted, and only the rows of one lot are sorted together.
+without a sort of a whole arc: an arc is dealt by ranges of the hash into lots of about
+``lot`` rows, lots are counted, and only the rows of one lot are sorted together. Texts
+with copies come before all others in their arc, equal ones next to each other, so that a
+group is split only where a shard is full inside it. A text of more than ``lot`` rows gets
+lots of its own, dealt by id, or by row number where there is no id or one alone.
 
 Defined results. Null text: no bytes, hashed as the empty text. Null ids: dealt like
-others. Repeated rows: each has its own slot. Ties in a lot: by hash, id and text sum.
-Empty table: no rows. Other columns are ignored.
+others. Repeated rows: each has its own slot. Ties in a lot: by hash, id, text sum and row
+number. Empty table: no rows. Very long texts: one row like others. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import docs_view, materialise
 
 VIRTUAL = 64
-LOT = 1_000
+LOT = 500
 #: Slots of the ring by the highest bits of the hash, for looking an arc up without a search over all points.
 SLOT_BITS = 12
 
@@ -88,22 +92,37 @@ def assign(docs: DataFrame, shards: int = 40, virtual: int = VIRTUAL, lot: int =
     spark = docs.sparkSession
     view = docs_view(docs, id_col, text_col)
     text = F.coalesce("text", F.lit(""))
-    rows = view.select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size") if size is None else size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("h"))
+    rows = view.select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size") if size is None else size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
     points = ring(spark, shards, virtual)
     rows = materialise(_arc(spark, rows, [p for p, _ in points]), "ring")
 
     found = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # a row for each virtual node
     counts = [found.get(k, 0) for k in range(len(points))]
     cuts = segments(counts, [s for _, s in points], shards)
-    arcs = spark.createDataFrame([(k, max(1, -(-n // lot))) for k, n in enumerate(counts)], "arc int, lots int")
+    # Where an arc begins, as a number, and how wide it is; the first one goes round the end of the ring.
+    begin = [float(points[k - 1][0]) - (2.0**64 if k == 0 else 0.0) for k in range(len(points))]
+    arcs = spark.createDataFrame([(k, max(1, -(-n // lot)), begin[k], max(1.0, float(points[k][0]) - begin[k])) for k, n in enumerate(counts)], "arc int, lots bigint, begin double, wide double")
     plan = spark.createDataFrame(cuts or [(0, 0, 0, 0, 0)], "arc int, first bigint, end bigint, shard int, first_slot bigint")
 
-    dealt = rows.join(F.broadcast(arcs), "arc").withColumn("lot", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit("lot"), "text_crc32"), F.col("lots")).cast("int")).drop("lots")
-    lots = dealt.groupBy("arc", "lot").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("arc").orderBy("lot").rowsBetween(Window.unboundedPreceding, -1)
-    lots = lots.select("arc", "lot", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begun"))
-    inside = Window.partitionBy("arc", "lot").orderBy("h", "doc_id", "text_crc32", "size")
-    numbered = dealt.withColumn("k", F.row_number().over(inside) - 1).join(lots, ["arc", "lot"]).withColumn("number", F.col("k") + F.col("begun"))
+    copies = materialise(rows.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("copies"), (F.min("doc_id") == F.max("doc_id")).alias("one_id")).where("copies > 1"), "copies")  # two plain shuffles meet, so a hot text can be split
+    dealt = rows.join(copies.hint("merge"), F.col("h") == F.col("of"), "left").drop("of").join(F.broadcast(arcs), "arc")
+    ahead = F.col("h").cast("double") - F.col("begin")
+    share = F.when(ahead > F.col("wide"), ahead - 2.0**64).otherwise(ahead) / F.col("wide")
+    range_of = F.greatest(F.lit(0), F.least(F.floor(share * F.col("lots")), F.col("lots") - 1))
+    hot = F.col("copies") > lot
+    dealt = dealt.select(
+        "doc_id", "size", "text_crc32", "h", "row", "arc",
+        F.when(F.col("copies").isNull(), range_of + F.col("lots")).otherwise(range_of).alias("lot"),
+        F.when(hot, F.col("h")).alias("hot"),
+        F.when(hot, F.pmod(F.xxhash64(F.when(F.col("doc_id").isNull() | F.col("one_id"), F.col("row")).otherwise(F.col("doc_id"))), F.ceil(F.col("copies") / lot))).otherwise(0).alias("part"),
+    )
+    lots = dealt.groupBy("arc", "lot", "hot", "part").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("arc").orderBy("lot", "hot", "part").rowsBetween(Window.unboundedPreceding, -1)
+    lots = lots.select(F.col("arc").alias("a"), F.col("lot").alias("l"), F.col("hot").alias("x"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begun"))
+    inside = Window.partitionBy("arc", "lot", "hot", "part").orderBy("h", "doc_id", "text_crc32", "size", "row")
+    numbered = dealt.withColumn("k", F.row_number().over(inside) - 1)
+    same = (F.col("arc") == F.col("a")) & (F.col("lot") == F.col("l")) & F.col("hot").eqNullSafe(F.col("x")) & (F.col("part") == F.col("p"))
+    numbered = numbered.join(lots, same).withColumn("number", F.col("k") + F.col("begun"))
     # Segments: no more than virtual nodes and shards together, so they are sent to all.
     placed = numbered.join(F.broadcast(plan.withColumnRenamed("arc", "of_arc")), (F.col("arc") == F.col("of_arc")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("end")))
     return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first_slot") + F.col("number") - F.col("first")).alias("slot"))

@@ -18,7 +18,37 @@ def test_balance_slots_and_movement(documents, spark):
     assert again == {r["doc_id"]: (r["shard"], r["slot"]) for r in a}
     more = {r["doc_id"]: r["shard"] for r in assign(docs, 8, virtual=16, lot=20).collect()}
     moved = sum(more[r["doc_id"]] != r["shard"] for r in a)
-    assert moved < 0.6 * 900  # far fewer than the 7 in 8 of a fresh hash
+    assert moved < 0.6 * 900  # a third of all rows are one text, which fills shards one after the other
+
+
+def test_movement_of_distinct_texts(documents):
+    docs = documents(*((i, f"text {i}") for i in range(4_000)))
+    a, more = ({r["doc_id"]: r["shard"] for r in assign(docs, n).collect()} for n in (40, 41))
+    moved = sum(more[i] != a[i] for i in a)
+    between = sum(more[i] != a[i] and more[i] != 40 for i in a)
+    assert moved < 0.1 * len(a) and between < 0.07 * len(a)  # one in 41 has to move
+
+
+def test_copies_stay_together(documents):
+    """Groups of two to five texts, many more rows than a lot: cuts fall among texts without copies."""
+    docs = []
+    for i in range(3_000):
+        docs.append((i, f"text {i}" if i % 10 else f"copy {i // 10 % 100}"))
+    a = assign(documents(*docs), 5, virtual=4, lot=20).collect()
+    held = Counter(r["shard"] for r in a)
+    assert max(held.values()) - min(held.values()) <= 1
+    shards = {}
+    for r in a:
+        if r["doc_id"] % 10 == 0:
+            shards.setdefault(r["doc_id"] // 10 % 100, set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in shards.values()) <= 3
+
+
+def test_hot_text_without_ids(documents):
+    docs = documents(*[(None, "hot")] * 300, *[(7, "same id")] * 200, *((i, f"t{i}") for i in range(100)))
+    a = assign(docs, 4, virtual=8, lot=20).collect()
+    assert sorted(Counter(r["shard"] for r in a).values()) == [150] * 4
+    assert len({(r["shard"], r["slot"]) for r in a}) == 600
 
 
 def test_segments_cover_each_arc():
