@@ -1,6 +1,5 @@
 import re
 
-import pytest
 from lexspark.llm.url_filters import RULES, judge
 
 PAGES = "page_id bigint, url string, html string, node string, alias string"
@@ -22,11 +21,13 @@ def plain(url):
     return (host, path, *(max(fit)[1:] if fit else (None, None)))
 
 
-@pytest.mark.parametrize("url", ["http://A.Example.COM/de/x?y#z", "https://example.net/en/", "https://example.net/en", "x://org/fr/", "http://notnet/", "http://net", "http://a.net?q=/en/", "http://b.example.net/en/#f", "nothing", "", None, "http://ÄB.org/fr/1", "a://b://net/"])
-def test_rules(spark, url):
-    r = judge(pages(spark, (url, None))).collect()[0]
-    host, path, verdict, rule = plain(url)
-    assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict or "allow")
+URLS = ["http://A.Example.COM/de/x?y#z", "https://example.net/en/", "https://example.net/en", "x://org/fr/", "http://notnet/", "http://net", "http://a.net?q=/en/", "http://b.example.net/en/#f", "nothing", "", None, "http://ÄB.org/fr/1", "a://b://net/"]
+
+
+def test_rules(spark):
+    for r in judge(pages(spark, *((u, None) for u in URLS))).collect():
+        host, path, verdict, rule = plain(URLS[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict or "allow")
 
 
 def test_aliases(spark):
@@ -44,6 +45,39 @@ def test_aliases(spark):
     assert {r["page_id"]: r["verdict"] for r in judge(pages(spark, *rows), redirects=more).collect()}[4] == "block"
 
 
+TARGETS = [
+    '<link rel="canonical" href="../../bad">',
+    '<link rel="canonical" href="/x/./../bad?utm_source=z">',
+    "<link href='/bad' rel='canonical'>",
+    '<base href="http://a{}.fr/"><link rel=canonical href=bad>',
+    '<base href="/p/q/"><link rel="canonical" href="../../bad">',
+    '<link rel="canonical" href="http&#58;&#x2F;&#x2F;a{}.fr/bad">',
+    '<!-- <link rel="canonical" href="http://e.fr/"> --><link rel="canonical" href="//a{}.fr/bad">',
+    '<META CONTENT="0;url=/bad#top" HTTP-EQUIV="Refresh">',
+]
+
+
+def test_targets(spark):
+    """Each names /bad of its own site, whose alias a rule blocks."""
+    rows = [x for i, html in enumerate(TARGETS) for x in ((f"http://a{i}.fr/x/y/5?q=1#f", html.format(i)), (f"http://a{i}.fr/bad", f'<link rel="canonical" href="http://bad{i}.net/">'), (f"http://a{i}.fr/other", None))]
+    got = {r["page_id"]: r["verdict"] for r in judge(pages(spark, *rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == ["block", "block", "allow"] * len(TARGETS)
+
+
+def test_query_and_fragment_targets_and_non_links(spark):
+    rows = [
+        ("http://a.fr/p?a=1", '<link rel="canonical" href="?b=2&amp;c=3">'),
+        ("http://a.fr/p?b=2&c=3", '<link rel="canonical" href="http://bad.net/">'),
+        ("http://a.fr/self", '<link rel="canonical" href="#top">'),
+        ("http://a.fr/comment", '<!--<link rel="canonical" href="http://bad.net/">'),
+        ("http://a.fr/mail", '<link rel="canonical" href="mailto:x@bad.net">'),
+        ("http://a.fr/long", "x" * 300_000 + '<link rel="canonical" href="http://bad.net/">'),
+    ]
+    clash = pages(spark, *rows).selectExpr("page_id", "url", "html", "'h' as host", "'p' as path", "'r' as rule", "'v' as verdict", "1 as bad", "2 as root")
+    got = {r["page_id"]: r["verdict"] for r in judge(clash).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow", 5: "block"}
+
+
 def test_odd_rows(spark):
     assert judge(pages(spark, ("x", "y")).where("page_id > 5")).count() == 0
     assert judge(pages(spark, (None, None), (None, None), ("http://bad.net/", ""))).count() == 3
