@@ -12,8 +12,9 @@ present (0.5); the marks hold 1 + log(count), scaled to unit length. The weight
 is free only if a score test finds it tied to the grade (|z| of ``screen`` or more, in
 ``least`` ratings or more); others stay at 0, so that chance words don't decide.
 
-It is fitted on at most ``most_rows`` labelled documents, those with the smallest hash of
-their id: a documented bound. Every document is scored in full.
+It is fitted on a bounded sample, which is documented here: at most ``most_rows`` labelled
+documents, those with the smallest hashes of their id and text, among texts of at most
+``most_bytes`` bytes. Every document is scored in full.
 
 Defined results. Null or empty text: no feature, scored by the thresholds alone. Several
 labels for a document: each is a rating. Null labels or ids: no rating. No rating at all,
@@ -36,27 +37,30 @@ from pyspark.sql import functions as F
 from .common import chunked, short_batches, text_bytes, words
 
 BITS = 18
-MOST_ROWS = 20_000
+MOST_ROWS, MOST_BYTES = 20_000, 1 << 20
 SCREEN, LEAST = 5.0, 8
 PRESENT = 0.5
 KEEP = 0.5
 SHARD_BYTES = 8 << 20
 
 _runs = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff]+")
+#: A mark, or a group of kinds, that repeats: four of a mark and two of a group stand for any more.
+_marks = re.compile(rb"([^A-Za-z0-9])\1{3,}")
+_groups = re.compile(rb"(.{2,8}?)\1{2,}", re.DOTALL)
 
 
 def shape(token: bytes) -> bytes:
-    """The kinds of characters of a token in turn; marks stand for themselves."""
+    """The kinds of characters of a whole token in turn; marks stand for themselves, and repeats are shortened."""
     out = []
-    for run in _runs.findall(token[:64]):
+    for run in _runs.findall(token):
         c = run[0]
         if 48 <= c < 58:
             out.append(b"0")
         elif c >= 128 or chr(c).isalpha():
             out.append(b"A" if len(run) > 1 and run.isupper() else b"a")
         else:
-            out.append(run[:4])
-    return b"".join(out[:6])
+            out.append(_marks.sub(rb"\1\1\1\1", run))
+    return _groups.sub(rb"\1\1", b"".join(out))
 
 
 class Features:
@@ -107,19 +111,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def screened(col: np.ndarray, val: np.ndarray, off: np.ndarray, size: int) -> np.ndarray:
+def screened(col: np.ndarray, val: np.ndarray, off: np.ndarray, size: int, screen: float = SCREEN) -> np.ndarray:
     """Which places a score test ties to the grade. off: the rating of each entry's row, less the mean."""
     spread = np.sqrt((off**2).mean()) if len(off) else 0.0
     z = np.bincount(col, weights=off * val, minlength=size) / np.maximum(spread * np.sqrt(np.bincount(col, weights=val**2, minlength=size)), 1e-12)
-    return (np.abs(z) >= SCREEN) & (np.bincount(col, minlength=size) >= LEAST)
+    return (np.abs(z) >= screen) & (np.bincount(col, minlength=size) >= LEAST)
 
 
-def fit(places: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, bits: int, top: int, rounds: int = 400, rate: float = 0.5, decay: float = 1e-4) -> Model:
+def fit(places: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, bits: int, top: int, rounds: int = 400, rate: float = 0.5, decay: float = 1e-4, screen: float = SCREEN) -> Model:
     """Full-gradient ascent with a step of its own for each weight; thresholds stay ordered as a first one and positive gaps."""
     n = len(grades)
     row = np.repeat(np.arange(n), [len(p) for p in places])
     col, val = (np.concatenate(places), np.concatenate(values)) if n else (np.zeros(0, np.int64), np.zeros(0))
-    free = screened(col, val, (grades - grades.mean())[row] if n else val, 1 << bits)[col]
+    free = screened(col, val, (grades - grades.mean())[row] if n else val, 1 << bits, screen)[col]
     row, val = row[free], val[free]
     used, col = np.unique(col[free], return_inverse=True)
     w, seen = np.zeros(len(used)), np.full(len(used), 1e-8)
@@ -158,19 +162,28 @@ def graded(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(both).select(F.col(id_col).cast("long").alias("rated_id"), (F.when(F.col("quality") > 0, 1).otherwise(0) + F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, top: int = 2, bits: int = BITS, most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Fits on the labelled documents with the smallest hashes of their ids, most_rows at most. top: the highest grade."""
+def train(docs: DataFrame, ratings: DataFrame, top: int = 2, bits: int = BITS, most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
+    """Fits on the labelled documents with the smallest hashes, most_rows at most. top: the highest grade.
+
+    An id that many rows or ratings share counts for each pair of them, within the bound.
+    """
     short_batches(docs.sparkSession)
     picked = ratings.where("rated_id is not null").orderBy(F.xxhash64("rated_id"), "rated_id", "grade").limit(most_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("rated_id"), F.col(text_col).cast("string").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features(bits)
-        for batch in batches:
+        for batch in chunked(batches, "text", SHARD_BYTES):
             rows = [made.of(x) for x in text_bytes(batch.column("text"))]
             yield pa.record_batch([batch.column("grade"), pa.array([p.astype(np.int32) for p, _ in rows], pa.list_(pa.int32())), pa.array([v.astype(np.float32) for _, v in rows], pa.list_(pa.float32()))], names=["grade", "places", "values"])
 
-    rows = texts.join(F.broadcast(picked), "rated_id").select("grade", "text").mapInArrow(features, "grade int, places array<int>, values array<float>").toArrow()
+    # The rows of the sample are chosen by small hashes before any text is turned into features.
+    chosen = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes).join(F.broadcast(picked), "rated_id").select("grade", "text", F.xxhash64("rated_id").alias("h"), F.xxhash64("text", "grade").alias("t"))
+    last = chosen.select("h", "t").orderBy("h", "t").limit(most_rows).agg(F.max(F.struct("h", "t")).alias("x")).first()["x"]
+    if last is None:
+        return None
+    within = (F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("t") <= last["t"]))
+    rows = chosen.where(within).select("grade", "text").mapInArrow(features, "grade int, places array<int>, values array<float>").limit(most_rows).toArrow()
     grades = rows.column("grade").to_numpy()
     if not len(grades):
         return None
