@@ -7,19 +7,22 @@ other words end a run, since no window can hold them. The windows are searched b
 through the wavelet ranks, all at once; their occurrences are located by sampled suffix
 positions; overlapping and touching occurrences merge into spans of words.
 
+The windows are made on the executors and dealt to blocks of about ``block_bytes`` bytes,
+a long item to several. A block is collected, turned into numbers, sent to the executors
+and let go before the next one; a task reads the documents once and holds one block at a
+time. So any size of benchmark takes the same plan, and neither the driver nor a task
+holds more than a block.
+
 Defined results. Null and wordless texts: no words, no hit. Null ``doc_id``: the row is
 kept. Benchmark rows with a null id or no words: no windows. Repeated items: each id
-counts. Repeated documents: each row for itself. Empty tables: no rows, or no hits.
-Columns other than the id and the text are ignored.
-
-The benchmark is sent to the executors in blocks of at most ``block_bytes``, a checked
-bound; a benchmark beyond it is searched block by block and the spans are merged.
+counts. Repeated documents: each row for itself. Empty tables: no rows, or no hits. Very
+long texts: whole. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,31 +33,36 @@ from .common import chunked, docs_view, materialise, text_bytes, words
 from .fm_index import FMIndex
 
 WIDTH = 13
-BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
 class Windows:
-    """The windows of some items as numbers, and the items of each window."""
+    """The windows of a block as numbers, and the items of each window. pairs: (words, item)."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
+    def __init__(self, pairs: Iterable[tuple[list[bytes], int]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text.encode())]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.patterns = np.zeros((len(found), width), dtype=np.int64)
+        found: dict[bytes, set[int]] = {}
+        for window, item in pairs:
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in window], dtype=np.int32)
+            found.setdefault(ids.tobytes(), set()).add(item)
+        self.patterns = np.zeros((len(found), width), dtype=np.int32)
         for row, window in enumerate(found):
-            self.patterns[row, width - len(window) :] = window
-        self.lengths = np.array([len(x) for x in found], dtype=np.int64)
+            self.patterns[row, width - len(window) // 4 :] = np.frombuffer(window, dtype=np.int32)
+        self.lengths = np.array([len(x) // 4 for x in found], dtype=np.int64)
         self.items = np.array([y for x in found.values() for y in sorted(x)], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum([len(x) for x in found.values()])]).astype(np.int64)
         self.shortest = int(self.lengths.min()) if len(found) else 0
 
 
+def windows_of(text: bytes | None, width: int) -> Iterator[list[bytes]]:
+    w = words(text)
+    for i in range(max(1, len(w) - width + 1) if w else 0):
+        yield w[i : i + width]
+
+
 def ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """start[0], start[0]+1, ... count[0] numbers; then those of start[1] ..."""
     return np.repeat(start - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
@@ -100,35 +108,68 @@ def find(known: list[np.ndarray], windows: Windows) -> tuple[list[list[tuple[int
     return spans, items
 
 
-SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
 
 
-def _searcher(shared):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: Windows = shared.value
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans joined."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def hits(texts: Iterable[bytes | None], blocks: list) -> tuple[list[int], list[list[tuple[int, int]]], list[list[int]]]:
+    """Words, spans and items of each text of a shard. blocks: broadcasts of Windows, read one after the other."""
+    split = [words(x) for x in texts]
+    spans: list[list[tuple[int, int]]] = [[] for _ in split]
+    items: list[set[int]] = [set() for _ in split]
+    for block in blocks:
+        windows: Windows = block.value
         number = windows.vocabulary.get
+        for d, (s, i) in enumerate(zip(*find([np.fromiter((number(w, 0) for w in x), dtype=np.int64) for x in split], windows), strict=True)):
+            spans[d] += s
+            items[d].update(i)
+        if len(blocks) > 1:
+            vars(block).pop("_value", None)  # it is read again from the executor's copy
+    return [len(x) for x in split], [merged(x) if len(blocks) > 1 else x for x in spans], [sorted(x) for x in items]
+
+
+def _searcher(blocks: list):
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "text", SHARD_BYTES):
-            known = [np.fromiter((number(w, 0) for w in words(x)), dtype=np.int64) for x in text_bytes(batch.column("text"))]
-            spans, items = find(known, windows)
-            yield pa.record_batch(
-                [batch.column("row"), batch.column("doc_id"), pa.array([len(k) for k in known], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SCHEMA.field("spans").type), pa.array(items, SCHEMA.field("items").type)],
-                schema=SCHEMA,
-            )
+            n_words, spans, items = hits(text_bytes(batch.column("text")), blocks)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], SCHEMA.field("spans").type), pa.array(items, SCHEMA.field("items").type)], schema=SCHEMA)
 
     return search
 
 
-def _merged(spans):
-    """Spans from several blocks: sorted, then overlapping and touching ones joined."""
-    last = lambda done: F.element_at(done, -1)
-    return F.aggregate(
-        F.array_sort(spans),
-        F.lit(None).cast(SPANS),
-        lambda done, x: F.when(done.isNull(), F.array(x)).when(
-            x["start"] <= last(done)["end"],
-            F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(last(done)["start"].alias("start"), F.greatest(last(done)["end"], x["end"]).alias("end")))),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
+def _windower(width: int):
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), text_bytes(batch.column("text")), strict=True):
+                found = {b" ".join(w) for w in windows_of(text, width)}
+                yield pa.record_batch([pa.array([item] * len(found), pa.int64()), pa.array(sorted(found), pa.binary())], names=["item", "window"])
+
+    return make
+
+
+def blocks_of(benchmark: DataFrame, width: int, block_bytes: int, item_col: str = "item_id") -> list:
+    """Broadcasts of Windows, each of about block_bytes bytes of windows."""
+    spark = benchmark.sparkSession
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
+    pairs = materialise(bench.mapInArrow(_windower(width), "item bigint, window binary"), "windows")
+    total = pairs.agg(F.coalesce(F.sum(F.octet_length("window") + 16), F.lit(0)).alias("n")).first()["n"]
+    n = int(-(-total // block_bytes)) or 1
+    out = []
+    for k in range(n):
+        mine = pairs.where(F.pmod(F.xxhash64("window", "item"), F.lit(n)) == k).toArrow()
+        rows = ((w.as_py().split(b" "), i.as_py()) for w, i in zip(mine.column("window"), mine.column("item"), strict=True))
+        out.append(spark.sparkContext.broadcast(Windows(rows, width)))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id") -> DataFrame:
@@ -136,23 +177,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, sha
 
     A document is contaminated if it has hit words and they are at least one in ``share``.
     """
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
-    total = bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = int(-(-total // block_bytes)) or 1
-    view = docs_view(docs)
-    view = materialise(view.withColumn("row", F.monotonically_increasing_id()), "decontamination") if blocks > 1 else view.withColumn("row", F.lit(0).cast("long"))
-    schema = f"row bigint, doc_id bigint, n_words bigint, spans {SPANS}, items array<bigint>"
-    parts = []
-    for k in range(blocks):
-        mine = [(r["item"], r["text"]) for r in bench.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
-        parts.append(view.mapInArrow(_searcher(spark.sparkContext.broadcast(Windows(mine, width))), schema))
-    found = parts[0]
-    if blocks > 1:
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = found.withColumn("spans", F.coalesce(_merged(F.col("spans")), F.array().cast(SPANS)))
+    found = docs_view(docs).mapInArrow(_searcher(blocks_of(benchmark, width, block_bytes, item_col)), f"doc_id bigint, n_words bigint, spans {SPANS}, items array<bigint>")
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items", ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
 
@@ -165,29 +190,28 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return text
 
 
-def _cleaner(shared, share: int, text_col: str):
+def _cleaner(blocks: list, share: int, text_col: str, cut: bool):
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows: Windows = shared.value
-        number = windows.vocabulary.get
         for batch in chunked(batches, text_col, SHARD_BYTES):
-            known = [np.fromiter((number(w, 0) for w in words(x)), dtype=np.int64) for x in text_bytes(batch.column(text_col))]
-            hit = [sum(e - s for s, e in x) for x in find(known, windows)[0]]
-            yield batch.filter(pa.array([not (n and share * n >= len(k)) for n, k in zip(hit, known, strict=True)], pa.bool_()))
+            n_words, spans, _ = hits(text_bytes(batch.column(text_col)), blocks)
+            n_hit = [sum(e - s for s, e in x) for x in spans]
+            bad = [n > 0 and share * n >= m for n, m in zip(n_hit, n_words, strict=True)]
+            if not cut:
+                yield batch.filter(pa.array([not x for x in bad], pa.bool_()))
+            elif any(bad):
+                at = batch.schema.get_field_index(text_col)
+                texts = [without_spans(x.as_py(), s) if b else x.as_py() for x, s, b in zip(batch.column(text_col), spans, bad, strict=True)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+            else:
+                yield batch
 
     return clean
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that aren't contaminated; the kept rows are unchanged.
+def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = 20, block_bytes: int = BLOCK_BYTES, text_col: str = "text", cut: bool = False) -> DataFrame:
+    """The rows of docs, with all their columns, that aren't contaminated; they are unchanged.
 
-    With a benchmark of one block each partition is filtered where it lies. Otherwise the
-    spans of all blocks are needed first: rows are then found again by a number of their own.
+    cut: contaminated rows stay instead, without the words of their spans and what stands
+    between those.
     """
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
-    if (bench.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]) <= block_bytes:
-        windows = Windows([(r["item"], r["text"]) for r in bench.collect()], width)
-        return docs.mapInArrow(_cleaner(spark.sparkContext.broadcast(windows), share, text_col), docs.schema)
-    numbered = materialise(docs.withColumn("__lx_row", F.monotonically_increasing_id()), "decontamination")
-    bad = contamination(numbered.select(F.col("__lx_row").alias("doc_id"), F.col(text_col).alias("text")), benchmark, width, share, block_bytes).where("contaminated").select(F.col("doc_id").alias("__lx_row"))
-    return numbered.join(bad, "__lx_row", "left_anti").drop("__lx_row")
+    return docs.mapInArrow(_cleaner(blocks_of(benchmark, width, block_bytes), share, text_col, cut), docs.schema)

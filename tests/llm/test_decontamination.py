@@ -2,7 +2,7 @@ import random
 import re
 
 import numpy as np
-from lexspark.llm.decontamination import contamination, decontaminated, without_spans
+from lexspark.llm.decontamination import blocks_of, contamination, decontaminated, without_spans
 from lexspark.llm.fm_index import FMIndex, WaveletMatrix, suffix_array
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -54,11 +54,24 @@ def test_against_brute_force(documents, spark):
     bench = [(i, text(n)) for i, n in enumerate((0, 1, 2, 4, 5, 9, 9))] + [(7, None), (None, "a b c d")]
     table = spark.createDataFrame(bench, "item_id bigint, text string")
     want = brute(docs, [b for b in bench if b[0] is not None], 4)
-    for block in (1 << 20, 8):  # in one block, and block by block
+    for block in (1 << 20, 160):  # in one block, and block by block
         got = contamination(documents(*docs), table, width=4, block_bytes=block).collect()
         assert sorted((r["doc_id"], r["n_words"], r["n_hit"], sorted(r["items"]), r["contaminated"]) for r in got) == want
         kept = decontaminated(documents(*docs), table, width=4, block_bytes=block)
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, *_, bad in want if not bad)
+        cut = {r["doc_id"]: r["text"] for r in decontaminated(documents(*docs), table, width=4, block_bytes=block, cut=True).collect()}
+        spans = {r["doc_id"]: r["spans"] for r in got}
+        for d, text_before in docs:
+            bad = next(x[-1] for x in want if x[0] == d)
+            assert cut[d] == (without_spans(text_before, spans[d]) if bad else text_before)
+
+
+def test_a_long_item_is_dealt_to_several_blocks(documents, spark):
+    words = [f"w{i}" for i in range(400)]
+    table = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[100:120]))], "item_id bigint, text string")
+    assert len(blocks_of(table, 13, 2_000)) > 5
+    got = contamination(documents((1, "x " + " ".join(words[90:130]) + " y"), (2, " ".join(words[:12]))), table, block_bytes=2_000).collect()
+    assert [(r["n_hit"], r["spans"], r["items"]) for r in got] == [(40, [(1, 41)], [1, 2]), (0, [], [])]
 
 
 def test_odd_rows(odd, empty, spark):
