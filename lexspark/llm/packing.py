@@ -9,7 +9,7 @@ Best fit takes the lengths from the longest down and puts each piece into the fu
 that holds it. The local search then takes pairs of underfull bins and moves a piece, or
 exchanges one for one, two for one or one for two, if that fills the fuller bin further
 (so the sum of squared fills grows), until the emptier bins run out, the least possible
-number of bins is met or no step helps.
+number of bins is met or no step helps; it has no limit of steps.
 
 Defined results. Null text: as the empty text, one piece of the end id alone. Repeated
 documents and null ids: each row is packed. Empty table: no rows. Very long texts are cut
@@ -18,6 +18,7 @@ into full pieces, the first of which may be shorter. Other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -141,38 +142,87 @@ def best_step(full: tuple[tuple[int, int], ...], low: tuple[tuple[int, int], ...
     return best
 
 
-def local_search(bins: Bins, least: int, most_steps: int = 20_000) -> Bins:
-    """Moves and exchanges between underfull bins until ``least`` bins are left or none helps."""
-    for _ in range(most_steps):
-        if bins.total() <= least:
-            break
-        open_bins = [(c, n) for c, n in bins.groups() if _fill(c) < bins.capacity]
-        done = True
-        for low, n_low in reversed(open_bins):  # the emptiest first
-            for full, n_full in open_bins:
-                if _fill(full) < _fill(low) or (full == low and n_low < 2):
-                    continue
-                if (step := best_step(full, low, bins.capacity)) is None:
-                    continue
-                times = n_low // 2 if full == low else min(n_low, n_full)
-                _, a, b = step
-                bins.take(full, times)
-                bins.take(low, times)
-                bins.add(_with(full, [*((k, -1) for k in a), *((k, 1) for k in b)]), times)
-                bins.add(_with(low, [*((k, -1) for k in b), *((k, 1) for k in a)]), times)
-                done = False
+class _Options:
+    """What may leave a bin of some content, as bit sets of sums, so that a pair of bins is tested by a few shifts."""
+
+    def __init__(self, content: tuple[tuple[int, int], ...]):
+        found = _options(content)
+        self.sums = [(s, len(pieces)) for s, pieces in found.items()]
+        self.one = sum(1 << s for s, pieces in found.items() if len(pieces) == 1)
+        self.any = self.one | sum(1 << s for s, pieces in found.items() if len(pieces) == 2)
+
+    def gains(self, low: _Options, room: int) -> bool:
+        """Whether the fuller bin, with this room, can be filled further from the emptier one."""
+        mask = (1 << room) - 1
+        return any((low.any if n < 2 else low.one) >> (s + 1) & mask for s, n in self.sums)
+
+
+def local_search(bins: Bins, least: int) -> int:
+    """Moves and exchanges between underfull bins until ``least`` bins are left or none helps; the number of steps.
+
+    Every step grows the sum of squared fills, so the search ends by itself. A content is
+    tested against all others when it is new, as the emptier bin and as the fuller one,
+    and not again: the emptiest first.
+    """
+    total, steps, known = bins.total(), 0, {}
+    queue = [(_fill(c), c) for c, _ in bins.groups() if _fill(c) < bins.capacity]
+    heapq.heapify(queue)
+    settled: set = set()
+
+    def options(content: tuple[tuple[int, int], ...]) -> _Options:
+        if content not in known:
+            known[content] = _Options(content)
+        return known[content]
+
+    def partners(content: tuple[tuple[int, int], ...], n: int, room: int) -> tuple | None:
+        own = options(content)
+        for r in bins.rooms:
+            if r > room:
                 break
-            if not done:
+            if r:
+                for full in bins.by_room[r]:
+                    if (full != content or n > 1) and options(full).gains(own, r):
+                        return full, content
+        for r in reversed(bins.rooms):
+            if r < room:
                 break
-        if done:
-            break
-    return bins
+            for low in bins.by_room[r]:
+                if low in settled and low != content and own.gains(options(low), room):
+                    return content, low
+        return None
+
+    while queue and total > least:
+        fill, content = heapq.heappop(queue)
+        room = bins.capacity - fill
+        n = bins.by_room.get(room, {}).get(content, 0)
+        if not n or content in settled:
+            continue
+        if (pair := partners(content, n, room)) is None:
+            settled.add(content)
+            continue
+        full, low = pair
+        times = n // 2 if full == low else min(bins.by_room[bins.capacity - _fill(x)][x] for x in pair)
+        _, a, b = best_step(full, low, bins.capacity)
+        bins.take(full, times)
+        bins.take(low, times)
+        made = _with(full, [*((k, -1) for k in a), *((k, 1) for k in b)]), _with(low, [*((k, -1) for k in b), *((k, 1) for k in a)])
+        for x in made:
+            bins.add(x, times)
+        steps += 1
+        total -= times * (not made[1])
+        settled.difference_update(made)
+        for x in {*made, full, low}:
+            if x and x not in settled and bins.by_room.get(bins.capacity - _fill(x), {}).get(x) and _fill(x) < bins.capacity:
+                heapq.heappush(queue, (_fill(x), x))
+    return steps
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
     """Groups of bins that hold every piece of every length once."""
     least = -(-sum(k * n for k, n in counts.items()) // capacity)
-    return local_search(best_fit(counts, capacity), least).groups()
+    bins = best_fit(counts, capacity)
+    local_search(bins, least)
+    return bins.groups()
 
 
 class Places:
@@ -249,5 +299,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     shared = spark.sparkContext.broadcast(Places(plan(counts, capacity)))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = found.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    numbered = pieces.join(first, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("first")).alias("number"))
+    # As many rows as lengths and partitions: not to be sent to all.
+    numbered = pieces.join(first.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("first")).alias("number"))
     return numbered.mapInArrow(_placer(shared), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lexspark.llm.packing import best_fit, pack, plan
+from lexspark.llm.packing import best_fit, local_search, pack, plan
 from lexspark.llm.pretokens import Vocabulary, public_path
 
 
@@ -28,6 +28,23 @@ def test_local_search_helps():
     assert sum(n for _, n in plan(counts, 10)) == 4
 
 
+def test_local_search_has_no_limit_of_steps():
+    """Many equal pieces that best fit wastes room on: thousands of steps, each of which keeps every piece."""
+    rng = np.random.default_rng(4)
+    counts = dict(Counter(rng.integers(40, 1900, 4_000).tolist()) + Counter({330: 3_456, 331: 512}))
+    least = -(-sum(k * n for k, n in counts.items()) // 2048)
+    bins = best_fit(counts, 2048)
+    before = bins.total()
+    steps = local_search(bins, least)
+    assert steps > 100 and least <= bins.total() <= before
+    held = Counter()
+    for content, n in bins.groups():
+        assert sum(k * m for k, m in content) <= 2048
+        for k, m in content:
+            held[k] += m * n
+    assert held == counts
+
+
 def check(rows, texts, capacity):
     vocabulary = Vocabulary(public_path())
     ids = [(np.array([*vocabulary.whole(t or ""), 0], dtype="<u4")) for t in texts]
