@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import random
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -48,47 +49,54 @@ def expectations(x: list[str], y: list[str], p: Edits, viterbi: bool = False) ->
         for e in path:
             counts[e] += 1.0
         return counts, like
-    get = p.get
-    ahead = [[0.0] * (m + 1) for _ in range(n + 1)]
-    back = [[0.0] * (m + 1) for _ in range(n + 1)]
-    ahead[0][0] = 1.0
+    cost = {e: math.log(q) for e, q in p.items() if q > 0}  # logarithms: long pairs would leave the range of plain numbers
+    none = -math.inf
+    both = [[cost.get((a, b), none) for b in y] for a in x]
+    off, on = [cost.get((a, ""), none) for a in x], [cost.get(("", b), none) for b in y]
+
+    def total_of(terms: list[float]) -> float:
+        top = max(terms)
+        return top if top == none else top + math.log(sum(math.exp(t - top) for t in terms))
+
+    ahead = [[none] * (m + 1) for _ in range(n + 1)]
+    back = [[none] * (m + 1) for _ in range(n + 1)]
     for i in range(n + 1):
         for j in range(m + 1):
-            v = ahead[i][j]
+            terms = [0.0 if i == j == 0 else none]
             if i and j:
-                v += ahead[i - 1][j - 1] * get((x[i - 1], y[j - 1]), 0.0)
+                terms.append(ahead[i - 1][j - 1] + both[i - 1][j - 1])
             if i:
-                v += ahead[i - 1][j] * get((x[i - 1], ""), 0.0)
+                terms.append(ahead[i - 1][j] + off[i - 1])
             if j:
-                v += ahead[i][j - 1] * get(("", y[j - 1]), 0.0)
-            ahead[i][j] = v
-    back[n][m] = 1.0
+                terms.append(ahead[i][j - 1] + on[j - 1])
+            ahead[i][j] = total_of(terms)
     for i in range(n, -1, -1):
         for j in range(m, -1, -1):
-            v = back[i][j]
+            terms = [0.0 if (i, j) == (n, m) else none]
             if i < n and j < m:
-                v += back[i + 1][j + 1] * get((x[i], y[j]), 0.0)
+                terms.append(back[i + 1][j + 1] + both[i][j])
             if i < n:
-                v += back[i + 1][j] * get((x[i], ""), 0.0)
+                terms.append(back[i + 1][j] + off[i])
             if j < m:
-                v += back[i][j + 1] * get(("", y[j]), 0.0)
-            back[i][j] = v
-    total = ahead[n][m]
+                terms.append(back[i][j + 1] + on[j])
+            back[i][j] = total_of(terms)
+    like = ahead[n][m]
     counts = defaultdict(float)
-    if not total:
-        return counts, -math.inf
+    if like == none:
+        return counts, none
     for i in range(n + 1):
         for j in range(m + 1):
-            a = ahead[i][j] / total
-            if not a:
+            a = ahead[i][j] - like
+            if a == none:
                 continue
-            if i < n and j < m and (q := get((x[i], y[j]), 0.0)):
-                counts[x[i], y[j]] += a * q * back[i + 1][j + 1]
-            if i < n and (q := get((x[i], ""), 0.0)):
-                counts[x[i], ""] += a * q * back[i + 1][j]
-            if j < m and (q := get(("", y[j]), 0.0)):
-                counts["", y[j]] += a * q * back[i][j + 1]
-    return counts, math.log(total)
+            for there, edit, c, to in (
+                (i < n and j < m, (x[i] if i < n else "", y[j] if j < m else ""), both[i][j] if i < n and j < m else none, (i + 1, j + 1)),
+                (i < n, (x[i] if i < n else "", ""), off[i] if i < n else none, (i + 1, j)),
+                (j < m, ("", y[j] if j < m else ""), on[j] if j < m else none, (i, j + 1)),
+            ):
+                if there and c > none and (after := back[to[0]][to[1]]) > none:
+                    counts[edit] += math.exp(a + c + after)
+    return counts, like
 
 
 def align(x: list[str], y: list[str], p: Edits) -> tuple[list[tuple[str, str]], float]:
@@ -124,20 +132,25 @@ def _collected(model: DataFrame, most: int = 1_000_000) -> Edits:
 
 
 def e_step(pairs: DataFrame, model: Edits, x: str = "x", y: str = "y", viterbi: bool = False) -> DataFrame:
-    """(ilabel, olabel, n) with the log-likelihood as the row (null, null, sum). x, y: array<string> columns."""
+    """(ilabel, olabel, n) with the log-likelihood as the row (null, null, sum), and the number of pairs that no path joins as (null, 'lost', n).
+
+    x, y: array<string> columns.
+    """
     shared = pairs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, str], float] = defaultdict(float)
-        like = 0.0
+        like, lost = 0.0, 0.0
         for batch in batches:
             for a, b in zip(batch.column(x).to_pylist(), batch.column(y).to_pylist(), strict=True):
                 counts, ll = expectations(a or [], b or [], shared.value, viterbi)
                 if ll > -math.inf:
                     like += ll
+                else:
+                    lost += 1
                 for e, c in counts.items():
                     total[e] += c
-        rows = [*((a, b, c) for (a, b), c in total.items()), (None, None, like)]
+        rows = [*((a, b, c) for (a, b), c in total.items()), (None, None, like), (None, "lost", lost)]
         a, b, c = zip(*rows, strict=True)
         yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.float64())], names=["ilabel", "olabel", "n"])
 
@@ -155,7 +168,9 @@ def train(pairs: DataFrame, start: DataFrame, iterations: int = MOST_ITERATIONS,
     for k in range(min(iterations, MOST_ITERATIONS) * batches):
         part = pairs if batches == 1 else pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(batches)) == k % batches)
         found = e_step(part, model, viterbi=viterbi).collect()  # as many rows as edits
-        like = next(r["n"] for r in found if r["ilabel"] is None)
+        like = next(r["n"] for r in found if r["ilabel"] is None and r["olabel"] is None)
+        if lost := next(r["n"] for r in found if r["olabel"] == "lost" and r["ilabel"] is None):
+            warnings.warn(f"the model has no path for {lost:.0f} pairs; they count for nothing", stacklevel=2)
         counts = {(r["ilabel"], r["olabel"]): r["n"] for r in found if r["ilabel"] is not None}
         sums: dict[str, float] = defaultdict(float)
         for (a, _), c in counts.items():

@@ -36,8 +36,9 @@ def expand(f: Fst, parens, assignments=None, most: int = MOST, keep: bool = Fals
             label = i if i in push or i in pop else o
             if label in push:
                 k = stack_of[label]
-                if len(stacks[k]) < most:
-                    yield i if keep else 0, o if keep else 0, w, (d, stacks[:k] + (stacks[k] + (label,),) + stacks[k + 1 :])
+                if len(stacks[k]) >= most:
+                    raise ValueError(f"a stack grows beyond {most}: the rule isn't bounded, or needs a larger bound")
+                yield i if keep else 0, o if keep else 0, w, (d, stacks[:k] + (stacks[k] + (label,),) + stacks[k + 1 :])
             elif label in pop:
                 k = stack_of[pop[label]]
                 if stacks[k] and stacks[k][-1] == pop[label] and not any(stacks[:k]):

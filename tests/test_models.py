@@ -10,6 +10,16 @@ from lexspark.sources import text as files
 from pyspark.sql import functions as F
 
 
+def test_long_pairs_keep_their_likelihood(spark):
+    letters = [chr(97 + i) for i in range(26)]
+    p = {(a, b): 1 / 700 for a in [*letters, ""] for b in [*letters, ""] if a or b}
+    x = [letters[i * 7 % 26] for i in range(200)]
+    counts, like = em.expectations(x, x[::-1], p)
+    assert -2_000 < like < -500 and math.isclose(sum(n for (a, _), n in counts.items() if a), 200, rel_tol=1e-9)
+    found = {(r["ilabel"], r["olabel"]): r["n"] for r in em.e_step(spark.createDataFrame([(["a"], ["a"]), (["a"], ["z"])], "x array<string>, y array<string>"), {("a", "a"): 1.0}).collect()}
+    assert found[None, "lost"] == 1 and found["a", "a"] == 1 and found[None, None] == 0
+
+
 def test_expectations_by_hand():
     p = {("a", "x"): 0.5, ("a", ""): 0.25, ("", "x"): 0.25}
     counts, like = em.expectations(["a"], ["x"], p)
