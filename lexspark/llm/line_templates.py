@@ -1,23 +1,32 @@
 """Line dedup by a log-template tree.
 
 A line is parsed by a tree of fixed depth: its number of tokens, then its ``lead`` first
-tokens; tokens with a digit stand for any (``<*>``). At a leaf, lines in order join an open
-template if they agree with it in at least ``alike`` of all places, and the places where
-they differ become variable. A template recurs if it is found in ``least`` or more
-different texts; its lines are then dropped, except from the first text that holds it (the
-one with the smallest id), so that its content stays once. Copies of a text count as one
-text and are treated alike: whole copies are another operator's matter.
+tokens; tokens with a digit stand for any (``<*>``). That gives the leaf. In a leaf, a
+place of a line is variable if no other line (with another wording) has the same token
+there; such tokens are generalised to ``<*>``, and lines that have become alike are one
+template. A line is generalised only while at least ``alike`` of its places, and half of
+all, stay fixed; else it keeps its wording and takes no further part. This is repeated
+with the templates in place of lines until nothing changes, so a field may have frequent
+and rare values. So lines of one template agree in ``alike`` of all places. The result
+depends on no order of lines, and a leaf holds any number of templates.
+
+A template recurs if it is found in ``least`` or more different texts; its lines are then
+dropped, except from the first text that holds it (the one with the smallest id), so that
+its content stays once. Copies of a text count as one text and are treated alike: whole
+copies are another operator's matter.
 
 Templates take no lines of fewer than ``shortest`` tokens, or with less than half of their
 tokens fixed. Besides, a line of ``long`` characters or more (blanks counted once) that is
 found alike, digits too, in two or more different texts is dropped in the same way,
-whatever its tokens are. Blank lines are never dropped.
+whatever its tokens are. Blank lines, and short lines of one or two tokens, are never
+dropped: in a large corpus those meet by chance in clean prose.
 
-How it is dealt: small rows of hashes are counted first, texts and lines together as the
-key, so that a line in a third of all texts spreads over all tasks. Only lines of leaves
-that are met often enough travel as text; a bit map of fixed size, ``1 << bits`` bits,
-tells executors which (a wrong hit costs a row, nothing else). Leaves are read as a sorted
-stream with a few open templates; no leaf is collected.
+How it is dealt: small rows of hashes (128 bits for lines and texts) are counted first,
+texts and lines together as the key, so that a line in a third of all texts spreads over
+all tasks. Only lines of leaves that are met often enough travel as text; a bit map of
+bounded size tells executors which (a wrong hit costs a row, nothing else). Generalising
+counts (leaf, place, token), summed before the shuffle; a token met once names its line,
+so that nothing is joined to a hot leaf.
 
 Defined results. Null text: stays null, no lines. Empty text: one blank line. Repeated
 rows: copies. Null ids: their texts can't be a first one before any id. Ties: the smaller
@@ -35,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunked, marks, materialise, sifted, text_bytes
+from .common import chunked, discard, marks, materialise, sifted, stored, text_bytes
 
 LEAD = 4
 ALIKE = 0.7
@@ -44,8 +53,6 @@ LEAST = 3
 SHORTEST = 3
 #: Characters of a line that is dropped from the second text on.
 LONG = 40
-OPEN = 8
-BITS = 26
 SHARD_BYTES = 4 << 20
 ANY = b"<*>"
 #: Bytes that begin a character.
@@ -60,26 +67,22 @@ def parsed(line: bytes) -> list[bytes]:
     return [ANY if _digit.search(t) else t for t in tokens] if _digit.search(line) else tokens
 
 
-def _hash(x: bytes) -> int:
-    return xxhash.xxh64_intdigest(x) - (1 << 63)
-
-
-def line_key(tokens: list[bytes]) -> int:
-    return _hash(b" ".join(tokens))
+def line_key(tokens: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(tokens))
 
 
 def leaf_key(tokens: list[bytes], lead: int) -> int:
-    return _hash(b"%d " % len(tokens) + b" ".join(tokens[:lead]))
+    return xxhash.xxh64_intdigest(b"%d " % len(tokens) + b" ".join(tokens[:lead])) - (1 << 63)
 
 
-def exact_key(line: bytes, long: int) -> int | None:
+def exact_key(line: bytes, long: int) -> bytes | None:
     """Of the line as it is but for its blanks; none for a short one."""
     if len(line) < long:
         return None
     words = b" ".join(line.split())
     if len(words) < long or len(words) - len(words.translate(None, FIRST)) < long:
         return None
-    return _hash(b"= " + words)
+    return xxhash.xxh3_128_digest(b"= " + words)
 
 
 def worth(tokens: list[bytes], shortest: int) -> bool:
@@ -87,35 +90,41 @@ def worth(tokens: list[bytes], shortest: int) -> bool:
 
 
 def _keys(lead: int, shortest: int, long: int):
+    """A row for each line of a text: by its template tokens, and by itself where that is another wording."""
+
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunked(batches, "text", SHARD_BYTES):
-            row, leaf, key = [], [], []
+            row, leaf, key, alone = [], [], [], []
             for i, text in enumerate(text_bytes(batch.column("text"))):
                 seen = set()
                 for line in (text or b"").split(b"\n"):
-                    tokens = parsed(line)
-                    if worth(tokens, shortest) and (k := line_key(tokens)) not in seen:
-                        seen.add(k)
-                        row.append(i)
-                        leaf.append(leaf_key(tokens, lead))
-                        key.append(k)
-                    if (k := exact_key(line, long)) is not None and k not in seen:
-                        seen.add(k)
-                        row.append(i)
-                        leaf.append(None)
-                        key.append(k)
+                    tokens, own = parsed(line), exact_key(line, long)
+                    found = []
+                    if worth(tokens, shortest):
+                        plain = ANY not in tokens
+                        found.append((line_key(tokens), leaf_key(tokens, lead), plain and own is not None))
+                        own = None if plain else own
+                    if own is not None:
+                        found.append((own, None, True))
+                    for k, at, whole in found:
+                        if k not in seen:
+                            seen.add(k)
+                            row.append(i)
+                            leaf.append(at)
+                            key.append(k)
+                            alone.append(whole)
             at = pa.array(row, pa.int64())
-            yield pa.record_batch([batch.column("text_key").take(at), batch.column("doc_id").take(at), pa.array(leaf, pa.int64()), pa.array(key, pa.int64())], names=["text_key", "doc_id", "leaf", "line"])
+            yield pa.record_batch([batch.column("text_key").take(at), batch.column("doc_id").take(at), pa.array(leaf, pa.int64()), pa.array(key, pa.binary()), pa.array(alone, pa.bool_())], names=["text_key", "doc_id", "leaf", "line", "exact"])
 
     return keys
 
 
-def _texts(shared, lead: int, shortest: int, bits: int):
+def _texts(shared, lead: int, shortest: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: np.ndarray = shared.value
-        mask = (1 << bits) - 1
+        mask = len(known) * 64 - 1
         for batch in chunked(batches, "text", SHARD_BYTES):
-            found: dict[int, tuple[int, bytes]] = {}
+            found: dict[bytes, tuple[int, bytes]] = {}
             for text in text_bytes(batch.column("text")):
                 for line in (text or b"").split(b"\n"):
                     tokens = parsed(line)
@@ -124,73 +133,42 @@ def _texts(shared, lead: int, shortest: int, bits: int):
                         if int(known[(leaf & mask) >> 6]) >> (leaf & 63) & 1:
                             found[line_key(tokens)] = leaf, b" ".join(tokens)
             leaf, words = zip(*found.values(), strict=True) if found else ((), ())
-            yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(leaf, pa.int64()), pa.array(words, pa.binary())], names=["line", "leaf", "words"])
+            yield pa.record_batch([pa.array(list(found), pa.binary()), pa.array(leaf, pa.int64()), pa.array(words, pa.binary()).cast(pa.string())], names=["line", "leaf", "words"])
 
     return texts
 
 
-class Template:
-    def __init__(self, tokens: list[bytes], met: int, line: int):
-        self.tokens, self.met, self.lines = tokens, met, [line]
-
-    def agreeing(self, tokens: list[bytes]) -> int:
-        return sum(a == b for a, b in zip(self.tokens, tokens, strict=True))
-
-    def join(self, tokens: list[bytes], met: int, line: int) -> None:
-        if tokens != self.tokens:
-            self.tokens = [a if a == b else ANY for a, b in zip(self.tokens, tokens, strict=True)]
-        self.met += met
-        self.lines.append(line)
-
-
-def grown(rows: Iterator[tuple[int, bytes, int, int]], alike: float, least: int, open_most: int) -> Iterator[tuple[int, int]]:
-    """(line, template) for the lines of templates met often enough. rows: (leaf, words, line, texts), sorted."""
-
-    def closed(t: Template) -> Iterator[tuple[int, int]]:
-        if t.met >= least and 2 * t.tokens.count(ANY) <= len(t.tokens):
-            name = _hash(b"%d " % leaf + b" ".join(t.tokens) + b" %d" % min(t.lines))
-            yield from ((x, name) for x in t.lines)
-        elif t.met >= least:  # too little is fixed to speak of one template: each line for itself
-            yield from ((x, _hash(b"line %d" % x)) for x in t.lines)
-
-    leaf, held = None, []
-    for at, words, line, met in rows:
-        if at != leaf:
-            for t in held:
-                yield from closed(t)
-            leaf, held = at, []
-        tokens = words.split(b" ")
-        near = [t for t in held if len(t.tokens) == len(tokens)]
-        best = max(near, key=lambda t: t.agreeing(tokens), default=None)
-        if best is not None and best.agreeing(tokens) >= alike * len(tokens):
-            best.join(tokens, met, line)
-            held.remove(best)
-            held.append(best)
-        else:
-            held.append(Template(tokens, met, line))
-            if len(held) > open_most:
-                yield from closed(held.pop(0))
-    for t in held:
-        yield from closed(t)
-
-
-def _grower(alike: float, least: int, open_most: int):
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("leaf", "words", "line", "texts")), strict=True))
-        out: list[tuple[int, int]] = []
-        for pair in grown(rows, alike, least, open_most):
-            out.append(pair)
-            if len(out) >= 50_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
-
-    return grow
-
-
-def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
-    line, template = zip(*out, strict=True) if out else ((), ())
-    return pa.record_batch([pa.array(line, pa.int64()), pa.array(template, pa.int64())], names=["line", "template"])
+def _places(words, wanted):
+    """How many tokens of a line are as wanted."""
+    return F.size(F.filter(F.split(words, " "), wanted))
+
+
+def generalised(lines: DataFrame, lead: int, alike: float) -> DataFrame:
+    """(line, template): lines (line, leaf, words) of any number, by the wording of their templates; the template is a hash of 128 bits."""
+    spark = lines.sparkSession
+    any_token = F.lit(ANY.decode())
+    play, path = stored(lines.select("line", "leaf", "words", _places(F.col("words"), lambda t: t == any_token).alias("own"), F.xxhash64("leaf", "words").alias("form")), "wordings")
+    settled = []
+    while True:
+        forms, forms_path = stored(play.groupBy("form", "leaf", "words").agg(F.min("own").alias("own")), "forms")
+        tokens = forms.select("leaf", "form", F.posexplode(F.split("words", " ")).alias("place", "token")).where((F.col("place") >= lead) & (F.col("token") != any_token)).select("leaf", "form", "place", F.xxhash64("token").alias("token"))
+        lone = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.min("form").alias("form")).where("n = 1").groupBy("leaf", "form").agg(F.collect_list("place").alias("lone"))
+        size = F.size(F.split("words", " "))
+        masked = _places(F.col("words"), lambda t: t == any_token) + F.size("lone")
+        fits = (masked - F.col("own") <= (1 - alike) * size) & (2 * masked <= size)
+        wording = F.array_join(F.transform(F.split("words", " "), lambda t, i: F.when(F.array_contains("lone", i), any_token).otherwise(t)), " ")
+        moved, moved_path = stored(forms.join(lone, ["leaf", "form"]).select("form", F.col("words").alias("was"), fits.alias("fits"), F.when(fits, wording).alias("wider")), "wider")
+        if not moved.count():
+            discard(spark, forms_path, moved_path)
+            break
+        after = play.join(moved.hint("merge"), ["form"], "left").where("was is null or was = words")
+        after, after_path = stored(after.select("line", "leaf", F.coalesce("wider", "words").alias("words"), "own", F.coalesce(~F.col("fits"), F.lit(False)).alias("out")).withColumn("form", F.xxhash64("leaf", "words")), "wordings")
+        discard(spark, forms_path, moved_path, *([path] if not settled else []))  # later ones hold what has settled
+        settled.append(after.where("out").drop("out"))
+        play, path = after.where("not out").drop("out"), after_path
+    for part in settled:
+        play = play.unionByName(part)
+    return play.select("line", F.unhex(F.md5(F.concat(F.col("leaf").cast("string"), F.lit(" "), F.col("words")).cast("binary"))).alias("template"))
 
 
 def _cleaner(text_col: str, shortest: int, long: int):
@@ -213,22 +191,23 @@ def _cleaner(text_col: str, shortest: int, long: int):
     return clean
 
 
-def recurring(docs: DataFrame, lead: int = LEAD, alike: float = ALIKE, least: int = LEAST, shortest: int = SHORTEST, open_most: int = OPEN, bits: int = BITS, long: int = LONG) -> DataFrame:
+def recurring(docs: DataFrame, lead: int = LEAD, alike: float = ALIKE, least: int = LEAST, shortest: int = SHORTEST, long: int = LONG) -> DataFrame:
     """(text_key, lines): for each text (doc_id, text, text_key), the keys of its lines to drop."""
     spark = docs.sparkSession
-    seen = docs.mapInArrow(_keys(lead, shortest, long), "text_key bigint, doc_id bigint, leaf bigint, line bigint")
-    seen = materialise(seen.groupBy("line", "leaf", "text_key").agg(F.min("doc_id").alias("doc_id")), "lines")
-    leaves = seen.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    known = marks(leaves, "leaf", bits)
-    lines = docs.select("text").mapInArrow(_texts(spark.sparkContext.broadcast(known), lead, shortest, bits), "line bigint, leaf bigint, words binary")
+    seen = docs.mapInArrow(_keys(lead, shortest, long), "text_key binary, doc_id bigint, leaf bigint, line binary, exact boolean")
+    seen = materialise(seen.groupBy("line", "leaf", "exact", "text_key").agg(F.min("doc_id").alias("doc_id")), "lines")
+    leaves = seen.where("leaf is not null").groupBy("leaf").agg(F.count("*").alias("n"), F.min("line").alias("low"), F.max("line").alias("high"))
+    leaves = materialise(leaves.where((F.col("n") >= least) & (F.col("low") != F.col("high"))).select("leaf"), "leaves")  # one line alone needs no template
+    known = marks(leaves, "leaf")
+    lines = docs.select("text").mapInArrow(_texts(spark.sparkContext.broadcast(known), lead, shortest), "line binary, leaf bigint, words string")
     lines = lines.groupBy("line").agg(F.min(F.struct("leaf", "words")).alias("x")).select("line", "x.leaf", "x.words")
-    met = seen.groupBy("line").agg(F.count("*").alias("texts"))
-    ordered = lines.join(met, "line").repartition("leaf").sortWithinPartitions("leaf", "words", "line")
-    templates = ordered.select("leaf", "words", "line", "texts").mapInArrow(_grower(alike, least, open_most), "line bigint, template bigint").withColumn("least", F.lit(least))
-    exact = seen.where("leaf is null").groupBy("line").agg(F.count("*").alias("n")).where("n >= 2").select("line", F.col("line").alias("template"), F.lit(2).alias("least"))
-    templates = materialise(templates.unionByName(exact), "templates")
+    templates = generalised(lines, lead, alike).withColumn("least", F.lit(least))
+    exact = seen.where("exact").groupBy("line").agg(F.count("*").alias("n")).where("n >= 2").select("line", F.col("line").alias("template"), F.lit(2).alias("least"))
+    again = seen.where("leaf is not null").groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("line", F.col("line").alias("template"), F.lit(least).alias("least"))
+    templates = materialise(templates.unionByName(exact).unionByName(again), "templates")
 
-    held = materialise(seen.join(templates, "line").select("template", "least", "line", "text_key", "doc_id"), "held")
+    maybe, _ = sifted(seen.withColumn("__lx_hash", F.xxhash64("line")), templates.select(F.xxhash64("line").alias("__lx_hash")), "__lx_hash", "__lx_hash")
+    held = materialise(maybe.join(templates.hint("merge"), "line").select("template", "least", "line", "text_key", "doc_id"), "held")
     texts = held.groupBy("template", "least", "text_key").agg(F.min("doc_id").alias("doc_id"))
     ids = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     often = texts.groupBy("template", "least").agg(F.count("*").alias("n"), F.min(F.struct(ids.alias("doc_id"), F.col("text_key").alias("first"))).alias("x")).where(F.col("n") >= F.col("least"))
@@ -239,11 +218,12 @@ def recurring(docs: DataFrame, lead: int = LEAD, alike: float = ALIKE, least: in
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = SHORTEST, long: int = LONG, **options) -> DataFrame:
     """All rows and columns of docs, the text without its recurring lines, and __lx_lines and __lx_dropped: how many it had and lost."""
-    key = F.xxhash64(F.col(text_col))
+    key = F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
     view = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("text_key"))
     gone = materialise(recurring(view, shortest=shortest, long=long, **options), "recurring").select(F.col("text_key").alias("__lx_key"), F.col("lines").alias("__lx_gone"))
-    maybe, rest = sifted(docs.withColumn("__lx_hash", key), marks(gone, "__lx_key"), "__lx_hash")
-    joined = maybe.join(gone.hint("merge"), F.col("__lx_hash") == F.col("__lx_key"), "left").drop("__lx_key", "__lx_hash")
-    joined = joined.unionByName(rest.drop("__lx_hash").withColumn("__lx_gone", F.lit(None).cast("array<bigint>")))
+    hashed = docs.withColumn("__lx_text", key).withColumn("__lx_hash", F.xxhash64("__lx_text"))
+    maybe, rest = sifted(hashed, gone.select(F.xxhash64("__lx_key").alias("__lx_hash")), "__lx_hash", "__lx_hash")
+    joined = maybe.join(gone.hint("merge"), F.col("__lx_text") == F.col("__lx_key"), "left").drop("__lx_key", "__lx_hash", "__lx_text")
+    joined = joined.unionByName(rest.drop("__lx_hash", "__lx_text").withColumn("__lx_gone", F.lit(None).cast("array<binary>")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return joined.mapInArrow(_cleaner(text_col, shortest, long), f"{fields}, `__lx_lines` bigint, `__lx_dropped` bigint")

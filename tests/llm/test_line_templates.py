@@ -1,6 +1,8 @@
 import random
+from collections import defaultdict
 
-from lexspark.llm.line_templates import cleaned, grown, line_key, parsed, worth
+import pytest
+from lexspark.llm.line_templates import cleaned, generalised, parsed, worth
 
 
 def text_of(df):
@@ -31,10 +33,84 @@ def test_whole_copies_count_once(documents):
     assert text_of(cleaned(documents(*docs))) == dict(docs)
 
 
-def test_tree():
-    rows = sorted((7, b" ".join(parsed(line)), line_key(parsed(line)), 1) for line in (b"a b c d one e f g", b"a b c d two e f g", b"a b c d q r s t"))
-    pairs = dict(grown(iter(rows), 0.7, 2, 8))
-    assert len(pairs) == 2 and len(set(pairs.values())) == 1
+def brute(docs, lead=4, alike=0.7, least=3, shortest=3, long=40):
+    """The rules of the docstring in plain words: no hashes, no joins."""
+    texts = {}
+    for i, t in docs:
+        if t is not None:
+            texts[t] = min(texts.get(t, 1 << 63), i)
+    plain = lambda x: tuple("<*>" if any(c in "0123456789" for c in t) else t for t in x.split(" ") if t)
+    fine = lambda w: len(w) >= shortest and 2 * w.count("<*>") <= len(w)
+    wording = {w: w for t in texts for x in t.split("\n") if fine(w := plain(x))}
+    own = {w: w.count("<*>") for w in wording}
+    play = dict(wording)
+    while True:
+        places, least_own = defaultdict(set), {}
+        for w, now in play.items():
+            least_own[now] = min(least_own.get(now, 1 << 30), own[w])
+            for p in range(lead, len(now)):
+                places[len(now), w[:lead], p, now[p]].add(now)
+        wider, out = {}, set()
+        for w, now in play.items():
+            lone = [p for p in range(lead, len(now)) if now[p] != "<*>" and len(places[len(now), w[:lead], p, now[p]]) == 1]
+            masked = now.count("<*>") + len(lone)
+            if lone and masked - least_own[now] <= (1 - alike) * len(now) + 1e-9 and 2 * masked <= len(now):
+                wider[now] = tuple("<*>" if p in lone else t for p, t in enumerate(now))
+            elif lone:
+                out.add(now)
+        if not wider and not out:
+            break
+        play = {w: wider.get(now, now) for w, now in play.items() if now not in out}
+        wording |= play
+    holders = defaultdict(set)
+    for t in texts:
+        for x in t.split("\n"):
+            if fine(plain(x)):
+                holders[wording[plain(x)]].add(t)
+            if len(" ".join(x.split())) >= long:
+                holders["= " + " ".join(x.split())].add(t)
+    gone = lambda k, t, n: len(holders[k]) >= n and min(holders[k], key=texts.get) != t
+    out = {}
+    for i, t in docs:
+        if t is None:
+            out[i] = None
+            continue
+        kept = [x for x in t.split("\n") if not (fine(plain(x)) and gone(wording[plain(x)], t, least) or len(" ".join(x.split())) >= long and gone("= " + " ".join(x.split()), t, 2))]
+        out[i] = "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_against_brute_force(documents, seed):
+    rng = random.Random(seed)
+    forms = [[rng.choice("abcd") + rng.choice("xyz") for _ in range(rng.choice((5, 8, 12)))] for _ in range(6)]
+    docs = []
+    for i in range(40):
+        lines = []
+        for _ in range(rng.randint(1, 4)):
+            w = list(rng.choice(forms))
+            for p in rng.sample(range(len(w)), rng.choice((0, 1, 2))):
+                w[p] = rng.choice(("anna", "ben", "q7", f"v{chr(97 + rng.randint(0, 25))}"))
+            lines.append(" ".join(w))
+        docs.append((i, "\n".join(lines)))
+    docs += [(98, docs[3][1]), (99, None)]
+    assert text_of(cleaned(documents(*docs))) == brute(docs)
+
+
+@pytest.mark.parametrize("templates", [9, 200])
+def test_templates_of_one_leaf_that_interleave(spark, templates):
+    """All share their token count and leading tokens, and vary at the next token."""
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(40 * templates)]
+    rows = [(f"{t}-{k}".encode(), 7, f"a b c d {names[40 * t + k]} " + " ".join(f"t{chr(97 + t % 26)}{chr(97 + t // 26)}{p}" for p in "pqrs"), t) for t in range(templates) for k in range(40)]
+    lines = spark.createDataFrame(rows, "line binary, leaf bigint, words string, t int")
+    found = defaultdict(set)
+    for r in generalised(lines.drop("t"), 4, 0.7).join(lines.select("line", "t"), "line").collect():
+        found[bytes(r["template"])].add(r["t"])
+    assert len(found) == templates and all(len(x) == 1 for x in found.values())
+
+
+def test_worth():
     assert not worth(parsed(b"1 2 3 a"), 3) and worth(parsed(b"1 b c a"), 3) and not worth([b"a", b"b"], 3)
 
 
