@@ -69,6 +69,42 @@ def test_odd_rows(odd, empty):
     assert score(empty).count() == 0
 
 
+def brute_tree(texts, depth, gain):
+    """Contexts by the rule of the docstring, from plain counts of every context and next byte."""
+    after = [Counter() for _ in range(depth + 1)]
+    for x in texts:
+        raw = b"\n" * depth + normalised((x or "").encode())
+        if raw == b"\n" * (depth + 1):
+            continue  # an empty text's end isn't learned
+        for at in range(depth, len(raw)):
+            for k in range(depth + 1):
+                after[k][raw[at - k : at], raw[at]] += 1
+    counts = [Counter() for _ in range(depth + 1)]
+    for k in range(depth + 1):
+        for (context, _), n in after[k].items():
+            counts[k][context] += n
+    kept = set()
+    for k in range(1, depth + 1):
+        gains = Counter()
+        for (context, byte), n in after[k].items():
+            below = after[k - 1][context[1:], byte] / counts[k - 1][context[1:]]
+            gains[context] += n * math.log(n / counts[k][context] / below)
+        for context, value in gains.items():
+            if counts[k][context] >= 2 and value >= gain:
+                kept |= {context[j:] for j in range(k)}
+    return kept
+
+
+@pytest.mark.parametrize(("depth", "gain"), [(2, 1.0), (4, 3.0), (5, 10.0)])
+def test_learning_against_brute_force(documents, depth, gain):
+    rng = np.random.default_rng(9)
+    words = ["".join(rng.choice(list("abcde"), size=rng.integers(1, 6))) for _ in range(25)]
+    texts = [" ".join(rng.choice(words, size=rng.integers(1, 20))) for _ in range(80)] + [None, "", "é Ü\tx"]
+    _, kept, _ = grown(documents(*enumerate(texts)).select("text", F.lit(False).alias("held_out")), depth, gain=gain)
+    got = {int(r["context"]).to_bytes(r["k"], "big") for r in kept.collect()}
+    assert got == brute_tree(texts, depth, gain) and len(got) > 5
+
+
 @pytest.mark.parametrize("head", [0, 40, 1 << 20])
 def test_no_context_is_lost(documents, head):
     """The score by the tables is that of the whole tree, whatever part of the grams is sent out; rare contexts stay."""
