@@ -1,8 +1,13 @@
 """The corpus pipeline: each stage takes all rows that the one before it kept.
 
 Every stage is written as Parquet and read again as the next one's documents. All but the
-last return the columns of ``documents``. Nulls, ties and empty tables have the results
-that the operators define.
+last return the columns of ``documents``, and any columns that the table has besides.
+
+Defined results. Null and empty texts: graded by the thresholds alone, no lines to drop,
+no copies of each other, not contaminated, packed as an end of text. Very long texts:
+whole in every stage. Repeated rows: one stays. Ids that different texts share: each row
+for itself; null ids: like others, after all ids. Ties: the smallest id, then the first
+row. Columns whose names operators use inside: kept apart. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that hang together by n-gram similarity, the one with the smallest id stays."""
+    """Of rows that hang together by n-gram similarity, the one with the smallest id stays."""
     return deduplicated(docs).select(*docs.columns)
 
 
@@ -53,7 +58,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: No stage can be expressed in SQL; tests compare the stages with brute force.
+#: The trained classifier can't be expressed in SQL; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
