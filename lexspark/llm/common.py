@@ -56,11 +56,6 @@ def docs_view(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def width(spark: SparkSession) -> int:
-    """Partitions of a shuffle in this session."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 #: Byte maps. Bytes of 128 and more are parts of letters outside ASCII and stay as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A-Z lower-cased and all ASCII but letters and digits made a space: splitting gives the words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+.

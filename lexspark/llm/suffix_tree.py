@@ -17,7 +17,7 @@ root adds 0.5 to the count of each of 256 bytes.
 Scoring: the probability of a byte depends on its gram alone, so it is computed once for
 each distinct gram, order by order, by joins with the tree. The ``head`` most frequent
 grams are sent to the executors, which sum them where texts lie; all other grams of a text
-are joined by a shuffle. ``Tree`` and ``Automaton`` are the same model on one machine.
+are joined by a shuffle.
 
 Defined results. Null text: as the empty text, an end symbol alone. Null ids: learned from,
 not held out. Repeated rows: each scored, each learned from. Nothing to learn from: all
@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +44,6 @@ GAIN = 10.0
 HEAD_GRAMS = 1 << 20
 SLOT_BITS = 22
 SHARD_BYTES = 8 << 20
-STRETCH = 512
 END = b"\n"
 
 
@@ -112,17 +110,6 @@ def _grams(depth: int):
     return count
 
 
-@dataclass
-class Tree:
-    """contexts[k]: the kept ones of k bytes, ascending; counts likewise. grams[k], times[k]: context and next byte."""
-
-    depth: int
-    contexts: list[np.ndarray]
-    counts: list[np.ndarray]
-    grams: list[np.ndarray]
-    times: list[np.ndarray]
-
-
 def _position(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each is, and whether it is there."""
     at = np.searchsorted(where, what)
@@ -131,82 +118,6 @@ def _position(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(there, at, 0), there
 
 
-class Automaton:
-    """States: kept contexts and their prefixes. One column for each byte learned, one for all others, one for padding."""
-
-    def __init__(self, tree: Tree):
-        used = (tree.grams[0] & 255).astype(np.int64)
-        self.depth, width = tree.depth, len(used) + 2
-        self.column = np.full(257, len(used), dtype=np.uint8 if width < 256 else np.int32)
-        self.column[used] = np.arange(len(used))
-        self.column[256] = len(used) + 1
-        states = [np.unique(np.concatenate([tree.contexts[j] >> (8 * (j - k)) for j in range(k, tree.depth + 1)])) for k in range(tree.depth + 1)]
-        base = np.concatenate([[0], np.cumsum([len(s) for s in states])])
-        total = tree.times[0].sum()
-        p = np.full(width, 0.5 / (total + 128))
-        p[: len(used)] = (tree.times[0] + 0.5) / (total + 128)
-        chance, step = np.empty((base[-1], width)), np.zeros((base[-1], width), dtype=np.int32)
-        chance[0] = p
-        for k in range(1, tree.depth + 1):
-            own = slice(base[k], base[k + 1])
-            suffix = base[k - 1] + _position(states[k - 1], states[k] & ((1 << (8 * (k - 1))) - 1))[0]
-            chance[own] = chance[suffix]
-            at, kept = _position(tree.contexts[k], states[k])
-            count = np.where(kept, tree.counts[k][at] if len(tree.contexts[k]) else 0, 1).astype(np.float64)
-            of, there = _position(states[k], tree.grams[k] >> 8)
-            of, symbol, n = of[there], self.column[(tree.grams[k] & 255)[there]], tree.times[k][there]
-            live = kept[of]
-            of, symbol, n = of[live], symbol[live], n[live]
-            q = np.bincount(of, minlength=len(states[k]))
-            rest = (count - np.bincount(of, weights=n, minlength=len(states[k])) + q) / (count + q)
-            rest[~kept] = 1.0
-            rest = np.where(q > 0, rest, 1.0)
-            chance[own] *= rest[:, None]
-            np.add.at(chance, (base[k] + of, symbol), n / (count + q)[of])
-        for k in range(tree.depth + 1):
-            own = slice(base[k], base[k + 1])
-            if k:
-                step[own] = step[base[k - 1] + _position(states[k - 1], states[k] & ((1 << (8 * (k - 1))) - 1))[0]]
-            if k < tree.depth:
-                of, there = _position(states[k], states[k + 1] >> 8)
-                to = np.arange(len(states[k + 1]))[there]
-                step[base[k] + of[there], self.column[(states[k + 1] & 255)[there]]] = base[k + 1] + to
-        self.width, self.chance = width, chance
-        self.log = np.log10(chance).astype(np.float32)
-        self.log[:, -1] = 0.0
-        step[:, -1] = 0
-        self.step = (step * width).ravel()  # states as offsets of their lines
-        self.log = self.log.ravel()
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each normalised text."""
-        d, stretch = self.depth, STRETCH
-        size = np.array([len(x) for x in texts], dtype=np.int64)
-        buffer = np.frombuffer(b"".join(END * d + x for x in texts), dtype=np.uint8)
-        columns = np.concatenate([self.column[buffer], np.full(stretch, self.column[256], dtype=self.column.dtype)])
-        begin = np.cumsum(size + d) - size - d
-        pieces = -(-size // stretch)
-        doc = np.repeat(np.arange(len(texts)), pieces)
-        at = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * stretch
-        left = size[doc] - at
-        start = begin[doc] + at
-        state = np.zeros(len(start), dtype=np.int64)
-        for k in range(d):
-            state = self.step[state + columns[start + k]].astype(np.int64)
-        total = np.zeros(len(start))
-        order = np.argsort(-left, kind="stable")
-        start, state, left, doc = start[order], state[order], left[order], doc[order]
-        live = np.searchsorted(-left, -np.arange(stretch), "left")  # stretches that still have a byte
-        for k in range(stretch):
-            n = live[k]
-            if not n:
-                break
-            cell = state[:n] + columns[start[:n] + d + k]
-            total[:n] += self.log[cell]
-            state[:n] = self.step[cell]
-        return np.bincount(doc, weights=total, minlength=len(texts))
-
-
 class Head:
     """Values of the most frequent grams: a table of slots, and a sorted list of those whose slot was taken."""
 
@@ -313,25 +224,6 @@ def _mask(k: int) -> int:
     return (1 << (8 * k)) - 1
 
 
-def learn(docs: DataFrame, depth: int = DEPTH, least: float = 0.0, gain: float = GAIN, most: int = 1_000_000) -> Tree:
-    """The tree of the texts of docs (column text) on the driver, for small ones: more than ``most`` contexts are refused."""
-    levels, kept, total = grown(docs.select("text", F.lit(False).alias("held_out")), depth, least, gain)
-    if kept.count() > most:
-        raise ValueError(f"more than {most} contexts")
-    seen = levels.where("n > 0")
-    rows = seen.join(kept, ["k", "context"], "left_semi").unionByName(seen.where("k = 0")).select("k", "context", "gram", "n", "count").toArrow().to_pandas()
-    contexts, counts, grams, times = [np.zeros(1, dtype=np.int64)], [np.array([max(1, total)])], [], []
-    for k in range(depth + 1):
-        own = rows[rows["k"] == k].sort_values("gram")
-        grams.append(own["gram"].to_numpy(np.int64))
-        times.append(own["n"].to_numpy(np.int64))
-        if k:
-            first = own.drop_duplicates("context")
-            contexts.append(first["context"].to_numpy(np.int64))
-            counts.append(first["count"].to_numpy(np.int64))
-    return Tree(depth, contexts, counts, grams, times)
-
-
 def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds == fold, F.lit(False))
 
