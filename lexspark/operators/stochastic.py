@@ -26,7 +26,7 @@ FINAL = ""  # the label of ending
 
 
 @dataclass
-class Sfst:
+class FailureAutomaton:
     """arcs[s][label] = (probability, next state); phi[s] = (weight, state); ends in final[s]."""
 
     start: int
@@ -38,7 +38,7 @@ class Sfst:
         return {a: p for a, (p, _) in self.arcs[s].items()} | ({FINAL: self.final[s]} if self.final[s] else {})
 
 
-def phi_order(f: Sfst) -> list[int]:
+def phi_order(f: FailureAutomaton) -> list[int]:
     """How many failure arcs can follow each other from each state; a cycle of them is an error."""
     depth: dict[int, int] = {}
 
@@ -52,12 +52,12 @@ def phi_order(f: Sfst) -> list[int]:
     return [of(s) for s in range(len(f.arcs))]
 
 
-def phi_top_order(f: Sfst) -> list[int]:
+def phi_top_order(f: FailureAutomaton) -> list[int]:
     order = phi_order(f)
     return sorted(range(len(order)), key=lambda s: (order[s], s))
 
 
-def step(f: Sfst, s: int, label: str) -> tuple[float, int | None]:
+def step(f: FailureAutomaton, s: int, label: str) -> tuple[float, int | None]:
     """Probability and next state of a label through failures; 0 if there is none."""
     p = 1.0
     while True:
@@ -72,7 +72,7 @@ def step(f: Sfst, s: int, label: str) -> tuple[float, int | None]:
         p *= w
 
 
-def reached(f: Sfst, s: int) -> dict[str, float]:
+def reached(f: FailureAutomaton, s: int) -> dict[str, float]:
     """The whole next-label distribution of a state."""
     out, p = {}, 1.0
     while True:
@@ -84,15 +84,15 @@ def reached(f: Sfst, s: int) -> dict[str, float]:
         p *= w
 
 
-def state_sums(f: Sfst) -> list[float]:
+def state_sums(f: FailureAutomaton) -> list[float]:
     return [sum(reached(f, s).values()) for s in range(len(f.arcs))]
 
 
-def is_normalized(f: Sfst, delta: float = NORM_EPS) -> bool:
+def is_normalized(f: FailureAutomaton, delta: float = NORM_EPS) -> bool:
     return all(abs(x - 1) <= delta for x in state_sums(f))
 
 
-def is_canonical(f: Sfst) -> bool:
+def is_canonical(f: FailureAutomaton) -> bool:
     """No cycles of failures, and every state sums to 1."""
     try:
         phi_order(f)
@@ -101,25 +101,25 @@ def is_canonical(f: Sfst) -> bool:
     return is_normalized(f)
 
 
-def is_backoff_complete(f: Sfst) -> bool:
+def is_backoff_complete(f: FailureAutomaton) -> bool:
     """Whether every label of a state with a failure arc can be read below it."""
     return all(f.phi[s] is None or all(step(f, f.phi[s][1], a)[0] > 0 for a in f.labels(s)) for s in range(len(f.arcs)))
 
 
-def sum_backoff(f: Sfst) -> list[tuple[float, float]]:
+def sum_backoff(f: FailureAutomaton) -> list[tuple[float, float]]:
     """For each state the sum of its own probabilities and of the same labels below."""
     return [(sum(f.labels(s).values()), sum(step(f, f.phi[s][1], a)[0] for a in f.labels(s)) if f.phi[s] else 0.0) for s in range(len(f.arcs))]
 
 
-def diff_backoff(f: Sfst, s: int) -> dict[str, float]:
+def diff_backoff(f: FailureAutomaton, s: int) -> dict[str, float]:
     return {a: p - (f.phi[s][0] * step(f, f.phi[s][1], a)[0] if f.phi[s] else 0.0) for a, p in f.labels(s).items()}
 
 
-def _copy(f: Sfst) -> Sfst:
-    return Sfst(f.start, [dict(x) for x in f.arcs], list(f.final), list(f.phi))
+def _copy(f: FailureAutomaton) -> FailureAutomaton:
+    return FailureAutomaton(f.start, [dict(x) for x in f.arcs], list(f.final), list(f.phi))
 
 
-def phi_normalized(f: Sfst) -> Sfst:
+def phi_normalized(f: FailureAutomaton) -> FailureAutomaton:
     """Failure weights such that every state sums to 1; arcs stay."""
     g = _copy(f)
     for s in phi_top_order(f):
@@ -130,7 +130,7 @@ def phi_normalized(f: Sfst) -> Sfst:
     return g
 
 
-def locally_normalized(f: Sfst) -> Sfst:
+def locally_normalized(f: FailureAutomaton) -> FailureAutomaton:
     """Arcs and failure arc of each state over their sum."""
     g = _copy(f)
     for s in range(len(f.arcs)):
@@ -142,7 +142,7 @@ def locally_normalized(f: Sfst) -> Sfst:
     return g
 
 
-def shortest_distance(f: Sfst, rounds: int = 10_000, delta: float = 1e-12) -> list[float]:
+def shortest_distance(f: FailureAutomaton, rounds: int = 10_000, delta: float = 1e-12) -> list[float]:
     """Total probability of the paths from each state to an end, failures included: a fixed point over the real numbers."""
     value = [0.0] * len(f.arcs)
     for _ in range(rounds):
@@ -159,10 +159,10 @@ def shortest_distance(f: Sfst, rounds: int = 10_000, delta: float = 1e-12) -> li
     return value
 
 
-def globally_normalized(f: Sfst) -> Sfst:
+def globally_normalized(f: FailureAutomaton) -> FailureAutomaton:
     """Each state conditioned on ending: arcs times the mass beyond them, over the state's own."""
     mass = shortest_distance(f)
-    g = Sfst(f.start, [], [], [None] * len(f.arcs))
+    g = FailureAutomaton(f.start, [], [], [None] * len(f.arcs))
     for s in range(len(f.arcs)):
         row, end = {}, 0.0
         for a in reached(f, s):
@@ -176,9 +176,9 @@ def globally_normalized(f: Sfst) -> Sfst:
     return g
 
 
-def without_phi(f: Sfst) -> Sfst:
+def without_phi(f: FailureAutomaton) -> FailureAutomaton:
     """Failure arcs replaced by what can be read through them."""
-    g = Sfst(f.start, [], [], [None] * len(f.arcs))
+    g = FailureAutomaton(f.start, [], [], [None] * len(f.arcs))
     for s in range(len(f.arcs)):
         ways = {a: step(f, s, a) for a in reached(f, s)}
         g.arcs.append({a: (p, d) for a, (p, d) in ways.items() if a != FINAL})
@@ -186,9 +186,9 @@ def without_phi(f: Sfst) -> Sfst:
     return g
 
 
-def intersected(a: Sfst, b: Sfst) -> Sfst:
+def intersected(a: FailureAutomaton, b: FailureAutomaton) -> FailureAutomaton:
     """Product of two automata, failures matched on both sides."""
-    number, queue, out = {(a.start, b.start): 0}, [(a.start, b.start)], Sfst(0, [], [], [])
+    number, queue, out = {(a.start, b.start): 0}, [(a.start, b.start)], FailureAutomaton(0, [], [], [])
     while queue:
         s, t = queue.pop(0)
         row = {}
@@ -206,7 +206,7 @@ def intersected(a: Sfst, b: Sfst) -> Sfst:
     return out
 
 
-def stationary(f: Sfst, delta: float = 1e-9) -> list[float]:
+def stationary(f: FailureAutomaton, delta: float = 1e-9) -> list[float]:
     """Long-run share of each state when ended strings begin anew (almost always)."""
     n = len(f.arcs)
     x = [1.0 / n] * n
@@ -224,7 +224,7 @@ def stationary(f: Sfst, delta: float = 1e-9) -> list[float]:
     return x
 
 
-def visits(source: Sfst, topology: Sfst, rounds: int = 1000, delta: float = 1e-12) -> list[dict[str, float]]:
+def visits(source: FailureAutomaton, topology: FailureAutomaton, rounds: int = 1000, delta: float = 1e-12) -> list[dict[str, float]]:
     """Expected number of times each arc of the topology is read by strings of the source; failures pass counts down."""
     pairs = {(source.start, topology.start): 1.0}
     counts: list[dict[str, float]] = [defaultdict(float) for _ in topology.arcs]
@@ -246,7 +246,7 @@ def visits(source: Sfst, topology: Sfst, rounds: int = 1000, delta: float = 1e-1
     return [dict(c) for c in counts]
 
 
-def count_normalized(topology: Sfst, counts: list[dict[str, float]], method: str = "kl_min", rounds: int = 200) -> Sfst:
+def count_normalized(topology: FailureAutomaton, counts: list[dict[str, float]], method: str = "kl_min", rounds: int = 200) -> FailureAutomaton:
     """Probabilities from counts. summed: counts over their sum. kl_min: of all normalised ones the nearest to the counts.
 
     The nearest one solves, for each state with failures, a fixed point in how the mass is
@@ -271,17 +271,17 @@ def count_normalized(topology: Sfst, counts: list[dict[str, float]], method: str
     return phi_normalized(g)
 
 
-def approximated(source: Sfst, topology: Sfst, method: str = "kl_min") -> Sfst:
+def approximated(source: FailureAutomaton, topology: FailureAutomaton, method: str = "kl_min") -> FailureAutomaton:
     """The automaton of a topology that is nearest to a source."""
     return count_normalized(topology, visits(source, topology), method)
 
 
-def ngram_topology(sequences: list[list[str]], order: int) -> Sfst:
+def ngram_topology(sequences: list[list[str]], order: int) -> FailureAutomaton:
     """States for all histories below the order, failure arcs to their suffixes."""
     grams = {tuple(x[i : i + n]) for w in sequences for x in [["<s>", *w, FINAL]] for n in range(1, order + 1) for i in range(len(x) - n + 1)}
     hists = sorted({g[:-1] for g in grams if g[-1] != "<s>"} | {()}, key=lambda h: (len(h), h))
     number = {h: k for k, h in enumerate(hists)}
-    f = Sfst(number.get(("<s>",) if order > 1 else (), 0), [{} for _ in hists], [0.0] * len(hists), [None] * len(hists))
+    f = FailureAutomaton(number.get(("<s>",) if order > 1 else (), 0), [{} for _ in hists], [0.0] * len(hists), [None] * len(hists))
     for g in grams:
         h, a = g[:-1], g[-1]
         if a == "<s>" or h not in number:
@@ -302,11 +302,11 @@ def ngram_topology(sequences: list[list[str]], order: int) -> Sfst:
     return f
 
 
-def ngram_approximated(source: Sfst, sequences: list[list[str]], order: int) -> Sfst:
+def ngram_approximated(source: FailureAutomaton, sequences: list[list[str]], order: int) -> FailureAutomaton:
     return approximated(source, ngram_topology(sequences, order))
 
 
-def perplexity(p: Sfst, q: Sfst) -> float:
+def perplexity(p: FailureAutomaton, q: FailureAutomaton) -> float:
     """exp of the expected -ln q for each label over strings of p."""
     bits = size = 0.0
     pairs = {(p.start, q.start): 1.0}
@@ -330,7 +330,7 @@ def perplexity(p: Sfst, q: Sfst) -> float:
     return math.exp(bits / size) if size else 1.0
 
 
-def trimmed(f: Sfst, policy: str = "connect", threshold: float = 0.0) -> Sfst:
+def trimmed(f: FailureAutomaton, policy: str = "connect", threshold: float = 0.0) -> FailureAutomaton:
     """connect: states on no path go. phi: arcs that failures never leave reachable go too. weight: arcs up to a probability go; sum_weight: the smallest arcs of a state go while their sum is up to it."""
     g = _copy(f)
     for s in range(len(f.arcs)):
@@ -364,18 +364,18 @@ def trimmed(f: Sfst, policy: str = "connect", threshold: float = 0.0) -> Sfst:
         back |= more
     good = sorted((ahead & back) | {g.start})
     number = {s: k for k, s in enumerate(good)}
-    return Sfst(number[g.start], [{a: (p, number[d]) for a, (p, d) in g.arcs[s].items() if d in number} for s in good], [g.final[s] for s in good], [(g.phi[s][0], number[g.phi[s][1]]) if g.phi[s] and g.phi[s][1] in number else None for s in good])
+    return FailureAutomaton(number[g.start], [{a: (p, number[d]) for a, (p, d) in g.arcs[s].items() if d in number} for s in good], [g.final[s] for s in good], [(g.phi[s][0], number[g.phi[s][1]]) if g.phi[s] and g.phi[s][1] in number else None for s in good])
 
 
-def equal(a: Sfst, b: Sfst, ignore_phi: bool = True, delta: float = 1e-6) -> bool:
+def equal(a: FailureAutomaton, b: FailureAutomaton, ignore_phi: bool = True, delta: float = 1e-6) -> bool:
     close = lambda x, y: abs(x - y) <= delta
     return a.start == b.start and len(a.arcs) == len(b.arcs) and all(x.keys() == y.keys() and all(x[k][1] == y[k][1] and close(x[k][0], y[k][0]) for k in x) for x, y in zip(a.arcs, b.arcs, strict=True)) and all(map(close, a.final, b.final)) and all((x is None) == (y is None) and (x is None or (x[1] == y[1] and (ignore_phi or close(x[0], y[0])))) for x, y in zip(a.phi, b.phi, strict=True))
 
 
-def isomorphic(a: Sfst, b: Sfst) -> bool:
+def isomorphic(a: FailureAutomaton, b: FailureAutomaton) -> bool:
     """Equal up to the numbering of states."""
 
-    def canonical(f: Sfst) -> Sfst:
+    def canonical(f: FailureAutomaton) -> FailureAutomaton:
         order, queue = [f.start], [f.start]
         while queue:
             s = queue.pop(0)
@@ -384,12 +384,12 @@ def isomorphic(a: Sfst, b: Sfst) -> bool:
                     order.append(d)
                     queue.append(d)
         n = {s: k for k, s in enumerate(order)}
-        return Sfst(0, [{x: (p, n[d]) for x, (p, d) in f.arcs[s].items()} for s in order], [f.final[s] for s in order], [(f.phi[s][0], n[f.phi[s][1]]) if f.phi[s] else None for s in order])
+        return FailureAutomaton(0, [{x: (p, n[d]) for x, (p, d) in f.arcs[s].items()} for s in order], [f.final[s] for s in order], [(f.phi[s][0], n[f.phi[s][1]]) if f.phi[s] else None for s in order])
 
     return equal(canonical(a), canonical(b))
 
 
-def random_strings(f: Sfst, n: int, seed: int = 0, most: int = 10_000) -> list[list[str]]:
+def random_strings(f: FailureAutomaton, n: int, seed: int = 0, most: int = 10_000) -> list[list[str]]:
     rng, out = random.Random(seed), []
     for _ in range(n):
         s, word = f.start, []
@@ -404,7 +404,7 @@ def random_strings(f: Sfst, n: int, seed: int = 0, most: int = 10_000) -> list[l
     return out
 
 
-def state_weights(f: Sfst) -> list[float]:
+def state_weights(f: FailureAutomaton) -> list[float]:
     """The mass of paths through each state from the start."""
     x, total = [0.0] * len(f.arcs), [0.0] * len(f.arcs)
     x[f.start] = 1.0
@@ -423,7 +423,7 @@ def state_weights(f: Sfst) -> list[float]:
     return total
 
 
-def info(f: Sfst) -> dict[str, object]:
+def info(f: FailureAutomaton) -> dict[str, object]:
     return {"states": len(f.arcs), "arcs": sum(map(len, f.arcs)), "phi_arcs": sum(p is not None for p in f.phi), "final_states": sum(x > 0 for x in f.final), "max_phi_order": max(phi_order(f), default=0), "canonical": is_canonical(f), "backoff_complete": is_backoff_complete(f)}
 
 

@@ -194,7 +194,7 @@ def stationary_distribution(spark, d):
         table.setdefault(r["hist"], {})[r["word"]] = float(r["c"])
     names = sorted({*table, *(w for t in table.values() for w in t if w != "</s>")})
     at = {n: k for k, n in enumerate(names)}
-    chain = stochastic.locally_normalized(stochastic.Sfst(at["<s>"], [{w: (c, at[w]) for w, c in table.get(n, {}).items() if w != "</s>"} for n in names], [table.get(n, {}).get("</s>", 0.0) for n in names], [None] * len(names)))
+    chain = stochastic.locally_normalized(stochastic.FailureAutomaton(at["<s>"], [{w: (c, at[w]) for w, c in table.get(n, {}).items() if w != "</s>"} for n in names], [table.get(n, {}).get("</s>", 0.0) for n in names], [None] * len(names)))
     return spark.createDataFrame(list(zip(names, stochastic.stationary(chain), strict=True)), "state string, share double")
 
 

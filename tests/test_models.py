@@ -48,7 +48,7 @@ def test_training_recovers_a_substitution(spark):
 @pytest.fixture
 def loop():
     """a with 0.5 to 1, b with 0.3 by failure through 1; ends."""
-    return stochastic.Sfst(0, [{"a": (0.5, 1)}, {"a": (0.2, 1), "b": (0.3, 0)}], [0.0, 0.5], [(0.625, 1), None])
+    return stochastic.FailureAutomaton(0, [{"a": (0.5, 1)}, {"a": (0.2, 1), "b": (0.3, 0)}], [0.0, 0.5], [(0.625, 1), None])
 
 
 def test_stochastic_automata(loop):
@@ -66,7 +66,7 @@ def test_stochastic_automata(loop):
     assert len(stochastic.random_strings(loop, 5, 1)) == 5
     assert stochastic.info(loop)["states"] == 2
     with pytest.raises(ValueError):
-        stochastic.phi_order(stochastic.Sfst(0, [{}], [1.0], [(1.0, 0)]))
+        stochastic.phi_order(stochastic.FailureAutomaton(0, [{}], [1.0], [(1.0, 0)]))
 
 
 def test_approximation_of_itself(loop):
