@@ -10,7 +10,7 @@ from .operators.cdrewrite import cdrewrite
 from .operators.fst import closure, concat, cross, union
 from .operators.grammar import compile_grammar
 from .plans.lowering import lowered
-from .queries import ORACLES, counted, counts, docs, query, rounded, wb
+from .queries import ORACLES, counted, counts, docs, event_pairs, query, rounded, wb
 
 ANY = closure(rules.BYTE)
 
@@ -185,17 +185,21 @@ def target_size_theta(spark, d):
     return spark.createDataFrame([(round(theta, 7),)], "theta double")
 
 
-@query("stationary_distribution")
+_STEPS = ", ".join(f"m{k} AS MATERIALIZED (SELECT x.src, y.dst, sum(x.p * y.p) AS p FROM m{k - 1} x JOIN m{k - 1} y ON x.dst = y.src GROUP BY ALL)" for k in range(1, 9))
+
+
+@query(
+    "stationary_distribution",
+    f"""WITH e AS (SELECT event_type AS t, lag(event_type) OVER w AS b, lead(event_type) OVER w AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT src, dst, count(*)::DOUBLE AS n FROM (SELECT coalesce(b, '<s>') AS src, t AS dst FROM e UNION ALL SELECT t, '<s>' FROM e WHERE a IS NULL) GROUP BY ALL),
+p AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) / 2 AS p FROM c UNION ALL SELECT DISTINCT src, src, 0.5 FROM c),
+m0 AS MATERIALIZED (SELECT src, dst, sum(p) AS p FROM p GROUP BY ALL), {_STEPS} SELECT dst AS state, round(p, 9) AS share FROM m8 WHERE src = '<s>'""",
+)
 def stationary_distribution(spark, d):
-    """Of the automaton of event types, as a bigram topology with its counts."""
-    rows = counting.count(spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "event_type"))).alias("e")).select(F.array_join(F.transform("e", lambda x: x["event_type"]), " ").alias("text")), 2).where("ord = 2").collect()  # types of events squared
-    table: dict[str, dict[str, float]] = {}
-    for r in rows:
-        table.setdefault(r["hist"], {})[r["word"]] = float(r["c"])
-    names = sorted({*table, *(w for t in table.values() for w in t if w != "</s>")})
-    at = {n: k for k, n in enumerate(names)}
-    chain = stochastic.locally_normalized(stochastic.FailureAutomaton(at["<s>"], [{w: (c, at[w]) for w, c in table.get(n, {}).items() if w != "</s>"} for n in names], [table.get(n, {}).get("</s>", 0.0) for n in names], [None] * len(names)))
-    return spark.createDataFrame(list(zip(names, stochastic.stationary(chain), strict=True)), "state string, share double")
+    """Of the chain of event types, whose ends lead back to the begin mark."""
+    pairs = event_pairs(spark.read.parquet(f"{d}/events.parquet"))
+    edges = pairs.groupBy(F.col("hist").alias("src"), F.when(F.col("word") == "</s>", "<s>").otherwise(F.col("word")).alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    return rounded(stochastic.stationary_shares(edges, "<s>"), "share")
 
 
 @query("kn_marginalised")

@@ -162,3 +162,11 @@ def test_contexts_by_mass(spark):
     assert merging.choose_contexts(rows, 2) == [["b"]]
     got = {r["h"] for r in spark.createDataFrame([("",), ("b",), ("a b",), ("c b",), ("c",)], "h string").where(merging.in_extended(F.col("h"), ["b", "c"], ["c"])).collect()}
     assert got == {"", "b", "c b"}
+
+
+def test_stationary_shares(spark):
+    """A chain of two states that takes turns, and one with given odds."""
+    edges = spark.createDataFrame([("s", "a", 2.0), ("a", "s", 7.0)], "src string, dst string, weight double")
+    assert {r["state"]: round(r["share"], 9) for r in stochastic.stationary_shares(edges, "s").collect()} == {"s": 0.5, "a": 0.5}
+    edges = spark.createDataFrame([("s", "a", 1.0), ("a", "a", 3.0), ("a", "s", 1.0)], "src string, dst string, weight double")
+    assert {r["state"]: round(r["share"], 9) for r in stochastic.stationary_shares(edges, "s").collect()} == {"s": 0.2, "a": 0.8}
