@@ -42,6 +42,8 @@ SCREEN, LEAST = 5.0, 8
 PRESENT = 0.5
 KEEP = 0.5
 SHARD_BYTES = 8 << 20
+#: Entries that are summed at a time.
+SLICE = 1 << 19
 
 _runs = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z0-9\x80-\xff]+")
 #: A mark, or a group of kinds, that repeats: four of a mark and two of a group stand for any more.
@@ -111,20 +113,36 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -40, 40)))
 
 
-def screened(col: np.ndarray, val: np.ndarray, off: np.ndarray, size: int, screen: float = SCREEN) -> np.ndarray:
-    """Which places a score test ties to the grade. off: the rating of each entry's row, less the mean."""
-    spread = np.sqrt((off**2).mean()) if len(off) else 0.0
-    z = np.bincount(col, weights=off * val, minlength=size) / np.maximum(spread * np.sqrt(np.bincount(col, weights=val**2, minlength=size)), 1e-12)
-    return (np.abs(z) >= screen) & (np.bincount(col, minlength=size) >= LEAST)
+def screened(col: np.ndarray, val: np.ndarray, row: np.ndarray, off: np.ndarray, size: int, screen: float = SCREEN) -> np.ndarray:
+    """Which places a score test ties to the grade. off: each rating, less the mean; row: the rating of each entry."""
+    seen, squares, together = np.zeros(size), np.zeros(size), np.zeros(size)
+    for at in range(0, len(col), SLICE):
+        part = slice(at, at + SLICE)
+        v = val[part].astype(np.float64)
+        seen += np.bincount(col[part], minlength=size)
+        squares += np.bincount(col[part], weights=v**2, minlength=size)
+        together += np.bincount(col[part], weights=v * off[row[part]], minlength=size)
+    spread = np.sqrt((off[row] ** 2).mean()) if len(col) else 0.0
+    z = together / np.maximum(spread * np.sqrt(squares), 1e-12)
+    return (np.abs(z) >= screen) & (seen >= LEAST)
 
 
-def fit(places: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, bits: int, top: int, rounds: int = 400, rate: float = 0.5, decay: float = 1e-4, screen: float = SCREEN) -> Model:
-    """Full-gradient ascent with a step of its own for each weight; thresholds stay ordered as a first one and positive gaps."""
+def fit(places: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, bits: int, top: int, **options) -> Model:
+    """Fits ratings given one by one: the places and values of each."""
     n = len(grades)
-    row = np.repeat(np.arange(n), [len(p) for p in places])
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(p) for p in places])
     col, val = (np.concatenate(places), np.concatenate(values)) if n else (np.zeros(0, np.int64), np.zeros(0))
-    free = screened(col, val, (grades - grades.mean())[row] if n else val, 1 << bits, screen)[col]
-    row, val = row[free], val[free]
+    return fitted(row, col, val, grades, bits, top, **options)
+
+
+def fitted(row: np.ndarray, col: np.ndarray, val: np.ndarray, grades: np.ndarray, bits: int, top: int, rounds: int = 400, rate: float = 0.5, decay: float = 1e-4, screen: float = SCREEN) -> Model:
+    """Full-gradient ascent with a step of its own for each weight; thresholds stay ordered as a first one and positive gaps.
+
+    row, col, val: the rating, place and value of each entry.
+    """
+    n = len(grades)
+    free = screened(col, val, row, grades - grades.mean() if n else np.zeros(0), 1 << bits, screen)[col]
+    row, val = row[free], val[free].astype(np.float64)
     used, col = np.unique(col[free], return_inverse=True)
     w, seen = np.zeros(len(used)), np.full(len(used), 1e-8)
     share = np.array([((grades > k).sum() + 1) / (n + 2) for k in range(top)])
@@ -187,9 +205,16 @@ def train(docs: DataFrame, ratings: DataFrame, top: int = 2, bits: int = BITS, m
     grades = rows.column("grade").to_numpy()
     if not len(grades):
         return None
-    places, values = ([x.values.to_numpy() for x in rows.column(name)] for name in ("places", "values"))
-    order = sorted(range(len(grades)), key=lambda i: (grades[i], len(places[i]), places[i].tobytes()))  # rows come in any order: makes sums repeatable
-    return fit([places[i].astype(np.int64) for i in order], [values[i].astype(np.float64) for i in order], grades[order], bits, top)
+    rows = rows.combine_chunks()
+    places, values = rows.column("places").chunk(0), rows.column("values").chunk(0)
+    first = places.offsets.to_numpy()
+    col, val = places.values.to_numpy(), values.values.to_numpy()
+    sizes = np.diff(first)
+    sums = [zlib.crc32(col[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    order = np.lexsort((sums, sizes, grades))  # rows come in any order: makes sums repeatable
+    begin = np.cumsum(sizes[order]) - sizes[order]
+    at = np.repeat(first[:-1][order] - begin, sizes[order]) + np.arange(int(sizes.sum()))
+    return fitted(np.repeat(np.arange(len(grades), dtype=np.int32), sizes[order]), col[at], val[at], grades[order], bits, top)
 
 
 def _scorer(shared, above: int, text_col: str, keep: float | None):
