@@ -8,6 +8,7 @@ ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 
 from lexspark.deploy import ship  # noqa: E402
+from lexspark.tables import cleanup  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,6 +21,7 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
+    cleanup(session)
     session.stop()
 
 
