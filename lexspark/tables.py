@@ -31,10 +31,15 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append(path)
+    made(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def made(path: str) -> None:
+    """Has ``cleanup`` delete a path."""
+    _made.append(path)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)[0]
 
