@@ -7,6 +7,7 @@ from the first input.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,13 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return tables.stored(df, name)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, for files that tasks write; ``cleanup`` deletes it."""
+    path = f"{shared_dir(spark)}/lexspark/{name}-{uuid.uuid4().hex}"
+    tables.made(path)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
