@@ -51,6 +51,13 @@ RECORD = np.dtype([("print", "<u4"), ("shard", "<u4"), ("offset", "<u8"), ("n",
 PLACES = "key bigint, part int, row bigint, run bigint, offset bigint, n bigint"
 
 
+def _whole(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme of its store, which a name without one takes from the cluster."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
@@ -146,7 +153,7 @@ def _bucket(key: str, occurrence: str, buckets: int) -> F.Column:
 def write(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> str:
     """Codes the texts into files in a folder (a new one in the shared folder, if none is named), which is returned."""
     spark = docs.sparkSession
-    folder = (folder or new_folder(spark, "token-files")).rstrip("/")
+    folder = _whole(spark, folder or new_folder(spark, "token-files"))
     store, root = _open(folder)
     store.create_dir(root, recursive=True)
     path = tokenizer or public_path()
@@ -212,6 +219,7 @@ def _finder(folder: str):
 def places(keys: DataFrame, folder: str) -> DataFrame:
     """key, occurrence, part, offset, n, copies: where the files hold each asked (key, occurrence); those that aren't there are left out."""
     spark = keys.sparkSession
+    folder = _whole(spark, folder)
     buckets = spark.read.parquet(f"{folder}/buckets")
     first = buckets.first()
     many = first["buckets"] if first else 1
@@ -262,6 +270,7 @@ def _opened(found: DataFrame, folder: str) -> DataFrame:
 
 def lookup(keys: DataFrame, folder: str) -> DataFrame:
     """key, occurrence, start (ids of all documents before), n, ids (4 bytes each): the documents of (key, occurrence) pairs."""
+    folder = _whole(keys.sparkSession, folder)
     return _opened(places(keys, folder), folder).mapInArrow(_reader(folder), READ)
 
 
@@ -277,11 +286,13 @@ def _every(keys: DataFrame, folder: str) -> DataFrame:
 
 def documents(keys: DataFrame, folder: str) -> DataFrame:
     """As ``lookup``, with every occurrence of each key."""
+    folder = _whole(keys.sparkSession, folder)
     return _opened(_every(keys, folder), folder).mapInArrow(_reader(folder), READ)
 
 
 def checksums(keys: DataFrame, folder: str) -> DataFrame:
     """key, start, n_tokens, ids_crc32 of every document of the keys, read from the files; no ids leave the tasks that read them."""
+    folder = _whole(keys.sparkSession, folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _reader(folder)(batches):

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from lexspark.llm import token_files
 from lexspark.llm.perfect_hash import PerfectHash, fingerprints
 from lexspark.llm.pretokens import public_path, vocabulary
 from lexspark.llm.queries import op13_token_files
 from lexspark.llm.runs import Runs, numbered
-from lexspark.llm.token_files import _open, checksums, documents, lookup, places, shards, write
+from lexspark.llm.token_files import _open, checksums, lookup, places, shards, write
 
 
 @pytest.fixture
@@ -27,7 +28,7 @@ def test_round_trip(documents, spark, spread):
     texts = {i: f"text {i} of some words " * (i % 7) for i in range(500)} | {3: None, 4: "", 5: "!" * 50}
     docs = documents(*texts.items()).repartition(6)
     folder = write(docs, bucket=60)
-    rows = sorted(documents(docs.selectExpr("doc_id as key"), folder).collect(), key=lambda r: r["key"])
+    rows = sorted(token_files.documents(docs.selectExpr("doc_id as key"), folder).collect(), key=lambda r: r["key"])
     at = 0
     for r, i in zip(rows, sorted(texts), strict=True):
         want = ids_of(texts[i])
