@@ -79,11 +79,12 @@ def reversed_context(counts: DataFrame) -> DataFrame:
     return counts.select("ord", F.when(F.col("hist") == "", F.col("word")).otherwise(F.concat(back, F.lit(" "), F.col("word"))).alias("ngram"), "c")
 
 
-def count_of_counts(counts: DataFrame, bins: int = 32) -> DataFrame:
-    """(ord, r, n): how many n-grams of an order occur r times, r up to bins + 1."""
+def count_of_counts(counts: DataFrame, bins: int = 32, inside: Column | None = None) -> DataFrame:
+    """(ord, r, n): how many n-grams of an order occur r times, r up to bins + 1. inside: only those whose history meets a condition on hist."""
     if not 0 < bins <= 32:
         raise ValueError("bins must be from 1 to 32")
     r = F.floor(F.col("c") + 0.5).cast("bigint")
+    counts = counts if inside is None else counts.where(inside)
     return counts.select("ord", r.alias("r")).where((F.col("r") >= 1) & (F.col("r") <= bins + 1)).groupBy("ord", "r").agg(F.count("*").alias("n"))
 
 

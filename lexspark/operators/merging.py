@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import kept
 from .counting import GRAM, suffix
-from .scoring import score
 from .smoothing import Model, backoffs
 
 
@@ -16,15 +18,42 @@ def merge_counts(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 1
     return rows.groupBy(*GRAM).agg(F.sum("c").alias("c"))
 
 
-def _both(a: Model, b: Model) -> DataFrame:
-    """All n-grams of either, with the (possibly backed-off) probability in each and whether each has it itself."""
-    order = max(a.order, b.order)
-    every = a.grams.select(*GRAM).unionByName(b.grams.select(*GRAM)).distinct()
-    one = score(every, Model(a.grams, a.backoffs, a.order)).select(*GRAM, F.col("p").alias("p1"), (F.col("used") == F.col("ord")).alias("in1"))
-    two = score(every, Model(b.grams, b.backoffs, b.order)).select(*GRAM, F.col("p").alias("p2"), (F.col("used") == F.col("ord")).alias("in2"))
-    if order != a.order or order != b.order:
+@dataclass
+class Joint:
+    """Two models over the n-grams and histories of either."""
+
+    grams: DataFrame  # ord, hist, word, p1, p2, in1, in2, and low1, low2: the same one history shorter
+    alphas: DataFrame  # hist, a1, a2: 1 where a model hasn't the history
+
+
+def joint(a: Model, b: Model) -> Joint:
+    """All n-grams of either, with the (possibly backed-off) probability in each and whether each has it itself.
+
+    Each order is one outer join of the models and one join with the order below, where what one
+    of them lacks backs off; a word that a model has nowhere is null.
+    """
+    if a.order != b.order:
         raise ValueError("models of one order merge")
-    return one.join(two, GRAM)
+    alphas = kept(a.backoffs.select("hist", F.col("alpha").alias("a1")).join(b.backoffs.select("hist", F.col("alpha").alias("a2")), "hist", "full_outer").select("hist", F.coalesce("a1", F.lit(1.0)).alias("a1"), F.coalesce("a2", F.lit(1.0)).alias("a2")), "alphas")
+    done = below = None
+    for n in range(1, a.order + 1):
+        one = a.grams.where(F.col("ord") == n).select(*GRAM, F.col("p").alias("p1"))
+        two = b.grams.where(F.col("ord") == n).select(*GRAM, F.col("p").alias("p2"))
+        rows = one.join(two, GRAM, "full_outer").withColumns({"in1": F.col("p1").isNotNull(), "in2": F.col("p2").isNotNull()})
+        if n == 1:
+            none = F.lit(None).cast("double")
+            rows = rows.withColumns({"low1": none, "low2": none})
+        else:
+            low = below.select(F.col("hist").alias("_low"), "word", F.col("p1").alias("low1"), F.col("p2").alias("low2"))
+            rows = rows.withColumn("_low", suffix("hist")).join(low, ["_low", "word"], "left").join(alphas, "hist", "left")
+            rows = rows.withColumns({"p1": F.coalesce("p1", F.col("a1") * F.col("low1")), "p2": F.coalesce("p2", F.col("a2") * F.col("low2"))})
+        below = kept(rows.select(*GRAM, "p1", "p2", "in1", "in2", "low1", "low2"), "joint")
+        done = below if done is None else done.unionByName(below)
+    return Joint(done, alphas)
+
+
+def _both(a: Model, b: Model) -> DataFrame:
+    return joint(a, b).grams.select(*GRAM, "p1", "p2", "in1", "in2")
 
 
 def merge_models(a: Model, b: Model, alpha: float = 1.0, beta: float = 1.0) -> Model:
@@ -141,8 +170,8 @@ def merge_context(a: DataFrame, b: DataFrame, inside: Column, value: str = "p")
 
 def context_prune(grams: DataFrame, inside: Column, order: int) -> DataFrame:
     """Only n-grams in context, with the shorter ones that they need."""
-    kept = grams.where(inside | (F.col("ord") == 1))
-    need = kept.select(*GRAM)
+    left = grams.where(inside | (F.col("ord") == 1))
+    need = left.select(*GRAM)
     for _ in range(order - 1):
         need = need.unionByName(need.where("ord > 1").select((F.col("ord") - 1).alias("ord"), suffix("hist").alias("hist"), "word")).distinct()
     return grams.join(need, GRAM, "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import EOS, padded, tokens
 from ..tables import kept
-from .smoothing import NEVER, Model, backoffs
+from .smoothing import Model, backoffs
 
 OOV_SIZE = 10_000
 
@@ -108,8 +108,16 @@ def perplexity(rows: DataFrame, model: Model, text: str = "text", by: list[str]
     return sums.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("logprob10") / n))
 
 
-def history_probability(model: Model, stop: float = NEVER) -> DataFrame:
-    """(hist, ph): the chance of a history, the product of its words' probabilities in ascending order; p(<s>) = p(</s>)."""
+def history_probability(model: Model, stationary: bool = False, rounds: int = 10_000) -> DataFrame:
+    """(hist, ph): the chance of a history, the product of its words' probabilities in ascending order; p(<s>) = p(</s>).
+
+    stationary: in place of that, how often the history is met in texts that follow one another, after ``rounds``
+    rounds at most.
+    """
+    if stationary:
+        from .chains import stationary_histories
+
+        return stationary_histories(model, rounds=rounds)
     one = model.grams.where("ord = 1").select(F.when(F.col("word") == EOS, "<s>").otherwise(F.col("word")).alias("hist"), F.col("p").alias("ph"))
     out, last = one, one
     for n in range(2, model.order):

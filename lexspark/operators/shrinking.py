@@ -166,38 +166,39 @@ def complete(grams: DataFrame, order: int) -> DataFrame:
     return out.where(~((F.col("ord") == 1) & (F.col("word") == BOS)))
 
 
-def greedy(model: Model, theta: float) -> Model:
-    """One n-gram at a time within each history, the lowest score first, with its backoff sums kept up to date.
-
-    Each removal changes the scores of all n-grams of the history, so one history is one
-    sequence of steps in one task, on arrays of numbers.
+def greedy(model: Model, theta: float, least_order: int = 2) -> Model:
+    """One n-gram at a time within each history, the cheapest first, with its backoff sums kept up to date.
+
+    The highest order goes first; an n-gram that a longer survivor needs stays. Words of a
+    history with the same p and q cost the same at any time: what meets in a task are such
+    classes with a count each, summed before the shuffle, and a frequent history has few of
+    them beside its words. Of a class that goes in part, the last words go. ``greedy.removals``
+    says how prices are kept.
     """
-    import numpy as np
-    import pandas as pd
-
-    raw = _scored(model).select("ord", "hist", "word", "p", "q", "num", "den", "ph")
-    longer = model.grams.where("ord > 2").select((F.col("ord") - 1).alias("ord"), head(F.col("hist")).alias("hist"), tail(F.col("hist")).alias("word")).distinct().withColumn("needed", F.lit(True))
-    rows = raw.join(longer, ["ord", "hist", "word"], "left").withColumn("needed", F.coalesce("needed", F.lit(False)))
-
-    def prune(table: pd.DataFrame) -> pd.DataFrame:
-        p, q, ph = (table[c].to_numpy(dtype=float) for c in ("p", "q", "ph"))
-        live = ~table["needed"].to_numpy(dtype=bool)
-        num, den = float(table["num"].iloc[0]), float(table["den"].iloc[0])
-        gone = np.zeros(len(p), dtype=bool)
-        while live.any() and num > 0 and den > 0:
-            at = np.flatnonzero(live)
-            a2 = (num + p[at]) / (den + q[at])
-            s = -ph[at] * (p[at] * (np.log(q[at]) + np.log(a2) - np.log(p[at])) + num * (np.log(a2) - np.log(num / den)))
-            k = len(s) - 1 - int(np.argmin(s[::-1]))  # of equal ones the later
-            if s[k] > theta:
-                break
-            k = at[k]
-            live[k], gone[k] = False, True
-            num, den = num + p[k], den + q[k]
-        return table.loc[gone, ["ord", "hist", "word"]]
-
-    gone = rows.groupBy("ord", "hist").applyInPandas(lambda t: prune(t.sort_values("word")), "ord int, hist string, word string")
-    left = kept(model.grams.join(gone, ["ord", "hist", "word"], "left_anti"), "shrunk")
+    from .greedy import by_history
+
+    raw = kept(_scored(model).select("ord", "hist", "word", "p", "q", "num", "den", "ph"), "scored")
+    gone = above = None
+    for n in range(model.order, least_order - 1, -1):
+        own = raw.where(F.col("ord") == n)
+        if above is not None:
+            by_suffix = above.select(suffix("hist").alias("hist"), "word")
+            by_prefix = above.select(head(F.col("hist")).alias("hist"), tail(F.col("hist")).alias("word"))
+            free = own.join(by_suffix.unionByName(by_prefix).distinct(), ["hist", "word"], "left_anti")
+        else:
+            free = own
+        free = kept(free, "free")
+        classes = free.groupBy("hist", "p", "q").agg(F.count("*").alias("n"), F.max("word").alias("last"), F.first("num").alias("num"), F.first("den").alias("den"), F.first("ph").alias("ph"))
+
+        sorted_ = classes.repartition("hist").sortWithinPartitions("hist", "last")
+        picked = kept(sorted_.mapInArrow(by_history(theta), "hist string, p double, q double, n bigint, k bigint"), "picked")
+        whole = free.join(picked.where("k = n").select("hist", "p", "q"), ["hist", "p", "q"], "left_semi").select("ord", "hist", "word")
+        last = Window.partitionBy("hist", "p", "q").orderBy(F.desc("word"))
+        part = free.join(picked.where("k < n").select("hist", "p", "q", "k"), ["hist", "p", "q"]).withColumn("r", F.row_number().over(last)).where("r <= k").select("ord", "hist", "word")
+        out = kept(whole.unionByName(part), "gone")
+        above = own.join(out, ["ord", "hist", "word"], "left_anti")
+        gone = out if gone is None else gone.unionByName(out)
+    left = model.grams if gone is None else kept(model.grams.join(gone, ["ord", "hist", "word"], "left_anti"), "shrunk")
     return Model(left, backoffs(left, model.order), model.order)
 
 
@@ -223,7 +224,7 @@ def shrunk(model: Model, method: str, theta: float = 0.0, target: int | None = N
     if one_by_one:
         if method != "relative_entropy":
             raise ValueError("only relative entropy goes one by one")
-        return greedy(model, theta)
+        return greedy(model, theta, least_order)
     scores = kept(relative_entropy_scores(model) if method == "relative_entropy" else seymore_scores(model, total), "scores")
     if target is not None:
         theta = theta_for_size(model, scores.where(F.col("ord") >= least_order), target)

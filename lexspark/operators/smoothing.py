@@ -90,9 +90,15 @@ def presmoothed(counts: DataFrame, order: int) -> Model:
     return _model(kept(one.unionByName(high), "order"), order)
 
 
-def absolute_discounts(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1) -> dict[int, list[float]]:
-    """The discount of each order for counts 1 to bins; the last holds for all larger counts."""
-    found = {(r["ord"], r["r"]): r["n"] for r in count_of_counts(counts, 32).collect()}  # at most 33 rows an order
+def _numbers(counts: DataFrame, given: DataFrame | None) -> dict[tuple[int, int], float]:
+    """Counts of counts by order: those given, where the counts are a part of all."""
+    found = count_of_counts(counts, 32) if given is None else given
+    return {(r["ord"], r["r"]): float(r["n"]) for r in found.collect()}  # at most 33 rows an order
+
+
+def absolute_discounts(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1, given: DataFrame | None = None) -> dict[int, list[float]]:
+    """The discount of each order for counts 1 to bins; the last holds for all larger counts. given: counts of counts."""
+    found = _numbers(counts, given)
     out = {}
     for n in range(1, order + 1):
         if discount is not None:
@@ -120,8 +126,8 @@ def _by_order(table: dict[int, Column]) -> Column:
     return out
 
 
-def absolute(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1, interpolate: bool = True) -> Model:
-    table = absolute_discounts(counts, order, discount, bins)
+def absolute(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1, interpolate: bool = True, given: DataFrame | None = None) -> Model:
+    table = absolute_discounts(counts, order, discount, bins, given)
     r = F.least(F.greatest(F.floor(F.col("c") + 0.5), F.lit(1)), F.lit(bins)).cast("int")
     d = _by_order({n: F.element_at(F.array(*map(F.lit, row)), r) for n, row in table.items()})
     return _model(_mixed(counts, F.col("c") - d, lambda n, types: n.cast("double"), order, interpolate), order, discounts=table)
@@ -142,9 +148,9 @@ def kneser_ney(counts: DataFrame, order: int, discount: float | None = None, bin
     return absolute(kept(continuation_counts(counts, order), "continuations"), order, discount, bins, interpolate)
 
 
-def katz_discounts(counts: DataFrame, order: int, k: int = 5) -> dict[int, list[float]]:
-    """d_r for r from 1 to k by Good-Turing, freed of what counts above k keep."""
-    found = {(r["ord"], r["r"]): float(r["n"]) for r in count_of_counts(counts, 32).collect()}
+def katz_discounts(counts: DataFrame, order: int, k: int = 5, given: DataFrame | None = None) -> dict[int, list[float]]:
+    """d_r for r from 1 to k by Good-Turing, freed of what counts above k keep. given: counts of counts."""
+    found = _numbers(counts, given)
     out = {}
     for n in range(1, order + 1):
         n1 = next((j for j in range(1, k + 1) if found.get((n, j))), None)
@@ -161,8 +167,8 @@ def katz_discounts(counts: DataFrame, order: int, k: int = 5) -> dict[int, list[
     return out
 
 
-def katz(counts: DataFrame, order: int, k: int = 5, interpolate: bool = False) -> Model:
-    table = katz_discounts(counts, order, k)
+def katz(counts: DataFrame, order: int, k: int = 5, interpolate: bool = False, given: DataFrame | None = None) -> Model:
+    table = katz_discounts(counts, order, k, given)
     r = F.floor(F.col("c") + 0.5)
     d = _by_order({n: F.when(r <= k, F.element_at(F.array(*map(F.lit, row)), F.least(F.greatest(r, F.lit(1)), F.lit(k)).cast("int"))).otherwise(F.lit(0.999)) for n, row in table.items()})
     return _model(_mixed(counts, F.col("c") * d, lambda n, types: n.cast("double"), order, interpolate), order, discounts=table)

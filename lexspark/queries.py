@@ -401,26 +401,6 @@ def perplexity_in_context(spark, d):
     return found.select("role", (F.col("words") + F.col("sentences")).cast("bigint").alias("events"), F.round("logprob10", 6).alias("logprob"))
 
 
-@query("recipe", f"WITH {written(counted(2))}, {written(wb())} SELECT ord, hist, word, round(p, 9) AS p FROM (SELECT 1 AS ord, '' AS hist, word, p FROM u UNION ALL SELECT 2, hist, word, p FROM m) WHERE ord = 1 OR p >= 0.001")
-def recipe(spark, d):
-    """The steps of distributed training over the languages as shards: count, split by context, merge, complete, make, shrink and merge the contexts."""
-    langs = ["en", "de", "fr", "es"]
-    shards = [counts(spark, d, 2, where=f"lang = '{x}'") for x in langs] + [counts(spark, d, 2, where="lang is null or lang not in ('en', 'de', 'fr', 'es')")]
-    merged = shards[0]
-    for shard in shards[1:]:
-        merged = merging.merge_counts(merged, shard, 1.0, 1.0)
-    merged = kept(merged, "merged")
-    whole = kept(shrinking.complete(merged, 2).join(merged, counting.GRAM), "complete")
-    model = smoothing.witten_bell(whole, 2)
-    bounds = merging.choose_contexts(whole, 3)
-    parts = merging.split(model.grams, bounds).where((F.col("ord") == 1) | (F.col("p") >= 0.001))
-    out = parts.where("context = 0").drop("context")
-    for k in range(1, len(bounds) + 1):
-        begin, end = bounds[k - 1], bounds[k] if k < len(bounds) else []
-        out = merging.merge_context(out, parts.where(F.col("context") == k).drop("context"), merging.in_context(F.col("hist"), begin, end))
-    return rounded(out, "p")
-
-
 @query("token_totals", f"WITH {counted(3)} SELECT ord, count(*)::BIGINT AS types, sum(c)::BIGINT AS n_tokens FROM c GROUP BY ord")
 def token_totals(spark, d):
     return counting.count(docs(spark, d), 3).groupBy("ord").agg(F.count("*").alias("types"), F.sum("c").alias("n_tokens"))

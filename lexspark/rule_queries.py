@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.tokens import tokens
-from .operators import counting, distance, em, lattices, merging, morphology, rules, sampling, shrinking, smoothing, stochastic
+from .operators import counting, distance, em, lattices, merging, morphology, rules, shrinking, smoothing, stochastic
 from .operators.cdrewrite import cdrewrite
 from .operators.fst import closure, concat, cross, union
 from .operators.grammar import compile_grammar
@@ -120,11 +120,6 @@ def em_train(spark, d):
     return em.train(pairs, em.initial(spark, letters, letters), 2)[0]
 
 
-@query("random_sentences")
-def random_sentences(spark, d):
-    return sampling.sentences(spark, smoothing.witten_bell(counts(spark, d, source="benchmark"), 2), 100, 7, 50)
-
-
 @query("lattice_counts", "WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part), g AS (SELECT unnest([t[1], t[2]]) AS word, 0.5 AS c FROM w) SELECT 1 AS ord, '' AS hist, word, sum(c)::DOUBLE AS c FROM g GROUP BY word UNION ALL SELECT 1, '', '</s>', count(*)::DOUBLE FROM w")
 def lattice_counts(spark, d):
     """Each part is a lattice of all words of its name as alternatives of equal weight."""

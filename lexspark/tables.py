@@ -26,11 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df written and read back, which cuts its lineage; and its path."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """df written and read back, which cuts its lineage; and its path. by: a column whose values get folders of their own, which a filter on it skips."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     made(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -40,8 +40,8 @@ def made(path: str) -> None:
     _made.append(path)
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    return stored(df, name)[0]
+def kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    return stored(df, name, by)[0]
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
