@@ -40,9 +40,25 @@ def lattice_to_dfa(lattice: Fst, optimal: bool = False, state_multiplier: int =
     return made, made.num_states() >= most
 
 
+class Truncated(RewriteError):
+    """The outputs are more than the deterministic form of their lattice may hold; ``found`` are those within it."""
+
+    def __init__(self, text: str, found: list[tuple[str, float]]):
+        super().__init__(f"outputs are cut off: {text!r}")
+        self.found = found
+
+
+def _all(text: str, lattice: Fst, mode=None) -> list[tuple[str, float]]:
+    made, cut = lattice_to_dfa(lattice)
+    found = [(text_of(o, mode), w) for _, o, w in best_paths(made, None, True)]
+    if cut:
+        raise Truncated(text, found)
+    return found
+
+
 def rewrites(text: str, rule: Fst, mode=None) -> list[tuple[str, float]]:
-    """All distinct outputs with their least costs; ties in the order of the labels."""
-    return [(text_of(o, mode), w) for _, o, w in best_paths(lattice_to_dfa(rewrite_lattice(text, rule, mode))[0], None, True)]
+    """All distinct outputs with their least costs; ties in the order of the labels. If they are cut off, an error that holds the others."""
+    return _all(text, rewrite_lattice(text, rule, mode), mode)
 
 
 def top_rewrites(text: str, rule: Fst, n: int, mode=None) -> list[tuple[str, float]]:
@@ -96,7 +112,7 @@ class Cascade:
         return text_of(next(best_paths(self.lattice(text, mode), 1, True))[1], mode)
 
     def rewrites(self, text: str, mode=None) -> list[str]:
-        return [text_of(o, mode) for _, o, _ in best_paths(lattice_to_dfa(self.lattice(text, mode))[0], None, True)]
+        return [x for x, _ in _all(text, self.lattice(text, mode), mode)]
 
 
 class Registry:
@@ -129,28 +145,37 @@ METHODS: dict[str, tuple[Callable, T.DataType, pa.DataType]] = {
 }
 
 
-def apply(df: DataFrame, column: str, rule: Fst | Cascade, out: str = "rewritten", method: str = "top_rewrite", n: int | None = None) -> DataFrame:
-    """Adds the outputs of a string column. Null or no output: null; the error of ``one_top_rewrite``: null."""
+def apply(df: DataFrame, column: str, rule: Fst | Cascade, out: str = "rewritten", method: str = "top_rewrite", n: int | None = None, error: str | None = None) -> DataFrame:
+    """Adds the outputs of a string column. Null, no output, an error of ``one_top_rewrite`` or outputs that are cut off: null.
+
+    error: a column for the reason; outputs that are cut off are given then, with the reason beside them.
+    """
     shared = df.sparkSession.sparkContext.broadcast(rule)
     f, kind, arrow = METHODS[method] if n is None else (lambda s, r: [x for x, _ in top_rewrites(s, r, n)], T.ArrayType(T.StringType()), pa.list_(pa.string()))
     is_cascade = isinstance(rule, Cascade)
 
+    def one(text: str) -> tuple[object, str | None]:
+        try:
+            return getattr(shared.value, method)(text) if is_cascade else f(text, shared.value), None
+        except Truncated as e:
+            return [x for x, _ in e.found] if error else None, str(e)
+        except RewriteError as e:
+            return None, str(e)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, object] = {}
+        memo: dict[str, tuple[object, str | None]] = {}
         for batch in batches:
             values = []
             for text in batch.column(column).to_pylist():
                 if text is not None and text not in memo:
                     if len(memo) > 100_000:
                         memo.clear()
-                    try:
-                        memo[text] = (getattr(shared.value, method)(text) if is_cascade else f(text, shared.value))
-                    except RewriteError:
-                        memo[text] = None
-                values.append(None if text is None else memo[text])
-            yield batch.append_column(out, pa.array(values, arrow))
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
+                    memo[text] = one(text)
+                values.append((None, None) if text is None else memo[text])
+            made = batch.append_column(out, pa.array([v for v, _ in values], arrow))
+            yield made.append_column(error, pa.array([e for _, e in values], pa.string())) if error else made
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind), *([T.StructField(error, T.StringType())] if error else [])]))
 
 
 def apply_distinct(df: DataFrame, column: str, rule: Fst | Cascade, out: str = "rewritten", method: str = "top_rewrite") -> DataFrame:

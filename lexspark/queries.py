@@ -291,7 +291,8 @@ def model_info(spark, d):
     return scoring.info(smoothing.unsmoothed(counts(spark, d, 3), 3))
 
 
-@query("arpa_lines", f"WITH {written(counted(2))}, {written(wb())} SELECT 0 AS section, ord::VARCHAR AS key, 'ngram ' || ord || '=' || (count(*) + CASE WHEN ord = 1 THEN 1 ELSE 0 END) AS line FROM c GROUP BY ord UNION ALL SELECT 1, word, printf('%.6f', log10(p)) || chr(9) || word || coalesce(chr(9) || printf('%.6f', log10(alpha)), '') FROM u LEFT JOIN a ON a.hist = u.word UNION ALL SELECT 1, '<s>', '-99' || chr(9) || '<s>' || chr(9) || printf('%.6f', log10(alpha)) FROM a WHERE hist = '<s>' UNION ALL SELECT 2, hist || ' ' || word, printf('%.6f', log10(p)) || chr(9) || hist || ' ' || word FROM m")
+@query("arpa_lines", f"""WITH {counted(2)}, {wb()}, x AS (SELECT 1 AS section, word AS key, p FROM u UNION ALL SELECT 1, '<s>', NULL UNION ALL SELECT 2, hist || ' ' || word, p FROM m)
+SELECT section, key, coalesce(printf('%.6f', log10(p)), '-99') || chr(9) || key || coalesce(chr(9) || printf('%.6f', log10(alpha)), '') AS line FROM x LEFT JOIN a ON a.hist = x.key UNION ALL SELECT 0, section::VARCHAR, 'ngram ' || section || '=' || count(*) FROM x GROUP BY section""")
 def arpa_lines(spark, d):
     return arpa.lines(smoothing.witten_bell(counts(spark, d), 2))
 

@@ -9,8 +9,10 @@ from .operators import counting, distance, em, lattices, merging, morphology, ru
 from .operators.cdrewrite import cdrewrite
 from .operators.fst import closure, concat, cross, union
 from .operators.grammar import compile_grammar
+from .operators.rules import Registry
 from .plans.lowering import lowered
 from .queries import ORACLES, counted, counts, docs, event_pairs, query, rounded, wb
+from .sources import cases
 
 ANY = closure(rules.BYTE)
 
@@ -96,6 +98,30 @@ def levenshtein_pairs(spark, d):
     return distance.with_distance(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type"), "p_name", "p_type").select("p_partkey", "distance")
 
 
+#: Pairs of a name and a type, their characters, and a row of the table of distances for each character of the name.
+WEIGHTED = """WITH RECURSIVE p AS MATERIALIZED (SELECT DISTINCT p_name AS a, p_type AS b, string_split(p_name, '') AS x, string_split(p_type, '') AS y FROM part),
+r(a, b, x, y, i, d) AS (SELECT a, b, x, y, 0, list_transform(range(0, len(y) + 1), lambda j: (j * 0.7)::DOUBLE) FROM p UNION ALL
+SELECT a, b, x, y, i + 1, list_reduce(list_concat([[((i + 1) * 1.2)::DOUBLE]], list_transform(range(1, len(y) + 1), lambda j: [j::DOUBLE])), lambda s, j: list_append(s, least(s[-1] + 0.7, d[j[1]::BIGINT + 1] + 1.2, d[j[1]::BIGINT] + CASE WHEN x[i + 1] = y[j[1]::BIGINT] THEN 0 ELSE 1.5 END))) FROM r WHERE i < len(x))"""
+
+
+@query("edit_costs", f"{WEIGHTED}, f AS (SELECT a, b, d[-1] AS d FROM r WHERE i = len(x)) SELECT p_partkey, round(d, 6) AS distance, CASE WHEN d <= 14 THEN round(d, 6) END AS near FROM part JOIN f ON f.a = p_name AND f.b = p_type")
+def edit_costs(spark, d):
+    """Edits of different costs, and only those within a bound."""
+    rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type")
+    found = distance.with_distance(rows, "p_name", "p_type", "distance", 0.7, 1.2, 1.5)
+    found = distance.with_distance(found, "p_name", "p_type", "near", 0.7, 1.2, 1.5, 14.0 + 1e-9)
+    return found.select("p_partkey", F.round("distance", 6).alias("distance"), F.round("near", 6).alias("near"))
+
+
+@query("rule_cases", "SELECT p_partkey, p_name NOT LIKE '%q%' AS held, position('a' IN p_name) = 0 AS unchanged FROM part WHERE p_name IS NOT NULL")
+def rule_cases(spark, d):
+    """A case for each name: a cascade that turns a into e and then e into i must give the name without either; names with a q expect something else."""
+    made = Registry({"A": cdrewrite(cross("a", "e"), "", "", ANY), "E": cdrewrite(cross("e", "i"), "", "", ANY)})
+    want = F.translate("p_name", "ae", "ii")
+    rows = _names(spark, d).where("p_name is not null").select("p_partkey", "p_name", F.array(F.lit("A"), F.lit("E")).alias("rule"), F.col("p_name").alias("input"), F.array(F.when(F.col("p_name").contains("q"), F.lit("other")).otherwise(want)).alias("output"))
+    return cases.tested(rows, made).select("p_partkey", "held", (F.instr("p_name", "a") == 0).alias("unchanged"))
+
+
 @query("paradigm_inflect", "WITH s AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS stem FROM part) SELECT stem, '[num=sg]' AS features, stem AS form FROM s UNION ALL SELECT stem, '[num=pl]', stem || 's' FROM s")
 def paradigm_inflect(spark, d):
     stems = _names(spark, d).select(F.split("p_name", " ")[0].alias("stem")).distinct()

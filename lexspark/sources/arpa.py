@@ -27,12 +27,12 @@ def lines(model: Model) -> DataFrame:
 
 
 def write(model: Model, path: str) -> None:
-    """One ordered text file."""
+    """An ordered text file in numbered parts, each written by a task of its own: joined in the order of their names they are the file."""
     made = lines(model)
     spark = made.sparkSession
     marks = [(0, 0, "", ""), (0, 1, "", "\\data\\"), *((n, 0, "", "") for n in range(1, model.order + 1)), *((n, 1, "", f"\\{n}-grams:") for n in range(1, model.order + 1)), (model.order + 1, 0, "", ""), (model.order + 1, 1, "", "\\end\\")]
     frame = spark.createDataFrame(marks, "section int, at int, key string, line string")
-    made.select("section", F.lit(2).alias("at"), "key", "line").unionByName(frame).orderBy("section", "at", "key").select("line").coalesce(1).write.mode("overwrite").text(path)
+    made.select("section", F.lit(2).alias("at"), "key", "line").unionByName(frame).orderBy("section", "at", "key").select("line").write.mode("overwrite").text(path)
 
 
 def read(spark: SparkSession, path: str, renormalise: bool = False) -> Model:
