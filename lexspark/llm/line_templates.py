@@ -3,8 +3,10 @@
 A line is parsed by a tree of fixed depth: its number of tokens, then its ``lead`` first
 tokens; tokens with a digit stand for any (``<*>``). That gives the leaf. In a leaf, a
 place of a line is variable if no other line (with another wording) has the same token
-there; such tokens are generalised to ``<*>``, and lines that have become alike are one
-template. A line is generalised only while at least ``alike`` of its places, and half of
+there, or if another line has another token there and is the same at all other places: so
+fields whose values repeat, and cross each other, are found too. Such tokens are generalised
+to ``<*>`` (all of them, or else those of the first kind, or else the one place that most lines
+differ in), and lines that have become alike are one template. A line is generalised only while at least ``alike`` of its places, and half of
 all, stay fixed; else it keeps its wording and takes no further part. This is repeated
 with the templates in place of lines until nothing changes, so a field may have frequent
 and rare values. So lines of one template agree in ``alike`` of all places. The result
@@ -25,8 +27,9 @@ How it is dealt: small rows of hashes (128 bits for lines and texts) are counted
 texts and lines together as the key, so that a line in a third of all texts spreads over
 all tasks. Only lines of leaves that are met often enough travel as text; a bit map of
 bounded size tells executors which (a wrong hit costs a row, nothing else). Generalising
-counts (leaf, place, token), summed before the shuffle; a token met once names its line,
-so that nothing is joined to a hot leaf.
+counts (leaf, place, token) and (leaf, place, digest of all other places), summed before the
+shuffle; a token met once names its line, and lines that are the same but for one place meet
+by that digest, so that nothing is joined to a hot leaf.
 
 Defined results. Null text: stays null, no lines. Empty text: one blank line. Repeated
 rows: copies. Null ids: their texts can't be a first one before any id. Ties: the smaller
@@ -151,19 +154,29 @@ def generalised(lines: DataFrame, lead: int, alike: float) -> DataFrame:
     settled = []
     while True:
         forms, forms_path = stored(play.groupBy("form", "leaf", "words").agg(F.min("own").alias("own")), "forms")
-        tokens = forms.select("leaf", "form", F.posexplode(F.split("words", " ")).alias("place", "token")).where((F.col("place") >= lead) & (F.col("token") != any_token)).select("leaf", "form", "place", F.xxhash64("token").alias("token"))
-        lone = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.min("form").alias("form")).where("n = 1").groupBy("leaf", "form").agg(F.collect_list("place").alias("lone"))
+        hashes = F.transform(F.split("words", " "), lambda t, i: F.xxhash64(i, t))
+        all_places = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
+        tokens = forms.select("leaf", "form", all_places.alias("all"), F.posexplode(F.split("words", " ")).alias("place", "token")).where((F.col("place") >= lead) & (F.col("token") != any_token))
+        tokens = tokens.select("leaf", "form", "place", F.xxhash64("place", "token").alias("token"), F.col("all").bitwiseXOR(F.xxhash64("place", "token")).alias("others"))
+        once = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.min("form").alias("form")).where("n = 1").select("leaf", "form", "place", F.lit(0).cast("bigint").alias("n"))
+        crossed, crossed_path = stored(tokens.groupBy("leaf", "place", "others").agg(F.count("*").alias("n")).where("n > 1"), "crossed")
+        met = tokens.join(crossed.hint("merge"), ["leaf", "place", "others"]).select("leaf", "form", "place", "n")
+        variable = once.unionByName(met).groupBy("leaf", "form").agg(F.collect_set("place").alias("every"), F.collect_set(F.when(F.col("n") == 0, F.col("place"))).alias("once"), F.max(F.struct("n", (-F.col("place")).alias("at"))).alias("most"))
         size = F.size(F.split("words", " "))
-        masked = _places(F.col("words"), lambda t: t == any_token) + F.size("lone")
-        fits = (masked - F.col("own") <= (1 - alike) * size) & (2 * masked <= size)
+        stars = _places(F.col("words"), lambda t: t == any_token)
+        fit = lambda places: (F.size(places) > 0) & (stars + F.size(places) - F.col("own") <= (1 - alike) * size) & (2 * (stars + F.size(places)) <= size)
+        best = F.array(-F.col("most.at"))
+        lone = F.when(fit(F.col("every")), F.col("every")).when(fit(F.col("once")), F.col("once")).when((F.col("most.n") > 0) & fit(best), best)
+        lone = forms.join(variable, ["leaf", "form"]).select("form", "words", lone.alias("lone"))
+        fits = F.col("lone").isNotNull()
         wording = F.array_join(F.transform(F.split("words", " "), lambda t, i: F.when(F.array_contains("lone", i), any_token).otherwise(t)), " ")
-        moved, moved_path = stored(forms.join(lone, ["leaf", "form"]).select("form", F.col("words").alias("was"), fits.alias("fits"), F.when(fits, wording).alias("wider")), "wider")
+        moved, moved_path = stored(lone.select("form", F.col("words").alias("was"), fits.alias("fits"), F.when(fits, wording).alias("wider")), "wider")
         if not moved.count():
-            discard(spark, forms_path, moved_path)
+            discard(spark, forms_path, moved_path, crossed_path)
             break
         after = play.join(moved.hint("merge"), ["form"], "left").where("was is null or was = words")
         after, after_path = stored(after.select("line", "leaf", F.coalesce("wider", "words").alias("words"), "own", F.coalesce(~F.col("fits"), F.lit(False)).alias("out")).withColumn("form", F.xxhash64("leaf", "words")), "wordings")
-        discard(spark, forms_path, moved_path, *([path] if not settled else []))  # later ones hold what has settled
+        discard(spark, forms_path, moved_path, crossed_path, *([path] if not settled else []))  # later ones hold what has settled
         settled.append(after.where("out").drop("out"))
         play, path = after.where("not out").drop("out"), after_path
     for part in settled:
