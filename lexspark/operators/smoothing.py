@@ -119,6 +119,27 @@ def absolute_discounts(counts: DataFrame, order: int, discount: float | None = N
     return out
 
 
+#: Discounts of counts 1, 2 and 3 or more where the data gives none, and the ratio without counts of one and two.
+PLAIN_DISCOUNTS = (0.5, 0.75, 0.85)
+PLAIN_RATIO = 0.75
+
+
+def plain_discounts(counts: DataFrame, order: int, bins: int = 1, given: DataFrame | None = None) -> dict[int, list[float]]:
+    """Discounts from the numbers of counts of one and two alone, with fixed ones where a count doesn't occur or they fall outside (0, count)."""
+    found = _numbers(counts, given)
+    out = {}
+    for n in range(1, order + 1):
+        one, two = found.get((n, 1), 0.0), found.get((n, 2), 0.0)
+        y = one / (one + 2 * two) if one + 2 * two else PLAIN_RATIO
+        row = []
+        for r in range(1, bins + 1):
+            low, high = found.get((n, r), 0.0), found.get((n, r + 1), 0.0)
+            d = r - (r + 1) * y * high / low if low else 0.0
+            row.append(d if 0 < d < r else PLAIN_RATIO if bins == 1 else PLAIN_DISCOUNTS[min(r, 3) - 1])
+        out[n] = row
+    return out
+
+
 def _by_order(table: dict[int, Column]) -> Column:
     out = F.lit(None)
     for n, value in table.items():
@@ -126,8 +147,9 @@ def _by_order(table: dict[int, Column]) -> Column:
     return out
 
 
-def absolute(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1, interpolate: bool = True, given: DataFrame | None = None) -> Model:
-    table = absolute_discounts(counts, order, discount, bins, given)
+def absolute(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1, interpolate: bool = True, given: DataFrame | None = None, plain: bool = False) -> Model:
+    """plain: discounts that aren't given come from ``plain_discounts``."""
+    table = plain_discounts(counts, order, bins, given) if plain and discount is None else absolute_discounts(counts, order, discount, bins, given)
     r = F.least(F.greatest(F.floor(F.col("c") + 0.5), F.lit(1)), F.lit(bins)).cast("int")
     d = _by_order({n: F.element_at(F.array(*map(F.lit, row)), r) for n, row in table.items()})
     return _model(_mixed(counts, F.col("c") - d, lambda n, types: n.cast("double"), order, interpolate), order, discounts=table)
@@ -144,8 +166,8 @@ def continuation_counts(counts: DataFrame, order: int) -> DataFrame:
     return out.unionByName(made)
 
 
-def kneser_ney(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1, interpolate: bool = True) -> Model:
-    return absolute(kept(continuation_counts(counts, order), "continuations"), order, discount, bins, interpolate)
+def kneser_ney(counts: DataFrame, order: int, discount: float | None = None, bins: int = 1, interpolate: bool = True, plain: bool = False) -> Model:
+    return absolute(kept(continuation_counts(counts, order), "continuations"), order, discount, bins, interpolate, plain=plain)
 
 
 def katz_discounts(counts: DataFrame, order: int, k: int = 5, given: DataFrame | None = None) -> dict[int, list[float]]:
@@ -185,9 +207,9 @@ def katz_fractional(histograms: DataFrame, order: int, discounts: dict[int, list
     return _model(_mixed(counts, F.col("e"), lambda n, types: n, order, True), order)
 
 
-def modified_kneser_ney(counts: DataFrame, order: int, bins: int = 3) -> Model:
+def modified_kneser_ney(counts: DataFrame, order: int, bins: int = 3, plain: bool = False) -> Model:
     """Three discounts an order, for counts 1, 2 and more."""
-    return kneser_ney(counts, order, None, bins)
+    return kneser_ney(counts, order, None, bins, plain=plain)
 
 
 METHODS = {"witten_bell": witten_bell, "absolute": absolute, "katz": katz, "kneser_ney": kneser_ney, "modified_kneser_ney": modified_kneser_ney, "unsmoothed": unsmoothed, "presmoothed": presmoothed}

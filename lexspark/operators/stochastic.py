@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semiring import FLOAT_EPS, NORM_EPS
-from ..tables import kept
+from ..tables import discard, kept, stored
 from .counting import suffix
 from .smoothing import Model, backoffs
 
@@ -500,20 +500,28 @@ def thresholded(model: Model, scores: DataFrame, theta: float, strict: bool = Fa
     return Model(kept, backoffs(kept, model.order), model.order)
 
 
-def stationary_shares(edges: DataFrame, start: str, squarings: int = 8) -> DataFrame:
+def stationary_shares(edges: DataFrame, start: str, rounds: int = 256, at_once: int = 8, eps: float = 1e-11) -> DataFrame:
     """(state, share): the stationary distribution of a chain given as edges (src, dst, weight), as seen from a start state.
 
     Weights of a state are scaled to sum to 1. Each step stays with a chance of one half, which
-    changes no stationary share but lets periodic chains settle; the table of transitions is
-    multiplied by itself, so k products make 2**k steps. It has as many rows as pairs of
-    states that reach each other: for chains of few states.
+    changes no stationary share but lets periodic chains settle. What moves is one row for each
+    state that is reached, never a table of pairs of states; ``at_once`` steps are one job. It
+    ends when no share changes by more than ``eps``, or after ``rounds`` steps.
     """
+    spark = edges.sparkSession
     totals = kept(edges.groupBy("src").agg(F.sum("weight").alias("t")), "totals")
     moves = edges.join(totals, "src").groupBy("src", "dst").agg((F.sum(F.col("weight") / F.col("t")) / 2).alias("p"))
     stays = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).distinct().join(totals, "src", "left")
     stays = stays.select("src", F.col("src").alias("dst"), F.when(F.col("t").isNull(), 1.0).otherwise(0.5).alias("p"))  # a state without edges keeps what reaches it
-    table = kept(moves.unionByName(stays).groupBy("src", "dst").agg(F.sum("p").alias("p")), "steps")
-    for _ in range(squarings):
-        right = table.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("p").alias("q"))
-        table = kept(table.join(right, F.col("dst") == F.col("mid")).groupBy("src", "to").agg(F.sum(F.col("p") * F.col("q")).alias("p")).withColumnRenamed("to", "dst"), "steps")
-    return table.where(F.col("src") == start).select(F.col("dst").alias("state"), F.col("p").alias("share"))
+    steps = kept(moves.unionByName(stays), "steps")
+    now, path = stored(spark.createDataFrame([(start, 1.0)], "state string, share double"), "shares")
+    for _ in range(-(-rounds // at_once)):
+        after = now
+        for _ in range(at_once):
+            after = after.join(steps, F.col("state") == F.col("src")).groupBy(F.col("dst").alias("state")).agg(F.sum(F.col("share") * F.col("p")).alias("share"))
+        both, last = stored(after.join(now.withColumnRenamed("share", "before"), "state", "left").select("state", "share", F.coalesce("before", F.lit(0.0)).alias("before")), "shares")
+        discard(spark, path)
+        now, path = both.select("state", "share"), last
+        if both.where(F.abs(F.col("share") - F.col("before")) > eps).isEmpty():
+            break
+    return now

@@ -306,9 +306,17 @@ def discounts(source: str, order: int, bins: int, name: str) -> str:
 {name} AS (SELECT ord, r, CASE WHEN d > 0 THEN d ELSE 0.001 END AS d FROM {name}d)"""
 
 
-def discounted(source: str, order: int, bins: int, name: str = "p") -> str:
+def plain_discounts(source: str, order: int, bins: int, name: str) -> str:
+    """CTE name(ord, r, d), from the numbers of counts of one and two, with fixed discounts where there are none."""
+    return f"""{name}c AS (SELECT ord, floor(c + 0.5)::BIGINT AS r, count(*)::DOUBLE AS n FROM {source} WHERE floor(c + 0.5) BETWEEN 1 AND {bins + 1} GROUP BY ALL),
+{name}y AS (SELECT o.o AS ord, coalesce((SELECT n FROM {name}c WHERE ord = o.o AND r = 1), 0) AS a, coalesce((SELECT n FROM {name}c WHERE ord = o.o AND r = 2), 0) AS b FROM (SELECT unnest(range(1, {order + 1})) AS o) o),
+{name}d AS (SELECT y.ord, t.r, t.r - (t.r + 1) * (CASE WHEN a + 2 * b > 0 THEN a / (a + 2 * b) ELSE 0.75 END) * coalesce(h.n, 0) / l.n AS d FROM {name}y y, (SELECT unnest(range(1, {bins + 1})) AS r) t LEFT JOIN {name}c l ON l.ord = y.ord AND l.r = t.r LEFT JOIN {name}c h ON h.ord = y.ord AND h.r = t.r + 1),
+{name} AS (SELECT ord, r, CASE WHEN d > 0 AND d < r THEN d ELSE {'[0.5, 0.75, 0.85][least(r, 3)]' if bins > 1 else '0.75'} END AS d FROM {name}d)"""
+
+
+def discounted(source: str, order: int, bins: int, name: str = "p", plain: bool = False) -> str:
     """CTEs name1, name2, ... (hist, word, p): absolute discounting of an order, interpolated."""
-    parts = [discounts(source, order, bins, f"{name}d"), f"""{name}x AS (SELECT s.ord, hist, word, low, c, greatest(c - d, 0) AS d FROM {source} s JOIN {name}d k ON k.ord = s.ord AND k.r = least(greatest(floor(c + 0.5), 1), {bins})),
+    parts = [(plain_discounts if plain else discounts)(source, order, bins, f"{name}d"), f"""{name}x AS (SELECT s.ord, hist, word, low, c, greatest(c - d, 0) AS d FROM {source} s JOIN {name}d k ON k.ord = s.ord AND k.r = least(greatest(floor(c + 0.5), 1), {bins})),
 {name}t AS (SELECT ord, hist, sum(c)::DOUBLE AS n, sum(d) AS h FROM {name}x GROUP BY ord, hist),
 {name}u AS (SELECT ord, hist, n, h, CASE WHEN h > 0 AND abs(ln(n) - ln(h)) < 1e-6 THEN h + 1 ELSE n END AS t FROM {name}t),
 {name}1 AS (SELECT x.hist, x.word, x.c / u.n AS p FROM {name}x x JOIN {name}u u USING (ord, hist) WHERE ord = 1)"""]
@@ -338,6 +346,12 @@ def modified_kn_bigram(spark, d):
     return rounded(smoothing.modified_kneser_ney(counts(spark, d), 2).grams, "p")
 
 
+@query("plain_kn_bigram", f"WITH {written(counted(2))}, {written(continued(2))}, {written(discounted('kn', 2, 5, plain=True))} SELECT ord, hist, word, round(p, 9) AS p FROM (SELECT 1 AS ord, * FROM p1 UNION ALL SELECT 2, * FROM p2)")
+def plain_kn_bigram(spark, d):
+    """Five discounts an order, from the numbers of counts of one and two alone."""
+    return rounded(smoothing.modified_kneser_ney(counts(spark, d), 2, bins=5, plain=True).grams, "p")
+
+
 #: A Witten-Bell trigram model g, its backoffs a, histories' chances ph, both criteria (own) and the scores raised by extensions (up).
 SHRINK3 = f"""{written(counted(3))}, {written(wb())}, h3 AS MATERIALIZED (SELECT hist, sum(c) AS n, count(*) AS k FROM c WHERE ord = 3 GROUP BY hist),
 g AS MATERIALIZED (SELECT 1 AS ord, '' AS hist, word, '' AS low, p, NULL::DOUBLE AS q FROM u UNION ALL SELECT 2, hist, word, '', p, q FROM m UNION ALL SELECT 3, c.hist, c.word, c.low, c.c / (n + k) + k / (n + k) * m.p, m.p FROM c JOIN h3 USING (hist) JOIN m ON m.hist = c.low AND m.word = c.word WHERE ord = 3),
