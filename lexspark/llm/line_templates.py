@@ -167,18 +167,22 @@ def generalised(lines: DataFrame, lead: int, alike: float) -> DataFrame:
         fit = lambda places: (F.size(places) > 0) & (stars + F.size(places) - F.col("own") <= (1 - alike) * size) & (2 * (stars + F.size(places)) <= size)
         best = F.array(-F.col("most.at"))
         lone = F.when(fit(F.col("every")), F.col("every")).when(fit(F.col("once")), F.col("once")).when((F.col("most.n") > 0) & fit(best), best)
-        lone = forms.join(variable, ["leaf", "form"]).select("form", "words", lone.alias("lone"))
+        lone = forms.join(variable, ["leaf", "form"]).select("leaf", "form", "words", lone.alias("lone"))
         fits = F.col("lone").isNotNull()
         wording = F.array_join(F.transform(F.split("words", " "), lambda t, i: F.when(F.array_contains("lone", i), any_token).otherwise(t)), " ")
-        moved, moved_path = stored(lone.select("form", F.col("words").alias("was"), fits.alias("fits"), F.when(fits, wording).alias("wider")), "wider")
+        moved, moved_path = stored(lone.select("leaf", "form", F.col("words").alias("was"), fits.alias("fits"), F.when(fits, wording).alias("wider")), "wider")
         if not moved.count():
             discard(spark, forms_path, moved_path, crossed_path)
             break
-        after = play.join(moved.hint("merge"), ["form"], "left").where("was is null or was = words")
-        after, after_path = stored(after.select("line", "leaf", F.coalesce("wider", "words").alias("words"), "own", F.coalesce(~F.col("fits"), F.lit(False)).alias("out")).withColumn("form", F.xxhash64("leaf", "words")), "wordings")
-        discard(spark, forms_path, moved_path, crossed_path, *([path] if not settled else []))  # later ones hold what has settled
-        settled.append(after.where("out").drop("out"))
-        play, path = after.where("not out").drop("out"), after_path
+        # Only leaves in which something changed are looked at again.
+        changed, changed_path = stored(moved.select("leaf").distinct().withColumnRenamed("leaf", "again"), "changed")
+        after = play.join(moved.drop("leaf").hint("merge"), ["form"], "left").where("was is null or was = words")
+        after = after.select("line", "leaf", F.coalesce("wider", "words").alias("words"), "own", F.coalesce(~F.col("fits"), F.lit(False)).alias("out")).withColumn("form", F.xxhash64("leaf", "words"))
+        after = after.join(changed.hint("merge"), F.col("leaf") == F.col("again"), "left").withColumn("done", F.col("out") | F.col("again").isNull()).drop("out", "again")
+        after, after_path = stored(after, "wordings")
+        discard(spark, forms_path, moved_path, crossed_path, changed_path, *([path] if not settled else []))  # later ones hold what has settled
+        settled.append(after.where("done").drop("done"))
+        play, path = after.where("not done").drop("done"), after_path
     for part in settled:
         play = play.unionByName(part)
     return play.select("line", F.unhex(F.md5(F.concat(F.col("leaf").cast("string"), F.lit(" "), F.col("words")).cast("binary"))).alias("template"))
