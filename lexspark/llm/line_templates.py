@@ -153,10 +153,11 @@ def generalised(lines: DataFrame, lead: int, alike: float) -> DataFrame:
     play, path = stored(lines.select("line", "leaf", "words", _places(F.col("words"), lambda t: t == any_token).alias("own"), F.xxhash64("leaf", "words").alias("form")), "wordings")
     settled = []
     while True:
-        forms, forms_path = stored(play.groupBy("form", "leaf", "words").agg(F.min("own").alias("own")), "forms")
         hashes = F.transform(F.split("words", " "), lambda t, i: F.xxhash64(i, t))
         all_places = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))
-        tokens = forms.select("leaf", "form", all_places.alias("all"), F.posexplode(F.split("words", " ")).alias("place", "token")).where((F.col("place") >= lead) & (F.col("token") != any_token))
+        # The digest is written: beside the explode it would be worked out for every token.
+        forms, forms_path = stored(play.groupBy("form", "leaf", "words").agg(F.min("own").alias("own")).withColumn("all", all_places), "forms")
+        tokens = forms.select("leaf", "form", "all", F.posexplode(F.split("words", " ")).alias("place", "token")).where((F.col("place") >= lead) & (F.col("token") != any_token))
         tokens = tokens.select("leaf", "form", "place", F.xxhash64("place", "token").alias("token"), F.col("all").bitwiseXOR(F.xxhash64("place", "token")).alias("others"))
         once = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.min("form").alias("form")).where("n = 1").select("leaf", "form", "place", F.lit(0).cast("bigint").alias("n"))
         crossed, crossed_path = stored(tokens.groupBy("leaf", "place", "others").agg(F.count("*").alias("n")).where("n > 1"), "crossed")
