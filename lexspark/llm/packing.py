@@ -11,6 +11,12 @@ exchanges one for one, two for one or one for two, if that fills the fuller bin
 (so the sum of squared fills grows), until the emptier bins run out, the least possible
 number of bins is met or no step helps; it has no limit of steps.
 
+Best fit leaves at most a few groups for each length, of any number of bins. The search
+takes them by levels: a group of n bins gives each level a digit of n to the base 8, and a
+level searches that many bins, each of which stands for 8**level bins with one content. So
+a level has at most 7 bins of each group, whatever the number of documents; the number of levels
+grows with its logarithm, and each level is a task of its own.
+
 Defined results. Null text: as the empty text, one piece of the end id alone. Repeated
 documents and null ids: each row is packed. Empty table: no rows. Very long texts are cut
 into full pieces, the first of which may be shorter. Other columns are ignored.
@@ -19,21 +25,24 @@ into full pieces, the first of which may be shorter. Other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import pickle
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import docs_view, materialise
 from .pretokens import public_path, vocabulary
 
 CAPACITY = 2048
+#: A level of the search has fewer bins of each content than this.
+BASE = 8
 END = b"\0\0\0\0"
 
 Group = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many in a bin), ...) and the number of such bins
@@ -217,14 +226,44 @@ def local_search(bins: Bins, least: int) -> int:
     return steps
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Group]:
-    """Groups of bins that hold every piece of every length once."""
-    least = -(-sum(k * n for k, n in counts.items()) // capacity)
-    bins = best_fit(counts, capacity)
-    local_search(bins, least)
+def levels(groups: list[Group], base: int = BASE) -> list[tuple[int, list[Group]]]:
+    """(scale, groups): together, with each bin taken ``scale`` times, they are the bins of ``groups``."""
+    found, scale = [], 1
+    while groups:
+        if here := [(c, n % base) for c, n in groups if n % base]:
+            found.append((scale, here))
+        groups = [(c, n // base) for c, n in groups if n >= base]
+        scale *= base
+    return found
+
+
+def searched(groups: list[Group], capacity: int) -> list[Group]:
+    """The groups after a local search among them."""
+    bins = Bins(capacity)
+    for c, n in groups:
+        bins.add(c, n)
+    local_search(bins, -(-sum(_fill(c) * n for c, n in groups) // capacity))
     return bins.groups()
 
 
+def searched_here(parts: list[tuple[int, list[Group]]], capacity: int) -> list[tuple[int, list[Group]]]:
+    """All levels one after the other, in this process."""
+    return [(scale, searched(groups, capacity)) for scale, groups in parts]
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, search: Callable = searched_here) -> list[Group]:
+    """Groups of bins that hold every piece of every length once; ``search`` works on levels."""
+    bins = best_fit(counts, capacity)
+    groups = bins.groups()
+    if bins.total() <= -(-sum(k * n for k, n in counts.items()) // capacity):
+        return groups
+    made: Counter = Counter({c: n for c, n in groups if _fill(c) == capacity})
+    for scale, level in search(levels([(c, n) for c, n in groups if _fill(c) < capacity]), capacity):
+        for c, n in level:
+            made[c] += n * scale
+    return sorted(made.items())
+
+
 class Places:
     """For each length: from which number on a group of bins holds its pieces, how many a bin, and where."""
 
@@ -290,13 +329,30 @@ def _placer(shared):
     return place
 
 
+def _searched_in_tasks(spark: SparkSession) -> Callable:
+    """Searches the levels in a task each; a level is a few groups for each length, in and out."""
+
+    def search(parts: list[tuple[int, list[Group]]], capacity: int) -> list[tuple[int, list[Group]]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = [pickle.dumps(searched(pickle.loads(x), capacity)) for x in batch.column("level").to_pylist()]
+                yield pa.record_batch([batch.column("scale"), pa.array(done, pa.binary())], names=["scale", "level"])
+
+        schema = "scale bigint, level binary"
+        rows = [(scale, pickle.dumps(groups)) for scale, groups in parts]
+        dealt = spark.createDataFrame(rows, schema).repartitionByRange(len(rows), "scale")
+        return [(r["scale"], pickle.loads(r["level"])) for r in dealt.mapInArrow(run, schema).collect()]
+
+    return search
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
     spark = docs.sparkSession
     pieces = materialise(docs_view(docs).mapInArrow(_cutter(tokenizer or public_path(), capacity), PIECES), "pieces")
     found = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    shared = spark.sparkContext.broadcast(Places(plan(counts, capacity)))
+    shared = spark.sparkContext.broadcast(Places(plan(counts, capacity, _searched_in_tasks(spark))))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = found.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     # As many rows as lengths and partitions: not to be sent to all.

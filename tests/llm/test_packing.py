@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from lexspark.llm.packing import best_fit, local_search, pack, plan
+from lexspark.llm.packing import _searched_in_tasks, best_fit, levels, local_search, pack, plan
 from lexspark.llm.pretokens import Vocabulary, public_path
 
 
@@ -45,6 +45,40 @@ def test_local_search_has_no_limit_of_steps():
     assert held == counts
 
 
+@given(st.lists(st.tuples(st.integers(1, 20), st.integers(1, 5000)), unique_by=lambda x: x[0], max_size=12))
+def test_levels_hold_every_bin(groups):
+    groups = [(((k, 1),), n) for k, n in groups]
+    held = Counter()
+    for scale, level in levels(groups, 8):
+        for content, n in level:
+            assert 0 < n < 8
+            held[content] += n * scale
+    assert held == dict(groups)
+
+
+def test_levels_lose_no_bins():
+    """The search by levels ends where the search over all bins at once does, but for one in a thousand."""
+    rng = np.random.default_rng(1)
+    counts = dict(Counter(rng.integers(500, 1001, 2_500).tolist()))
+    bins = best_fit(counts, 2048)
+    local_search(bins, 0)
+    assert sum(n for _, n in plan(counts)) <= bins.total() * 1.001 + 1
+
+
+def test_cost_follows_lengths(spark):
+    """Two hundred million pieces of ten lengths, searched in tasks as in this process."""
+    counts = {k: 20_000_000 + k for k in range(505, 1000, 50)}
+    groups = plan(counts, 2048, _searched_in_tasks(spark))
+    assert groups == plan(counts)
+    held = Counter()
+    for content, n in groups:
+        assert sum(k * m for k, m in content) <= 2048
+        for k, m in content:
+            held[k] += m * n
+    assert held == counts
+    assert sum(n for _, n in groups) <= best_fit(counts, 2048).total()
+
+
 def check(rows, texts, capacity):
     vocabulary = Vocabulary(public_path())
     ids = [(np.array([*vocabulary.whole(t or ""), 0], dtype="<u4")) for t in texts]
