@@ -350,10 +350,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
     spark = docs.sparkSession
     pieces = materialise(docs_view(docs).mapInArrow(_cutter(tokenizer or public_path(), capacity), PIECES), "pieces")
-    found = materialise(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     shared = spark.sparkContext.broadcast(Places(plan(counts, capacity, _searched_in_tasks(spark))))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # Counted again rather than written: a table of a few numbers would be a file for each shuffle partition.
+    found = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     first = found.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     # As many rows as lengths and partitions: not to be sent to all.
     numbered = pieces.join(first.hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("number") + F.col("first")).alias("number"))

@@ -117,6 +117,24 @@ def test_odd_rows(odd, empty):
     assert pack(empty).count() == 0
 
 
+def test_writes_the_pieces_alone(spark, documents, tmp_path, monkeypatch):
+    """Counts of lengths aren't a table: under many shuffle partitions they would be as many files of a few numbers."""
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    monkeypatch.setattr("lexspark.tables.shared_dir", lambda _: f"file://{tmp_path}")
+    before = {k: spark.conf.get(k, None) for k in settings}
+    texts = ["word " * n for n in range(60)]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = pack(documents(*enumerate(texts)).repartition(3), capacity=16).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    check(rows, texts, 16)
+    assert {p.parent.name.split("-")[0] for p in tmp_path.rglob("part-*.parquet")} == {"pieces"}
+    assert len(list(tmp_path.rglob("part-*.parquet"))) <= 3
+
+
 @pytest.mark.parametrize("text", ["", " ", "a  b", "a \n b", "don't  we'll", " x", "x ", "\n\n", "ab　cd", "<|endoftext|>", "a<|endoftext|> b", "\x1c a", "日本 x", "2²³ a"])
 def test_vocabulary_equals_the_library(text):
     v = Vocabulary(public_path())
