@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..tables import kept
+
 Edits = dict[tuple[str, str], float]
 
 MOST_ITERATIONS = 50
@@ -131,10 +133,17 @@ def _collected(model: DataFrame, most: int = 1_000_000) -> Edits:
     return {(r["ilabel"], r["olabel"]): r["p"] for r in rows}
 
 
-def e_step(pairs: DataFrame, model: Edits, x: str = "x", y: str = "y", viterbi: bool = False) -> DataFrame:
+def grouped(pairs: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """(x, y, n): each different pair once, with how often it occurs, dealt to all cores: aligning costs far more than reading."""
+    spark = pairs.sparkSession
+    few = pairs.groupBy(x, y).agg(F.count("*").alias("n"))
+    return kept(few.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))), "pairs")
+
+
+def e_step(pairs: DataFrame, model: Edits, x: str = "x", y: str = "y", viterbi: bool = False, times: str | None = None) -> DataFrame:
     """(ilabel, olabel, n) with the log-likelihood as the row (null, null, sum), and the number of pairs that no path joins as (null, 'lost', n).
 
-    x, y: array<string> columns.
+    x, y: array<string> columns. times: a column that says how often each pair counts.
     """
     shared = pairs.sparkSession.sparkContext.broadcast(model)
 
@@ -142,32 +151,34 @@ def e_step(pairs: DataFrame, model: Edits, x: str = "x", y: str = "y", viterbi:
         total: dict[tuple[str, str], float] = defaultdict(float)
         like, lost = 0.0, 0.0
         for batch in batches:
-            for a, b in zip(batch.column(x).to_pylist(), batch.column(y).to_pylist(), strict=True):
+            many = batch.column(times).to_pylist() if times else [1] * batch.num_rows
+            for a, b, m in zip(batch.column(x).to_pylist(), batch.column(y).to_pylist(), many, strict=True):
                 counts, ll = expectations(a or [], b or [], shared.value, viterbi)
                 if ll > -math.inf:
-                    like += ll
+                    like += m * ll
                 else:
-                    lost += 1
+                    lost += m
                 for e, c in counts.items():
-                    total[e] += c
+                    total[e] += m * c
         rows = [*((a, b, c) for (a, b), c in total.items()), (None, None, like), (None, "lost", lost)]
         a, b, c = zip(*rows, strict=True)
         yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(c, pa.float64())], names=["ilabel", "olabel", "n"])
 
-    return pairs.select(x, y).mapInArrow(run, "ilabel string, olabel string, n double").groupBy("ilabel", "olabel").agg(F.sum("n").alias("n"))
+    return pairs.select(x, y, *([times] if times else [])).mapInArrow(run, "ilabel string, olabel string, n double").groupBy("ilabel", "olabel").agg(F.sum("n").alias("n"))
 
 
 def train(pairs: DataFrame, start: DataFrame, iterations: int = MOST_ITERATIONS, delta: float = DELTA, alpha: float = 0.0, batches: int = 1, viterbi: bool = False, by_state: bool = False) -> tuple[DataFrame, list[float]]:
-    """Iterates until the likelihood changes by less than delta (relative).
+    """Iterates until the likelihood changes by less than delta (relative). Equal pairs are aligned once.
 
     alpha 0: full batches. Otherwise ``batches`` parts by hash in turn, and the model moves
     by nu = (k + 2)^-alpha towards each part's own.
     """
     spark = pairs.sparkSession
     model, history = _collected(start), []
+    pairs = grouped(pairs)
     for k in range(min(iterations, MOST_ITERATIONS) * batches):
         part = pairs if batches == 1 else pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(batches)) == k % batches)
-        found = e_step(part, model, viterbi=viterbi).collect()  # as many rows as edits
+        found = e_step(part, model, viterbi=viterbi, times="n").collect()  # as many rows as edits
         like = next(r["n"] for r in found if r["ilabel"] is None and r["olabel"] is None)
         if lost := next(r["n"] for r in found if r["olabel"] == "lost" and r["ilabel"] is None):
             warnings.warn(f"the model has no path for {lost:.0f} pairs; they count for nothing", stacklevel=2)
