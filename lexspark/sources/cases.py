@@ -71,30 +71,35 @@ def held(actual: Column, output: Column, mode: str = "exact") -> Column:
 
 
 def applied(cases: DataFrame, rules: Registry) -> DataFrame:
-    """cases with actual, all outputs of each case's cascade of rules, the best first, and error, why there are none or not all."""
+    """cases with actual, all outputs of each case's cascade of rules, the best first, and error, why there are none or not all. Equal cases of a task are rewritten once."""
     shared = cases.sparkSession.sparkContext.broadcast(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[tuple[str, ...], object] = {}
+        memo: dict[tuple[tuple[str, ...], str], tuple[list[str], str | None]] = {}
+
+        def one(names: tuple[str, ...], text: str) -> tuple[list[str], str | None]:
+            try:
+                if names not in made:
+                    made[names] = shared.value.cascade(*names)
+                return made[names].rewrites(text), None
+            except Truncated as e:
+                return [x for x, _ in e.found], str(e)
+            except RewriteError as e:
+                return [], str(e)
+            except KeyError as e:
+                return [], f"no rule {e}"
+
         for batch in batches:
-            actual, errors = [], []
+            found = []
             for names, text in zip(batch.column("rule").to_pylist(), batch.column("input").to_pylist(), strict=True):
-                found: list[str] = []
-                error = None
-                try:
-                    key = tuple(names)
-                    if key not in made:
-                        made[key] = shared.value.cascade(*names)
-                    found = made[key].rewrites(text or "")
-                except Truncated as e:
-                    found, error = [x for x, _ in e.found], str(e)
-                except RewriteError as e:
-                    error = str(e)
-                except KeyError as e:
-                    error = f"no rule {e}"
-                actual.append(found)
-                errors.append(error)
-            yield batch.append_column("actual", pa.array(actual, pa.list_(pa.string()))).append_column("error", pa.array(errors, pa.string()))
+                key = (tuple(names), text or "")
+                if key not in memo:
+                    if len(memo) > 100_000:
+                        memo.clear()
+                    memo[key] = one(*key)
+                found.append(memo[key])
+            yield batch.append_column("actual", pa.array([x for x, _ in found], pa.list_(pa.string()))).append_column("error", pa.array([e for _, e in found], pa.string()))
 
     from pyspark.sql import types as T
 
