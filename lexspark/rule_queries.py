@@ -11,7 +11,7 @@ from .operators.fst import closure, concat, cross, union
 from .operators.grammar import compile_grammar
 from .operators.rules import Registry
 from .plans.lowering import lowered
-from .queries import ORACLES, counted, counts, docs, event_pairs, query, rounded, wb
+from .queries import ORACLES, counted, counts, docs, event_pairs, query, rounded, trained, wb
 from .sources import cases
 
 ANY = closure(rules.BYTE)
@@ -199,7 +199,7 @@ def add_to_unigrams(spark, d):
 
 @query("target_size_theta", f"WITH {counted(2)}, {wb()}, s AS (SELECT m.hist, m.word, m.p, m.q, a.alpha, 1 - a.own AS num, 1 - a.below AS den, coalesce((SELECT p FROM u WHERE u.word = CASE WHEN m.hist = '<s>' THEN '</s>' ELSE m.hist END), 0) AS ph FROM m JOIN a USING (hist)), x AS (SELECT 1000 * ph * p * (ln(p) - ln((num + p) / (den + q) * q)) AS score FROM s), room AS (SELECT floor((SELECT count(*) FROM x) / 2) AS n), y AS (SELECT score, sum(count(*)) OVER (ORDER BY score DESC) AS upto FROM x GROUP BY score) SELECT round((min(score) FILTER (upto <= n) + max(score) FILTER (upto > n)) / 2, 7) AS theta FROM y, room")
 def target_size_theta(spark, d):
-    model = smoothing.witten_bell(counts(spark, d), 2)
+    model = trained(spark, d)
     size = model.grams.groupBy("ord").count().collect()
     by = {r["ord"]: r["count"] for r in size}
     theta = shrinking.theta_for_size(model, shrinking.seymore_scores(model, 1000.0), by[1] + by[2] // 2)
@@ -225,12 +225,12 @@ def stationary_distribution(spark, d):
 
 @query("kn_marginalised")
 def kn_marginalised(spark, d):
-    return stochastic.marginalised(smoothing.witten_bell(counts(spark, d), 2)).grams
+    return stochastic.marginalised(trained(spark, d)).grams
 
 
 @query("presmoothed_bigram", f"WITH {counted(2)}, one AS (SELECT word AS hist, c AS n FROM c WHERE ord = 1), t AS (SELECT hist, sum(c) AS s FROM c WHERE ord = 2 GROUP BY hist) SELECT 2 AS ord, c.hist, c.word, round(c.c / greatest(coalesce(n, s), s), 9) AS p FROM c JOIN t USING (hist) LEFT JOIN one USING (hist) WHERE ord = 2")
 def presmoothed_bigram(spark, d):
-    return rounded(smoothing.presmoothed(counts(spark, d), 2).grams.where("ord = 2"), "p")
+    return rounded(trained(spark, d, 2, smoothing.presmoothed).grams.where("ord = 2"), "p")
 
 
 @query("speech_rule_optional")
