@@ -1,6 +1,8 @@
 """Pruning by lists and patterns, and what n-grams need, with few joins."""
 
-from lexspark.operators import counting, shrinking, smoothing
+import numpy as np
+import pyarrow as pa
+from lexspark.operators import counting, greedy, shrinking, smoothing
 
 TEXTS = [("a b c a b the of a",), ("the a b x y",), ("b c a b c",)]
 
@@ -56,3 +58,26 @@ def test_faults_are_looked_for_one_kind_at_a_time(spark):
     found = smoothing.topology_faults(grams)
     assert sorted(map(tuple, found.collect())) == sorted([(2, "a", "c", "suffix"), (2, "c", "b", "history"), (3, "b a", "b", "history"), (3, "<s> a", "a", "suffix")])
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_few_classes_need_no_queue(monkeypatch):
+    rng = np.random.default_rng(5)
+
+    def no_queue(*_):
+        raise AssertionError("a queue for a few classes")
+
+    cases = []
+    for m in (1, 1, 2, 3, 7, 12) * 30:
+        p, q = rng.uniform(1e-3, 0.5 / m, m).round(4), rng.uniform(1e-3, 0.5 / m, m).round(4)
+        n, ph = rng.integers(1, 3, m), float(rng.choice([0.0, 1e-3, 0.5]))
+        cases.append((p, q, n, max(0.0, 1 - float(p @ n)), 1 - float(q @ n), ph))
+    monkeypatch.setattr(greedy, "FEW", 0)
+    want = [greedy.removals(p, q, n, a, b, 1e-3 / ph if ph else float("inf")) for p, q, n, a, b, ph in cases]
+    monkeypatch.setattr(greedy, "FEW", 12)
+    monkeypatch.setattr(greedy, "_Queue", no_queue)
+    found = [greedy.removals(p, q, n, a, b, 1e-3 / ph if ph else float("inf")) for p, q, n, a, b, ph in cases]
+    assert all((x == y).all() for x, y in zip(want, found, strict=True)) and any(x.any() for x in want)
+    rows = [(f"h{i:03}", x, y, int(z), a, b, ph) for i, (p, q, n, a, b, ph) in enumerate(cases) for x, y, z in zip(p.tolist(), q.tolist(), n.tolist(), strict=True)]
+    batch = pa.Table.from_pylist([dict(zip(("hist", "p", "q", "n", "num", "den", "ph"), r, strict=True)) for r in rows]).combine_chunks().to_batches()[0]
+    gone = [k for b in greedy.by_history(1e-3)(iter([batch])) for k in b.column("k").to_pylist()]
+    assert gone == [int(k) for x in want for k in x if k]
