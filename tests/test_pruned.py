@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 from lexspark.operators import counting, greedy, shrinking, smoothing
+from pyspark.sql import functions as F
 
 TEXTS = [("a b c a b the of a",), ("the a b x y",), ("b c a b c",)]
 
@@ -81,3 +82,15 @@ def test_few_classes_need_no_queue(monkeypatch):
     batch = pa.Table.from_pylist([dict(zip(("hist", "p", "q", "n", "num", "den", "ph"), r, strict=True)) for r in rows]).combine_chunks().to_batches()[0]
     gone = [k for b in greedy.by_history(1e-3)(iter([batch])) for k in b.column("k").to_pylist()]
     assert gone == [int(k) for x in want for k in x if k]
+
+
+def test_histograms_are_written_out(spark):
+    rows = spark.createDataFrame([("a a b", 0.25), ("a", 0.5), ("a", 0.5), ("b b b b b b b a", 0.75)], "text string, w double")
+    found = counting.histogram(rows, 1, weight=F.col("w"))
+    have = {r["word"]: r for r in found.collect()}
+    for word, given in {"a": [(2, 0.25), (1, 0.5), (1, 0.5), (1, 0.75)], "b": [(1, 0.25), (7, 0.75)]}.items():
+        want = [1.0] + [0.0] * 40
+        for c, w in given:
+            want = [want[k] * (1 - w) + (want[k - c] * w if k >= c else 0.0) for k in range(len(want))]
+        assert all(abs(x - y) < 1e-12 for x, y in zip(have[word]["p"], want, strict=False)) and len(have[word]["p"]) == 6
+    assert "transform(sequence" not in found._jdf.queryExecution().optimizedPlan().toString()
